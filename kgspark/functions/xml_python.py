@@ -5,6 +5,7 @@ Both read plain expat events, so unbound prefixes in a fragment do no harm.
 
 from __future__ import annotations
 
+import re
 from xml.parsers import expat
 
 import pandas as pd
@@ -100,8 +101,10 @@ def tag_rows(piece: str) -> dict:
     """Distinct (parent, child) tags of a piece of a document.
 
     ``root`` and ``container`` are the outermost and innermost elements the piece leaves open.
-    A parent of None stands for the element that an earlier piece left open.
+    A parent of None stands for the element that an earlier piece left open. End tags of such
+    elements at the start of the piece are passed over.
     """
+    piece = re.sub(r"^(\s*</[^>]*>)+", "", piece).lstrip()
     pairs: set = set()
     stack: list = [None]
 
@@ -111,13 +114,13 @@ def tag_rows(piece: str) -> dict:
         stack.append(tag)
 
     parser = expat.ParserCreate()
-    declared = piece.lstrip().startswith(("<?xml", "<!DOCTYPE"))
+    declared = piece.startswith(("<?xml", "<!DOCTYPE"))
     if not declared:
         parser.Parse("<piece>", False)
     parser.StartElementHandler = start
     parser.EndElementHandler = lambda _tag: stack.pop()
     try:
-        parser.Parse(piece.lstrip(), False)
+        parser.Parse(piece, False)
     except expat.ExpatError:
         if stack != [None]:
             raise
