@@ -46,34 +46,23 @@ def _deletion_keys(term: Column, edits: Column) -> Column:
     )
 
 
-def _third(length: Column, i: int) -> tuple[Column, Column]:
-    """(start, size) of third i of a term of that length; starts count from 1."""
-    size = F.floor(length / 3).cast("int")
-    return size * i + 1, (size if i < 2 else length - 2 * size)
+# third i (0, 1, 2) of a term of n characters: where it starts, from 1, and how long it is
+_START = "(n DIV 3) * i + 1"
+_SIZE = "CAST(if(i < 2, n DIV 3, n - 2 * (n DIV 3)) AS INT)"
 
+# keys of a dictionary term: its length and each of its thirds
+_THIRD_KEYS = f"""
+  transform(array(length(match)), n -> transform(array(0, 1, 2), i ->
+    concat_ws(':', n, i, substr(match, CAST({_START} AS INT), {_SIZE}))))[0]"""
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.concat_ws(":", length.cast("string"), F.lit(str(i)), text)
-
-
-def _third_keys(term: Column) -> Column:
-    """Keys of a dictionary term: its length and each of its thirds."""
-    length = F.length(term)
-    return F.array(*[_key(length, i, F.substr(term, *_third(length, i))) for i in range(3)])
-
-
-def _window_keys(term: Column) -> Column:
-    """Keys of a query term: what a third could be, for every possible length and shift."""
-    keys = []
-    for more in range(-MAX_EDITS, MAX_EDITS + 1):
-        length = F.length(term) + more
-        for i in range(3):
-            start, size = _third(length, i)
-            for shift in range(-MAX_EDITS, MAX_EDITS + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= F.length(term))
-                keys.append(F.when(fits, _key(length, i, F.substr(term, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+# keys of a query term: what a third could be, for every length and shift two edits allow
+_WINDOW_KEYS = f"""
+  array_distinct(array_compact(flatten(flatten(
+    transform(sequence(length(term) - {MAX_EDITS}, length(term) + {MAX_EDITS}), n ->
+      transform(array(0, 1, 2), i ->
+        transform(sequence(-{MAX_EDITS}, {MAX_EDITS}), shift ->
+          CASE WHEN {_START} + shift >= 1 AND {_START} + shift + {_SIZE} - 1 <= length(term)
+          THEN concat_ws(':', n, i, substr(term, CAST({_START} + shift AS INT), {_SIZE})) END)))))))"""
 
 
 def similar_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -93,9 +82,9 @@ def similar_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
     long_pairs = (
         queries.filter(length(q) > SHORT)
-        .select("term", "edits", F.explode(_window_keys(q)).alias("key"))
+        .select("term", "edits", F.explode(F.expr(_WINDOW_KEYS)).alias("key"))
         .join(
-            dictionary.filter(length(m) > SHORT - MAX_EDITS).select("match", F.explode(_third_keys(m)).alias("key")),
+            dictionary.filter(length(m) > SHORT - MAX_EDITS).select("match", F.explode(F.expr(_THIRD_KEYS)).alias("key")),
             "key",
         )
         .drop("key")

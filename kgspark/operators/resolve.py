@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import stored
 from ..sources.graph_store import GraphStore
 from .graph import of_type, owner_of_alias
 from .text_index import (
@@ -40,7 +40,7 @@ def best_exact(mentions: DataFrame, index: TextIndex, k: int = TOP) -> DataFrame
 
 def synonym_hits(queries: DataFrame, index: TextIndex, k: int = TOP) -> DataFrame:
     """Fuzzy hits; for queries without any, prefix hits."""
-    fuzzy = index.search(queries, "fuzzy", SYNONYM_SIMILARITY, k).checkpoint()
+    fuzzy = stored(index.search(queries, "fuzzy", SYNONYM_SIMILARITY, k), "synonym-hits")
     rest = queries.join(fuzzy.select("query_id").distinct(), "query_id", "left_anti")
     return fuzzy.union(index.search(rest, "prefix", None, k))
 
@@ -60,8 +60,7 @@ def match_metabolites(
     mentions: (mention_id, name); aliases: (pk, alias); owners: (pk, name).
     Returns (mention_id, matched) for resolved mentions.
     """
-    shared_dir(mentions.sparkSession)
-    by_name = match_names(mentions, names, k, name_threshold).checkpoint()
+    by_name = stored(match_names(mentions, names, k, name_threshold), "name-hits")
     rest = mentions.join(by_name, "mention_id", "left_anti")
     queries = rest.select(F.col("mention_id").alias("query_id"), F.col("name").alias("text"))
     hits = synonym_hits(queries, synonyms, k).filter(F.col("score") > synonym_threshold)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, staging_path
+from ..session import staging_path, stored
 from .fuzzy import max_edits, similar_terms, terms_with_prefix
 
 # BM25 and the matching thresholds.
@@ -56,9 +56,8 @@ class TextIndex:
         queries: (query_id, text). ``last`` says what the last word of a query is: fuzzy,
         prefix or exact. k may not exceed the k the index was built with.
         """
-        shared_dir(queries.sparkSession)
         asked = queries.select("query_id", F.array_join(tokens(F.col("text")), " ").alias("query"))
-        asked = asked.filter(F.col("query") != "").checkpoint()
+        asked = stored(asked.filter(F.col("query") != ""), "search-queries")
         hits = self._hits(asked.select("query").distinct(), last, similarity, k)
         return asked.join(hits, "query").drop("query")
 
@@ -92,14 +91,15 @@ class TextIndex:
         weights = self._weights(asked, last, similarity).join(self.terms, "term")
         factor = F.col("weight") * F.col("idf")
         prefix = F.lit(PREFIX_SCORE)
-        bounded = weights.select(
+        bounds = weights.select(
             "query",
             "word",
             "term",
             factor.alias("factor"),
             F.coalesce(factor * F.col("best"), prefix).alias("upper"),
             F.when(F.col("kth").isNotNull(), F.coalesce(factor * F.col("kth"), prefix)).alias("sure"),
-        ).checkpoint()  # read three times below
+        )
+        bounded = stored(bounds, "search-words")  # read three times below
         # words of a query by rising best score: while their sum stays below a score that k
         # bags are sure to reach, a bag with none but these words cannot be among the k best
         per_word = bounded.groupBy("query", "word").agg(F.max("upper").alias("upper"), F.max("sure").alias("sure"))
@@ -190,16 +190,11 @@ def build_index(entries: DataFrame, path: str | None = None, k: int = TOP) -> Te
 
     Its tables are written to ``path``, or to the shared folder, and read by every search.
     """
-    spark: SparkSession = entries.sparkSession
-    target = path or staging_path(spark, "text-index")
-
-    def stored(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{target}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{target}/{name}")
+    target = path or staging_path(entries.sparkSession, "text-index")
 
-    bags = stored(_bags(entries, k), "bags")
-    postings = stored(_postings(bags), "postings")
-    return TextIndex(bags, postings, stored(_terms(bags, postings, k), "terms"))
+    bags = stored(_bags(entries, k), "bags", f"{target}/bags")
+    postings = stored(_postings(bags), "postings", f"{target}/postings")
+    return TextIndex(bags, postings, stored(_terms(bags, postings, k), "terms", f"{target}/terms"))
 
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:

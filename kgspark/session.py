@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The state store every stateful operator in kgspark.streaming needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,3 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/kgspark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The frame as a table in the shared folder: later steps read it, and do not recompute it.
+
+    What was written survives the loss of executors, and reads prune its columns.
+    """
+    target = path or staging_path(frame.sparkSession, name)
+    frame.write.parquet(target)
+    return frame.sparkSession.read.schema(frame.schema).parquet(target)
