@@ -67,6 +67,10 @@ _WINDOW_KEYS = f"""
 
 def similar_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(term, match, distance) for queries (term, edits) and a dictionary (match), both distinct."""
+    # few bytes make many keys: spread the terms over all tasks before they are expanded
+    spark = queries.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries, dictionary = queries.repartition(n, "term"), dictionary.repartition(n, "match")
     q, m = F.col("term"), F.col("match")
     length = F.length
     pairs = (

@@ -21,15 +21,12 @@ def xml_structure(spark: SparkSession, path, tag: str, glob: str | None = "*.xml
     has_record = F.regexp_count("piece", F.lit(rf"<(?:[\w.-]+:)?{tag}(?=[\s>])")) > 0
     text = F.when(has_record, whole).otherwise(F.col("piece"))
     found = pieces.select(F.col("_file").alias("file_path"), tag_pairs(text).alias("t"))
-    pairs = found.select("file_path", F.explode("t.pairs").alias("p")).select("file_path", "p.parent", "p.child").distinct()
-    containers = (
-        found.filter(F.col("t.container").isNotNull())
-        .groupBy("file_path")
-        .agg(F.first("t.container").alias("_container"))
-    )
-    known = pairs.join(containers, "file_path", "left")
-    parent = F.coalesce("parent", "_container")
-    return known.select("file_path", parent.alias("parent"), "child").filter("parent IS NOT NULL").distinct()
+    rows = found.select("file_path", F.col("t.container").alias("container"), F.explode_outer("t.pairs").alias("pair"))
+    # a file has few distinct pairs, and every task hands on no more than those
+    files = rows.groupBy("file_path").agg(F.collect_set("pair").alias("pairs"), F.max("container").alias("container"))
+    pairs = files.select("file_path", "container", F.explode("pairs").alias("p"))
+    parent = F.coalesce("p.parent", "container")
+    return pairs.select("file_path", parent.alias("parent"), "p.child").filter("parent IS NOT NULL").distinct()
 
 
 def structure_report(pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import shred
 from ..operators.merge import distinct_edges, merge_writers, not_loaded
 from ..schemas import LABELS, METABOLITE, PROTEIN
+from ..session import stored
 from ..sources.xml_records import parse_records
 from .registry import query, table
 
@@ -178,7 +179,8 @@ def _parsed(spark: SparkSession, folder: str, kind: str, needed: list[str]) -> D
     names = ["accession", *[name for name in needed if name != "ontology"]]
     parts = table(spark, folder, "part")
     records = xml_records(parts, tag, {name: fields[name] for name in names}, ontology)
-    return parse_records(records, {name: shape[name] for name in names}, ontology)
+    # stored, as the load job does: filters and generators above would repeat the parse
+    return stored(parse_records(records, {name: shape[name] for name in names}, ontology), f"{tag}-records")
 
 
 def _edges_with_nodes(records: DataFrame, kind: str, writers: list[shred.Writer]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import joined, or_empty, or_none, text_length
 from ..operators import attempts, budget, catalog, conversation, graph, merge, ordered, responses, structure
-from ..session import staging_path
+from ..session import staging_path, stored
 from ..sources import sse
 from ..sources.graph_store import as_property_maps, run_query
 from ..sources.xml_records import count_elements, parse_records, scan_records
@@ -53,7 +53,7 @@ def xml_record_count(spark: SparkSession, folder: str) -> DataFrame:
 )
 def xml_nested_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = _write_xml(_order_records(spark, folder), "order", "lines-xml")
-    records = parse_records(scan_records(spark, path, "order"), LINE_SHAPE)
+    records = stored(parse_records(scan_records(spark, path, "order"), LINE_SHAPE), "order-records")
     lines = records.select(F.col("orderkey").cast("bigint").alias("orderkey"), F.explode("lines.line").alias("l"))
     return lines.groupBy("orderkey", F.col("l.partkey").cast("bigint").alias("partkey")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("l.linenumber").cast("bigint")).alias("last_line")

@@ -128,6 +128,8 @@ def parse_records(records: DataFrame, shape: dict, ontology: bool = False) -> Da
     """Records as typed columns, one per child, plus ``_malformed`` (the text that did not parse).
 
     With ``ontology`` the recursive <ontology> child becomes the column ``ontology_terms``.
+    Store the result before it is used: filters and generators on top of it would be pushed
+    below the parse and repeat it.
     """
     raw = raw_struct(shape).add("_malformed", "string")
     options = {
