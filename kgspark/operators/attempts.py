@@ -18,6 +18,11 @@ def numbered(log: DataFrame, keys: list[str], order: list[str], block: Column) -
     return running_sum(log, keys, order, block, F.lit(1), "attempt")
 
 
+def stamped(log: DataFrame) -> DataFrame:
+    """Attempts with the time they were recorded."""
+    return log.withColumn("ts", F.current_timestamp())
+
+
 def newest_attempts(log: DataFrame, n: int = SHOWN) -> DataFrame:
     return last_rows(log, ["question_id"], ["attempt"], n)
 

@@ -54,6 +54,18 @@ def within_budget(
     return first.withColumn("_used", used).filter(F.col("_used") <= budget).drop("_size", "_rank", "_used")
 
 
+def result_within_budget(result: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """A whole result, in its own order, cut to the budget as one group.
+
+    Only so many rows can fit, so no more than those leave their tasks; the order of a sorted
+    result is kept by the limit and then numbered.
+    """
+    columns = result.columns
+    first = result.limit(budget // SHORTEST_RECORD).withColumn("_seq", F.monotonically_increasing_id())
+    record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return within_budget(first.withColumn("_all", F.lit(1)), ["_all"], ["_seq"], dumped_length(record), budget).select(*columns)
+
+
 def limited(rows: DataFrame, limit: int | None) -> DataFrame:
     """A limit where it is a positive int, else all rows."""
     valid = isinstance(limit, int) and not isinstance(limit, bool) and limit > 0

@@ -110,9 +110,7 @@ def catalog_text(tables: Tables, edges: DataFrame, edge_props: DataFrame | None
     )
 
     def listed(rows: DataFrame, owner: str) -> DataFrame:
-        block = F.listagg(F.format_string("  %s: %s", "key", "type"), F.lit(",\n"))
         ordered = rows.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("key", "type"))).alias("p"))
-        del block
         text = F.transform("p", lambda p: F.format_string("  %s: %s", p["key"], p["type"]))
         return ordered.select(owner, F.array_join(text, ",\n").alias("block"))
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import shred
 from ..operators.merge import distinct_edges, merge_writers, not_loaded
 from ..schemas import LABELS, METABOLITE, PROTEIN
-from ..session import stored
+from ..session import staging_path, stored
+from ..sources.graph_store import GraphStore
 from ..sources.xml_records import parse_records
+from .ingest import load_metabolites, load_proteins
 from .registry import query, table
 
 # Expressions both Spark and DuckDB read.
@@ -392,7 +394,7 @@ def _statement_query(name: str, kind: str, statement: str, needed: list[str], wr
     # label, type and properties are needed for the SQL before any session exists
     label, rel = _TARGETS[statement]
     props = LABELS[label][1] if statement != "E19" else ["protein_name", "uniprot_id", "gene_name", "protein_type"]
-    source = {"E14": "NormalConcentration", "E16": "AbnormalConcentration", "E18": "Disease"}.get(statement, kind)
+    source = _SOURCES.get(statement, kind)
 
     @query(name, merged_sql(writes, rel, source, label, props))
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -441,6 +443,9 @@ _TARGETS = {
     "E37": ("PdbID", "HAS_PDB_ID"),
 }
 
+# statements whose edges start at a node other than the record
+_SOURCES = {"E14": "NormalConcentration", "E16": "AbnormalConcentration", "E18": "Disease"}
+
 for _name, _spec in _STATEMENTS.items():
     _statement_query(_name, *_spec)
 
@@ -514,3 +519,33 @@ def protein_two_writers(spark: SparkSession, folder: str) -> DataFrame:
     return merge_writers([first, second], "proteinAcc").select("proteinAcc", "protein_name", "gene_name", "name")
 
 
+def _graph_sql() -> str:
+    """Every edge and node of the loaded graph, from the writes of all statements."""
+    selects = []
+    for kind, statement, _, writes in _STATEMENTS.values():
+        label, rel = _TARGETS[statement]
+        source = _SOURCES.get(statement, kind)
+        selects.append(f"SELECT '{source}' AS src_label, src AS src_key, '{rel}' AS rel_type, '{label}' AS dst_label, k AS dst_key FROM ({writes})")
+        selects.append(f"SELECT '{label}', k, 'NODE', NULL, NULL FROM ({writes})")
+    for parent, child in (("p_type", "p_brand"), ("p_brand", "p_name")):
+        selects.append(f"SELECT 'OntologyTerm', {parent}, 'HAS_CHILD_TERM', 'OntologyTerm', {child} FROM part")
+    for kind in ("Metabolite", "Protein"):
+        selects.append(f"SELECT '{kind}', {ACC}, 'NODE', NULL, NULL FROM part")
+    return " UNION ".join(selects)
+
+
+@query("graph_load", _graph_sql())
+def graph_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Both load jobs on XML files, then all edges and the keys of all nodes."""
+    parts = table(spark, folder, "part")
+    store = GraphStore(spark, staging_path(spark, "graph"))
+    for tag, fields, load in (
+        ("metabolite", METABOLITE_FIELDS, load_metabolites),
+        ("protein", PROTEIN_FIELDS, load_proteins),
+    ):
+        path = staging_path(spark, f"{tag}-xml")
+        xml_records(parts, tag, fields, tag == "metabolite").select("record").write.text(path)
+        load(spark, store, path)
+    none = F.lit(None).cast("string")
+    nodes = store.all_nodes().select("label", "pk", F.lit("NODE"), none, none)
+    return store.edges().union(nodes)

@@ -502,6 +502,18 @@ def limit_ordered(spark: SparkSession, folder: str) -> DataFrame:
     return run_query(spark, text, {"priority": "1-URGENT"}, limit=25)
 
 
+@query(
+    "budgeted_result",
+    """WITH o AS (SELECT c_custkey, c_name, c_mktsegment, length(CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS STRING)) + 5 AS size,
+       row_number() OVER (ORDER BY c_mktsegment, c_custkey DESC) AS seq FROM customer)
+     SELECT c_custkey, c_name, c_mktsegment FROM (SELECT *, sum(size) OVER (ORDER BY seq) AS used FROM o) WHERE used <= 5000""",
+)
+def budgeted_result(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "customer").createOrReplaceTempView("kg_customer")
+    text = "SELECT c_custkey, c_name, c_mktsegment FROM kg_customer ORDER BY c_mktsegment, c_custkey DESC"
+    return run_query(spark, text, budget=budget.BUDGET)
+
+
 @query(
     "context_pack",
     """WITH r AS (SELECT o_custkey AS question_id, 0 AS part, o_orderkey AS seq,

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.budget import limited, result_within_budget
 from ..schemas import EDGE_COLUMNS, EDGE_SCHEMA, LABELS, label_schema
 
 _MARKER = "_COMPLETE"
@@ -98,16 +99,18 @@ def as_property_maps(nodes: DataFrame, label: str, key: str) -> DataFrame:
     return nodes.select(F.lit(label).alias("label"), F.col(key).cast("string").alias("pk"), props.alias("props"))
 
 
-def run_query(spark: SparkSession, text: str, parameters: dict | None = None, limit: int | None = None) -> DataFrame:
-    """SQL text with named parameters (``:name``), limited when ``limit`` is a positive int.
+def run_query(
+    spark: SparkSession, text: str, parameters: dict | None = None, limit: int | None = None, budget: int | None = None
+) -> DataFrame:
+    """SQL text with named parameters (``:name``).
 
-    A limit the text already has stays: the outer one can only make the result smaller.
+    A positive int ``limit`` applies unless the text has a limit of its own. With ``budget``
+    the result is cut where its JSON passes so many characters.
     """
     try:
         rows = spark.sql(text.rstrip().rstrip(";"), args=parameters or {})
     except Exception as error:
         raise RuntimeError(f"query failed: {error}") from error
-    own_limit = " LIMIT " in text.upper()
-    if isinstance(limit, int) and limit > 0 and not own_limit:
-        return rows.limit(limit)
-    return rows
+    if " LIMIT " not in text.upper():
+        rows = limited(rows, limit)
+    return rows if budget is None else result_within_budget(rows, budget)
