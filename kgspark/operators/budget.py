@@ -45,7 +45,8 @@ def within_budget(
 
     Sizes are positive, so the running sum only grows and the first overflow ends the group.
     No more than ``budget / shortest`` rows can fit: that rank filter cuts every group to so
-    many rows per task before the shuffle, and bounds what one task sorts.
+    many rows per task before the shuffle, and bounds what one task sorts. (Spark does this up
+    to spark.sql.optimizer.windowGroupLimitThreshold, 1000 rows; the defaults stay below it.)
     """
     ordered = Window.partitionBy(*keys).orderBy(*order)
     first = rows.withColumn("_size", size).withColumn("_rank", F.row_number().over(ordered))
@@ -75,7 +76,9 @@ def limited(rows: DataFrame, limit: int | None) -> DataFrame:
 def context_pack(results: DataFrame, descriptions: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Per question its results followed by descriptions, cut to the budget.
 
-    Both frames have (question_id, seq, record), record being JSON text.
+    Both frames have (question_id, seq, record), record being JSON text of an object with at
+    least one field; anything shorter counts as long as the shortest of those.
     """
     both = results.withColumn("part", F.lit(0)).unionByName(descriptions.withColumn("part", F.lit(1)))
-    return within_budget(both, ["question_id"], ["part", "seq"], F.length("record"), budget, shortest=2)
+    size = F.greatest(F.length("record"), F.lit(SHORTEST_RECORD))
+    return within_budget(both, ["question_id"], ["part", "seq"], size, budget)

@@ -4,7 +4,8 @@ A window over a group sorts the whole group in one task, which fails when one st
 third of all rows. Here the order of a group is cut into blocks: a column that never falls as
 the order rises, such as ``turn div 100000`` or the hour of a timestamp. Windows run inside
 (group, block); a second, small scan over one row per block carries sums and last values
-across. The result is exact for every choice of blocks.
+across. The result is exact for every choice of blocks; they should be fine enough that the
+rows of the largest group in one block fit a task, and no finer.
 """
 
 from __future__ import annotations

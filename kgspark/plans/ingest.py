@@ -24,6 +24,7 @@ from ..operators.shred import (
     writes_by_label,
 )
 from ..schemas import LABELS, METABOLITE, PROTEIN
+from ..session import stored
 from ..sources.graph_store import GraphStore
 from ..sources.xml_records import POSITION, parse_records, scan_records
 
@@ -31,15 +32,26 @@ from ..sources.xml_records import POSITION, parse_records, scan_records
 STORED, METABOLITES, PROTEINS = -1, 0, 1
 
 
-def parse_file(spark: SparkSession, store: GraphStore, path, tag: str, shape: dict, ontology=False, prefix=None):
+def parse_file(
+    spark: SparkSession,
+    store: GraphStore,
+    path,
+    tag: str,
+    shape: dict,
+    ontology: bool = False,
+    prefix: str | None = None,
+    known: DataFrame | None = None,
+) -> DataFrame:
     """Records of a file as a nested table, written next to the graph and read back.
 
-    Records without a key are kept out; text that is no XML is kept apart in ``_malformed``.
+    Records whose accession is among ``known`` (one column, of that name) are left out before
+    the table is written, so that this join runs once and not in every statement. Text that is
+    no XML is kept in ``_malformed``.
     """
     parsed = parse_records(scan_records(spark, path, tag, prefix), shape, ontology)
-    target = f"{store.root}/records/{tag}-{uuid.uuid4().hex[:12]}"
-    parsed.write.parquet(target)
-    return spark.read.schema(parsed.schema).parquet(target)
+    if known is not None:
+        parsed = not_loaded(parsed, known, "accession")
+    return stored(parsed, tag, f"{store.root}/records/{tag}-{uuid.uuid4().hex[:12]}")
 
 
 def with_key(records: DataFrame) -> DataFrame:
@@ -94,7 +106,6 @@ def load_proteins(
     spark: SparkSession, store: GraphStore, path, skip_existing: bool = True, prefix: str | None = None
 ) -> int:
     """Load protein records; by default those whose node exists before the load are skipped."""
-    records = with_key(parse_file(spark, store, path, "protein", PROTEIN, prefix=prefix))
-    if skip_existing:
-        records = not_loaded(records, store.nodes("Protein"), "accession", "proteinAcc")
-    return load_records(store, records, "Protein", protein_writers(), PROTEINS)
+    known = store.nodes("Protein").select(F.col("proteinAcc").alias("accession")) if skip_existing else None
+    records = parse_file(spark, store, path, "protein", PROTEIN, prefix=prefix, known=known)
+    return load_records(store, with_key(records), "Protein", protein_writers(), PROTEINS)

@@ -574,8 +574,9 @@ def turn_chunk_summary(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("conv_id", "chunk", "user_text", F.size("items").cast("bigint").alias("n_items"), code.alias("code"), "summary_text")
 
 
-def _day() -> Column:
-    return F.to_date("ts")
+def _minute() -> Column:
+    """Blocks for scans ordered by time: even a user with most events has few in a minute."""
+    return F.date_trunc("minute", "ts")
 
 
 @query(
@@ -590,7 +591,7 @@ def coalesce_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive events of a kind, joined; signups stand for the end markers."""
     marked = F.when(F.col("event_type") == "signup", conversation.DONE).otherwise(F.concat("event_id", F.lit(";")))
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", marked.alias("text"))
-    return conversation.coalesce_sections(events, ["user_id"], ["ts", "event_id"], _day(), "event_type").withColumn(
+    return conversation.coalesce_sections(events, ["user_id"], ["ts", "event_id"], _minute(), "event_type").withColumn(
         "run", F.col("run").cast("bigint")
     )
 
@@ -602,7 +603,7 @@ def coalesce_sections(spark: SparkSession, folder: str) -> DataFrame:
 )
 def drop_repeats(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
-    return ordered.drop_repeats(events, ["user_id"], ["ts", "event_id"], _day(), "event_type").select("user_id", "event_id", "event_type")
+    return ordered.drop_repeats(events, ["user_id"], ["ts", "event_id"], _minute(), "event_type").select("user_id", "event_id", "event_type")
 
 
 def _attempt_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -612,7 +613,7 @@ def _attempt_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.concat(F.lit("failed "), "event_id")).alias("error"),
         F.when(F.col("event_type") == "view", 0).otherwise(1).alias("n_results"),
     )
-    return attempts.numbered(log, ["question_id"], ["ts", "event_id"], _day())
+    return attempts.numbered(log, ["question_id"], ["ts", "event_id"], _minute())
 
 
 _LOG_SQL = """SELECT user_id AS question_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt,
@@ -724,6 +725,6 @@ def sse_distinct(spark: SparkSession, folder: str) -> DataFrame:
     message = sse.event_text(kind, F.lit("x"))
     piece = F.when(kind == "view", "event: view").when(kind == "error", "data:{broken").otherwise(message)
     pieces = events.select(
-        "user_id", "event_id", F.col("user_id").alias("_file"), _day().alias("_block"), F.struct("ts", "event_id").alias("_row"), piece.alias("piece")
+        "user_id", "event_id", F.col("user_id").alias("_file"), _minute().alias("_block"), F.struct("ts", "event_id").alias("_row"), piece.alias("piece")
     )
     return sse.distinct_events_of(pieces).select("user_id", "event_id", "section")

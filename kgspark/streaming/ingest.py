@@ -15,6 +15,7 @@ from ..operators.merge import not_loaded
 from ..operators.shred import metabolite_writers, protein_writers
 from ..plans.ingest import METABOLITES, PROTEINS, load_records, with_key
 from ..schemas import METABOLITE, PROTEIN
+from ..session import stored
 from ..sources.graph_store import GraphStore
 from ..sources.xml_records import parse_records, stream_records
 
@@ -31,7 +32,8 @@ def merge_arrived(store: GraphStore, tag: str, first: int, last: int, skip_exist
         load_records(store, records, "Metabolite", metabolite_writers(), METABOLITES)
         return
     if skip_existing:
-        records = not_loaded(records, store.nodes("Protein"), "accession", "proteinAcc")
+        fresh = not_loaded(records, store.nodes("Protein"), "accession", "proteinAcc")
+        records = stored(fresh, "fresh-proteins")
     load_records(store, records, "Protein", protein_writers(), PROTEINS)
 
 
