@@ -17,8 +17,8 @@ _GROUP, _BLOCK = "_group", "_block_no"
 
 
 def _blocked(rows: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    # as a structure, keys with nulls compare equal in joins too
-    return rows.withColumn(_GROUP, F.struct(*keys)).withColumn(_BLOCK, block)
+    # as structures, keys and blocks that are null compare equal in joins too
+    return rows.withColumn(_GROUP, F.struct(*keys)).withColumn(_BLOCK, F.struct(block.alias("no")))
 
 
 def _inside(order: list[str]) -> Window:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.catalog import key_violations
 from kgspark.operators.merge import with_endpoints
+from kgspark.plans import run_ingest
 from kgspark.plans.ingest import load_metabolites, load_proteins, malformed, parse_file
 from kgspark.schemas import LABELS, METABOLITE
 from kgspark.sources.graph_store import GraphStore
@@ -267,6 +268,16 @@ def test_every_edge_has_its_end_points_and_keys_are_unique(graph):
     assert key_violations({label: (graph.nodes(label), LABELS[label][0]) for label in LABELS}).count() == 0
 
 
+def test_job_prints_its_steps(spark, files, tmp_path, capsys):
+    run_ingest.main(["--graph", str(tmp_path), "--proteins", str(files / "proteins.xml"), "--reset"])
+    printed = capsys.readouterr().out
+    assert "reset:" in printed and "proteins:" in printed and "total:" in printed and "warning" not in printed
+    store = GraphStore(spark, str(tmp_path))
+    assert store.snapshot() == 2 and store.nodes("Protein").count() == 2
+    store.register_views()
+    assert spark.sql("SELECT * FROM Pfam").count() == 1
+
+
 def test_loading_again_changes_nothing(spark, files, tmp_path):
     store = GraphStore(spark, str(tmp_path))
     load_metabolites(spark, store, str(files / "metabolites.xml"))

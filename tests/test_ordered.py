@@ -31,6 +31,7 @@ def rows(spark):
     rng = random.Random(5)
     data = [(rng.choice([None, "a", "a", "a", "b"]), i, rng.choice([None, "x", "x", "y"]), rng.randint(0, 3))
             for i in range(500)]
+    data += [("a", None, "x", 2), (None, None, None, 1)]  # rows without a place come first
     return spark.createDataFrame(data, "k string, at bigint, v string, n bigint").repartition(7)
 
 
