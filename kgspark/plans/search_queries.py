@@ -117,7 +117,7 @@ _PART_WORDS = _WORDS.format(_TOKENS.format("concat(p_name, ' ', p_type)"), "matc
 
 @query(
     "similar_words",
-    f"""SELECT term, match, levenshtein(term, match) AS distance FROM ({_WORDS.format(_TOKENS.format("text"), "term", "documents")}),
+    f"""SELECT term, match, CAST(levenshtein(term, match) AS INTEGER) AS distance FROM ({_WORDS.format(_TOKENS.format("text"), "term", "documents")}),
        ({_PART_WORDS}) WHERE regexp_full_match(term, '[a-z0-9]+') AND levenshtein(term, match) <= 2""",
 )
 def similar_words(spark: SparkSession, folder: str) -> DataFrame:

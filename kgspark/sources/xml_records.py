@@ -41,14 +41,25 @@ def read_pieces(spark: SparkSession, path, tag: str, prefix: str | None = None,
     )
 
 
+def has_record(piece: Column, tag: str) -> Column:
+    """Whether a piece ends a record. The opening tag comes early, so the search is short."""
+    return piece.rlike(_opening(tag))
+
+
 def record_text(piece: Column, tag: str, prefix: str | None = None) -> Column:
     """The record that ends with a piece; the empty string where there is none.
 
     The last opening tag counts, so the innermost of nested records of the same name is taken.
+    A plain opening tag, the usual case, is found by a byte search and not by the pattern.
     """
+    name = f"{prefix}:{tag}" if prefix else tag
+    plain, close = F.lit(f"<{name}>"), F.lit(f"</{name}>")
+    after = F.substring_index(piece, f"<{name}>", -1)
+    other = [F.contains(after, F.lit(f"<{name}{space}")) for space in " \n\t\r"]
+    usual = F.contains(piece, plain) & ~(other[0] | other[1] | other[2] | other[3])
     found = F.regexp_extract(piece, rf"(?s)^.*({_opening(tag)}.*)$", 1)
-    close = f"</{prefix}:{tag}>" if prefix else f"</{tag}>"
-    return F.when(found != "", F.concat(found, F.lit(close))).otherwise(F.lit(""))
+    rest = F.when(found != "", F.concat(found, close)).otherwise(F.lit(""))
+    return F.when(usual, F.concat(plain, after, close)).otherwise(rest)
 
 
 def scan_records(
@@ -56,20 +67,19 @@ def scan_records(
 ) -> DataFrame:
     """One row per record: (_file, _block, _row, record)."""
     pieces = read_pieces(spark, path, tag, prefix, glob)
-    records = pieces.select(*POSITION, record_text(F.col("piece"), tag, prefix).alias("record"))
-    return records.filter(F.col("record") != "")
+    piece = F.col("piece")
+    return pieces.filter(has_record(piece, tag)).select(*POSITION, record_text(piece, tag, prefix).alias("record"))
 
 
 def stream_records(spark: SparkSession, path, tag: str, prefix: str | None = None, files_per_batch: int = 64):
     """The same scan over files as they arrive; positions are added per micro-batch."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     raw = _pieces(reader, path, tag, prefix, None)
-    records = raw.select(
+    return raw.filter(has_record(F.col("value"), tag)).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         record_text(F.col("value"), tag, prefix).alias("record"),
     )
-    return records.filter(F.col("record") != "")
 
 
 def count_elements(spark: SparkSession, path, tag: str, glob: str | None = None) -> DataFrame:
@@ -99,9 +109,15 @@ def _without_cdata(record: Column) -> Column:
 
 
 def _parsable(record: Column) -> Column:
-    """Record text in which escaped "<" is told apart from markup and comments end text."""
-    marked = F.regexp_replace(_without_cdata(record), r"&(?:lt|#0*60|#[xX]0*3[cC]);", ESCAPED_LT)
-    return F.regexp_replace(marked, r"(?s)<!--.*?-->", "<comment/>")
+    """Record text in which escaped "<" is told apart from markup and comments end text.
+
+    Byte searches decide whether a pattern has to run at all.
+    """
+    plain = F.replace(_without_cdata(record), F.lit("&lt;"), F.lit(ESCAPED_LT))
+    numeric = F.regexp_replace(plain, r"&(?:#0*60|#[xX]0*3[cC]);", ESCAPED_LT)
+    marked = F.when(F.contains(record, F.lit("&#")), numeric).otherwise(plain)
+    uncommented = F.regexp_replace(marked, r"(?s)<!--.*?-->", "<comment/>")
+    return F.when(F.contains(record, F.lit("<!--")), uncommented).otherwise(marked)
 
 
 def _first(values: Column) -> Column:

@@ -1,7 +1,8 @@
 """Token chunks as a stream: think blocks lifted out, the rest handed on as section events.
 
 Chunks come as (stream_id, seq, section, text); a chunk whose text is null ends its stream.
-One short text per open stream is kept as state, in RocksDB.
+One short text per open stream is kept as state, in RocksDB. What one stream brings in one
+micro-batch meets in one task, to be put in order; the source limits how much that is.
 """
 
 from __future__ import annotations
