@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_EDITS = 2
-SHORT = 16  # query terms up to this length use deletion keys
+# Query terms up to this length use deletion keys. Terms meet in such a key only if they are
+# nearly equal, so no key is hot; thirds are shared by all terms with a common start.
+SHORT = 30
 
 
 def max_edits(term: Column, similarity: float | None) -> Column:

@@ -29,7 +29,7 @@ def scramble(rng, word):
 
 def test_similar_terms_equals_comparing_all(spark):
     rng = random.Random(7)
-    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 24))) for _ in range(250)}
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 44))) for _ in range(300)}
     asked = {scramble(rng, word) for word in words} | {"école", "a"}
     words |= {"ecole", "écol"}
     queries = spark.createDataFrame([(w, 1 + len(w) % 2) for w in asked], "term string, edits int")
@@ -42,7 +42,7 @@ def test_similar_terms_equals_comparing_all(spark):
             if d <= 1 + len(q) % 2:
                 expected.add((q, w, d))
     assert found == expected
-    assert any(len(q) > 16 for q, _, d in found if d)
+    assert any(len(q) > 30 for q, _, d in found if d)
 
 
 def test_prefixes(spark):
