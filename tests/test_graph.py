@@ -58,7 +58,7 @@ def test_document_order_over_many_splits(spark, small_splits, tmp_path):
             f"<metabolite><accession>A{i % 50}</accession><name>f{part} r{i}</name></metabolite>\n"
             for i in range(400 * (part + 1))
         )
-        (tmp_path / f"p{part}.xml").write_text(f"<hmdb>{records}</hmdb>")
+        (tmp_path / f"p{part}.xml").write_text(f"<records>{records}</records>")
     small_splits(7000)
     scanned = scan_records(spark, str(tmp_path), "metabolite")
     assert scanned.rdd.getNumPartitions() > 7
@@ -72,9 +72,9 @@ def test_document_order_over_many_splits(spark, small_splits, tmp_path):
 
 def test_odd_records(spark, tmp_path):
     text = (
-        '<x:hmdb xmlns:x="u"><!-- c --><x:metabolite><x:accession>A</x:accession>'
+        '<x:records xmlns:x="u"><!-- c --><x:metabolite><x:accession>A</x:accession>'
         "<x:description>t<!-- c -->u</x:description><x:name>n &#60;b&gt; &lt;i&gt;</x:name></x:metabolite>"
-        "<x:metabolite><x:accession>B</x:metabolite></x:hmdb>"
+        "<x:metabolite><x:accession>B</x:metabolite></x:records>"
     )
     (tmp_path / "a.xml").write_text(text)
     rows = parse_records(scan_records(spark, str(tmp_path), "metabolite", prefix="x"), METABOLITE)
@@ -89,7 +89,7 @@ def test_odd_records(spark, tmp_path):
 
 def test_xml_structure(spark, small_splits, tmp_path):
     (tmp_path / "a.xml").write_text(
-        '<?xml version="1.0"?><hmdb><info/>' + "<m><a><b/></a></m>\n" * 40 + "<m k='<>'><c><![CDATA[</m2>]]></c></m><tail><t/></tail></hmdb>".replace("<>", "&lt;")
+        '<?xml version="1.0"?><records><info/>' + "<m><a><b/></a></m>\n" * 40 + "<m k='<>'><c><![CDATA[</m2>]]></c></m><tail><t/></tail></records>".replace("<>", "&lt;")
     )
     (tmp_path / "b.xml").write_text("<list><m><d/></m></list>")
     (tmp_path / "c.txt").write_text("<m><no/></m>")
@@ -97,7 +97,7 @@ def test_xml_structure(spark, small_splits, tmp_path):
     report = structure_report(xml_structure(spark, str(tmp_path), "m"))
     found = {(r.file_path.rsplit("/", 1)[1], r.parent): r.children for r in report.collect()}
     assert found == {
-        ("a.xml", "hmdb"): ["info", "m", "tail"],
+        ("a.xml", "records"): ["info", "m", "tail"],
         ("a.xml", "m"): ["a", "c"],
         ("a.xml", "a"): ["b"],
         ("a.xml", "tail"): ["t"],

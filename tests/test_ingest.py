@@ -11,7 +11,7 @@ from kgspark.schemas import LABELS, METABOLITE
 from kgspark.sources.graph_store import GraphStore
 
 METABOLITES = """<?xml version="1.0" encoding="UTF-8"?>
-<hmdb xmlns="http://www.example.org">
+<records xmlns="http://www.example.org">
 <metabolite>
   <version>5</version><accession>M1</accession><name>Citric acid</name>
   <description>a <i>b</i> c</description><status>  </status><state/>
@@ -68,11 +68,11 @@ METABOLITES = """<?xml version="1.0" encoding="UTF-8"?>
 <metabolite>
   <accession>M1</accession><name>Citric acid 2</name><status>ok</status>
 </metabolite>
-</hmdb>
+</records>
 """
 
 PROTEINS = """<?xml version="1.0"?>
-<hmdb>
+<records>
 <protein><accession>P1</accession><name>skipped</name>
   <pdb_ids><pdb_id>9XYZ</pdb_id></pdb_ids></protein>
 <protein><accession>P2</accession><name>Kinase</name><gene_name>CK</gene_name>
@@ -96,7 +96,7 @@ PROTEINS = """<?xml version="1.0"?>
   <subcellular_locations><subcellular_location>Nucleus</subcellular_location></subcellular_locations>
   <pdb_ids><pdb_id>1ABC</pdb_id></pdb_ids>
 </protein>
-</hmdb>
+</records>
 """
 
 

@@ -94,7 +94,7 @@ def test_file_stream_builds_the_same_graph(spark, tmp_path):
             f"<diseases><disease><name>d{i % 3}</name><omim_id>{part}{i}</omim_id></disease></diseases></metabolite>\n"
             for i in range(5 + part)
         )
-        (folder / f"f{part}.xml").write_text(f"<hmdb>\n{records}</hmdb>")
+        (folder / f"f{part}.xml").write_text(f"<records>\n{records}</records>")
     batch = GraphStore(spark, str(tmp_path / "batch"))
     load_metabolites(spark, batch, str(folder))
     live = GraphStore(spark, str(tmp_path / "live"))
