@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, resharding
+from . import packing, resharding, secret_scan, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,46 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def _secrets_sql() -> str:
+    def spans(i: int, rule: secret_scan.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        lengths = lambda x: f"list_transform({x}, x -> length(x))"
+        return f"""
+        SELECT doc_id, row_no, {i} AS no, '{rule.kind}' AS kind,
+               list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS from_at, from_at + sizes[i] AS till
+        FROM (SELECT doc_id, row_no, {lengths(f"regexp_extract_all(body, '{pattern}', 0)")} AS sizes,
+                     {lengths(f"regexp_extract_all(body, '{pattern}', {rule.group})")} AS held,
+                     {lengths(f"string_split_regex(body, '{pattern}')")} AS gaps,
+                     unnest(range(1, len(sizes) + 1)) AS i FROM texts)
+        WHERE held[i] >= {rule.least}"""
+
+    return f"""
+    WITH texts AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS body FROM documents),
+    spans AS ({" UNION ALL ".join(spans(i, r) for i, r in enumerate(secret_scan.RULES))}),
+    listed AS (SELECT row_no, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+                      string_agg(kind || ':' || from_at || ':' || till, ',' ORDER BY from_at, no) AS spans FROM spans GROUP BY row_no)
+    SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts t LEFT JOIN listed USING (row_no)"""
+
+
+@query("op2_blob_ledger_secret_scan", _secrets_sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secret_scan.scan_paths(table(spark, folder, "documents").select("doc_id", "text")).withColumn("spans", secret_scan.digest())
+    counts = [secret_scan.count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return rows.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    n_removed = F.octet_length("body") - F.octet_length("kept")
+    return rows.select(
+        "doc_id",
+        F.octet_length("body").cast("long").alias("n_bytes"),
+        n_removed.cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
