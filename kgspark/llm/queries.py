@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, resharding, secret_scan, suffix_dedup
+from . import language_id, packing, resharding, secret_scan, set_join, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
+
+
+@query("op5_subword_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(remainder(3) != 1))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_set_relation_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return set_join.document_components(table(spark, folder, "documents"))
