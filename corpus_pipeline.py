@@ -1,21 +1,56 @@
-"""From raw documents to packed sequences, in stages that each read what the one before has written."""
+"""From raw documents to packed sequences, in stages that each read what the one before has written.
+
+1. language ID: documents whose language the model rejects go;
+2. n-gram Jaccard join: of every group of linked documents the one with the smallest id stays;
+3. secret scans: findings are replaced by a mark, the documents stay;
+4. mixing: each source's words are taken as its target says, a document up to three times and also in parts;
+5. packing: every document that is left becomes pieces of binary length.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import packing, queries
+from kgspark.llm import language_id, mixing, packing, queries, secret_scan, set_join
 from kgspark.llm.common import table
 from kgspark.session import stored
 
 
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the model, trained on the documents' own language names, recognizes."""
+    return language_id.recognized(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every component of 3-word shingle sets with a Jaccard of 0.9 or more."""
+    return set_join.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a mark; n_chars follows the text."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", queries.n_chars()).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, once for every pass over its source."""
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces, with their token ids."""
     return packing.pack(docs, queries.vocabulary())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language ID", identify_languages),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
+]
 
-#: Trained models, tokenizers and a random mix are beyond SQL; tests/llm holds the stages against plain versions.
+#: A trained model, a random mix and a tokenizer are beyond SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -137,57 +137,59 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
 WORDS: dict[int, dict[str, tuple]] = {}
 
 
+def reader(model: Model):
+    """text to (place of its language, probability), or None; a worker keeps the words it has looked up."""
+    stamp = xxhash.xxh32_intdigest(model.table.tobytes())
+    if stamp not in WORDS:
+        WORDS.clear()
+    known = WORDS.setdefault(stamp, {})
+
+    def look_up(word: str) -> tuple:
+        rows = subwords(word)
+        if len(known) >= CACHE:
+            known.clear()
+        known[word] = found = (*model.table[rows].sum(0, dtype=np.float64).tolist(), float(len(rows)))
+        return found
+
+    def read(text: str | None) -> tuple[int, float] | None:
+        words = WORD.findall(text.lower()) if text and model.languages else ()
+        if not words:
+            return None
+        sums = np.array([known.get(w) or look_up(w) for w in words]).sum(0)
+        p = model.probabilities(sums[:-1] / sums[-1])
+        best = int(p.argmax())
+        return best, float(p[best])
+
+    return read
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability), rejected."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # a table of ROWS rows, whatever the corpus
-    stamp = xxhash.xxh32_intdigest(model.table.tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of ROWS rows, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        if stamp not in WORDS:
-            WORDS.clear()
-        known = WORDS.setdefault(stamp, {})
-
-        def of(word: str) -> tuple:
-            rows = subwords(word)
-            if len(known) >= CACHE:
-                known.clear()
-            known[word] = found = (*own.table[rows].sum(0, dtype=np.float64).tolist(), float(len(rows)))
-            return found
-
+        read = reader(own)
         for batch in batches:
             for part in rows_of(batch):
-                names, scores, refused = [], [], []
-                for text in part.column(1).to_pylist():
-                    words = WORD.findall(text.lower()) if text and own.languages else ()
-                    if not words:
-                        names.append(UNKNOWN), scores.append(0.0), refused.append(True)
-                        continue
-                    sums = np.array([known.get(w) or of(w) for w in words]).sum(0)
-                    p = own.probabilities(sums[:-1] / sums[-1])
-                    best = int(p.argmax())
-                    names.append(own.languages[best]), scores.append(float(p[best])), refused.append(bool(p[best] < own.least))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(refused, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"]
-                )
+                found = [read(t) for t in part.column(1).to_pylist()]
+                names = [own.languages[f[0]] if f else UNKNOWN for f in found]
+                refused = [not f or f[1] < own.least for f in found]
+                columns = [part.column(0), pa.array(names, pa.string()), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array(refused, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUTPUT)
 
 
 def recognized(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is recognized, with all their columns."""
+    """The rows that are not rejected, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        read = reader(sent.value)
         for batch in batches:
             for part in rows_of(batch):
-                keep = []
-                for text in part.column("text").to_pylist():
-                    rows, share = bag(text or "")
-                    p = own.probabilities(share @ own.table[rows]) if len(rows) and own.languages else np.zeros(1)
-                    keep.append(bool(len(rows) and own.languages and p.max() >= own.least))
-                yield part.filter(pa.array(keep, pa.bool_()))
+                found = [read(t) for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array([bool(f) and f[1] >= sent.value.least for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

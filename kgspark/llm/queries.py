@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, resharding, secret_scan, set_join, suffix_dedup
+from . import language_id, mixing, neighbours, packing, quality, quality_rules, resharding, secret_scan, set_join, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def vocabulary(name: str = WORD_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def n_chars():
+    """The length of the text in characters; none for a null text, as for an empty one."""
+    return F.coalesce(F.length("text"), F.lit(0)).cast("long")
+
+
 @query("op1_min_cost_flow_reshard")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """From the files in which documents lie to 24 shards of near-equal bytes."""
@@ -107,3 +112,29 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_set_relation_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return set_join.document_components(table(spark, folder, "documents"))
+
+
+@query("op7_quadratic_discriminant_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    scores = quality.judge(docs, labels.where(remainder(5) != 0))
+    return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op8_block_mixing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    made = mixing.mix(table(spark, folder, "documents"))
+    return made.taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op9_cross_polytope_neighbours")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op10_divergence_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judged(docs, quality_rules.references(docs))

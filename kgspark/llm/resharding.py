@@ -172,16 +172,18 @@ def shard_rows(docs: DataFrame, old: str) -> DataFrame:
 def rewrite(docs: DataFrame, plan: Plan, path: str, per_file: int = 64) -> None:
     """Writes the affected shards with whole rows under ``path``/shard=N; the other shards' files stay as they are.
 
-    Rows meet their shard by id and checksum; equal rows are told apart by their number.
+    Rows meet their shard by id and checksum; equal rows are told apart by their number. Columns named shard and
+    slot are replaced.
     """
     text = text_bytes()
     order = ["doc_id", "text_crc32"]
     nth = lambda by: F.row_number().over(W.partitionBy(*order).orderBy(by))
-    full = docs.withColumn("text_crc32", F.crc32(text))
+    held = [c for c in docs.columns if c not in ("shard", "slot")]
+    full = docs.select(F.struct(*held).alias("row"), "doc_id", F.crc32(text).alias("text_crc32"))
     full = full.withColumn("nth", nth(F.col("text_crc32")))
     narrow = plan.rows.select(*order, "shard", "slot").withColumn("nth", nth(F.struct("shard", "slot")))
     narrow = narrow.where(F.col("shard").isin(plan.affected)) if plan.affected else narrow.limit(0)
     meet = [full[k].eqNullSafe(narrow[k]) for k in [*order, "nth"]]
-    out = full.join(narrow, meet).select(*(full[c] for c in docs.columns), narrow["shard"], narrow["slot"])
+    out = full.join(narrow, meet).select("row.*", "shard", "slot")
     part = F.pmod(F.xxhash64("shard", "slot"), F.lit(per_file))
     out.repartition("shard", part).sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)

@@ -91,13 +91,14 @@ def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
-    """All rows of ``versions`` with ``findings``; what is scanned anew is stored (in ``path``, if given) and joined with the ledger."""
+    """All rows of ``versions`` with ``findings`` (in place of a column of that name); what is scanned anew is stored (in ``path``, if given) and joined with the ledger."""
     fresh = stored(scan(versions, ledger, rules), "secret-ledger", path)
     whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
-    found = current(whole, rules).withColumnRenamed("blob", "found_blob")
-    met = versions.join(found, blob_of() == F.col("found_blob"), "left")
+    found = current(whole, rules)
+    held = [c for c in versions.columns if c != "findings"]
+    met = versions.select(F.struct(*held).alias("row"), blob_of().alias("blob")).join(found, "blob", "left")
     empty = F.array().cast(dict(found.dtypes)["findings"])
-    return met.select(*(versions[c] for c in versions.columns), F.coalesce("findings", empty).alias("findings"))
+    return met.select("row.*", F.coalesce("findings", empty).alias("findings"))
 
 
 def digest(findings: str = "findings") -> Column:
@@ -110,7 +111,7 @@ def count(kind: str) -> Column:
 
 
 def redact(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with every finding in ``text`` replaced by MARK; findings that overlap become one mark."""
+    """The rows with every finding in ``text`` replaced by MARK; findings that overlap become one mark. A column ``findings`` goes."""
     rows = scan_paths(versions, ledger, rules)
     shown = lambda a, b: F.substring("text", a + 1, b - a)
     cut = F.aggregate(
@@ -121,4 +122,5 @@ def redact(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], f["end"]).alias("at"))),
         lambda acc: F.concat(acc["out"], shown(acc["at"], F.length("text"))),
     )
-    return rows.withColumn("text", F.when(F.size("findings") > 0, cut).otherwise(F.col("text"))).drop("findings")
+    clean = rows.withColumn("text", F.when(F.size("findings") > 0, cut).otherwise(F.col("text")))
+    return clean.select(*(c for c in versions.columns if c != "findings"))

@@ -21,7 +21,7 @@ def odd_docs(spark):
         (8, "x", None, "c", 1),
     ]
     frame = spark.createDataFrame(rows, COLUMNS)
-    names = ["size", "start", "pos", "shard", "_hash", "_block", "ids", "words", "file", "value", "score", "count", "old", "cut"]
+    names = ["size", "start", "pos", "shard", "_hash", "_block", "ids", "words", "file", "value", "score", "count", "old", "cut", "row", "blob", "spans", "n", "key", "sid", "doc", "runs", "times", "nth", "text_hash", "block", "taken"]
     return frame.select("*", *(F.lit("clash").alias(n) for n in names)).repartition(3)
 
 
