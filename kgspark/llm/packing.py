@@ -24,7 +24,7 @@ from .common import rows_of
 
 END = 1
 MAX_LEN = 2048
-CACHE = 400_000  # words; a bound of memory, not of the text
+CACHE = 800_000  # words; a bound of memory, not of the text
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -32,34 +32,38 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 class Encoder:
     """A tokenizer of a vocabulary file whose words do not reach across white space, with a word cache.
 
-    A text's ids are those of its words between plain white space. Words of ASCII letters, digits and
-    signs are cut further as the vocabulary's own pattern cuts them; all others go to the tokenizer whole.
+    A text's ids are those of its words between white space. Words of letters, digits and signs of ASCII
+    and Latin-1 are cut further as the vocabulary's own pattern cuts them, and each part goes to the
+    tokenizer's model; all other words go to the tokenizer whole.
     """
 
+    ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary's pattern
     WORD = re.compile(r"[^ \t\n\r]+")
-    PLAIN = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9]+")
-    VISIBLE = re.compile(r"[!-~]+")
+    PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9]+")
+    SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    # a byte's letter: itself where it is visible, else the next from 256 on
+    HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    LETTERS = {b: 256 + i for i, b in enumerate(HIDDEN)}
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def call(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
     def look_up(self, word: str) -> bytes:
-        if self.VISIBLE.fullmatch(word) and "<|" not in word:
+        if self.SIMPLE.fullmatch(word) and "<|" not in word:
             found = b""
             for part in self.PLAIN.findall(word.lower()):
                 ids = self.parts.get(part)
                 if ids is None:
                     if len(self.parts) >= CACHE:
                         self.parts.clear()
-                    ids = self.parts[part] = self.call(part)
+                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.LETTERS)
+                    ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
                 found += ids
         else:
-            found = self.call(word)
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 40:
             if len(self.words) >= CACHE:
                 self.words.clear()
@@ -68,10 +72,12 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        known, found = self.words, []
-        for word in self.WORD.findall(text):
-            ids = known.get(word)
-            found.append(self.look_up(word) if ids is None else ids)
+        words = self.WORD.findall(text) if self.ODD_SPACE.search(text) else text.split()
+        found = list(map(self.words.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.look_up(words[at])
         return b"".join(found)
 
 
