@@ -47,6 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of wide rows small, where the session does not say otherwise.
+
+    With Spark's default of 10,000 rows a batch of long texts or records takes gigabytes, in the JVM and again
+    in Python.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "16m"))
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/kgspark/{name}-{uuid.uuid4().hex[:12]}"
