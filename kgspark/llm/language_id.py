@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.session import bounded_batches
+
 from .common import rows_of
 
 UNKNOWN = "und"
@@ -165,6 +167,7 @@ def reader(model: Model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability), rejected."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of ROWS rows, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +186,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def recognized(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not rejected, with all their columns."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.session import stored
+from kgspark.session import bounded_batches, stored
 
 from .common import mixed, numbered, rows_of
 
@@ -157,6 +157,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     A document that a pass takes whole keeps its text; of one that it takes in parts, the parts follow each
     other on lines of their own. Documents without words are not in a mix.
     """
+    bounded_batches(docs.sparkSession)
     made = mix(docs, shards, seed)
     runs = made.pieces.where("times > 0").groupBy("source_no", "pos").agg(F.collect_list(F.struct("first_word", "n_words", "times")).alias("runs"))
     keys = ["doc_id", "source", "text_hash"]

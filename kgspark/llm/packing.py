@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from kgspark.session import bounded_batches
+
 from .common import rows_of
 
 END = 1
@@ -101,6 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end: int
     """Pieces: doc_id, start, length, doc_tokens, ids (unsigned 32-bit, little-endian), sequence_id, offset, bucket."""
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, last = encoder(tokenizer_path), np.array([end], "<u4").tobytes()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.session import stored
+from kgspark.session import bounded_batches, stored
 
 from .common import rows_of
 
@@ -85,6 +85,7 @@ def described(docs: DataFrame) -> DataFrame:
                 stats = [statistics(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<double>")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.session import stored
+from kgspark.session import bounded_batches, stored
 
 from .common import rows_of
 
@@ -96,6 +96,7 @@ def references(docs: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndar
         yield batch_of([(lang, "w" + w, n) for (lang, w), n in words.items()])
         yield batch_of([(lang, f"c{i}", int(n)) for lang, row in classes.items() for i, n in enumerate(row)])
 
+    bounded_batches(docs.sparkSession)
     known = docs.select("text", "lang").where("text is not null and lang is not null")
     counted = stored(known.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "rule-counts")
     is_word = F.col("item").startswith("w")
@@ -179,4 +180,5 @@ def judged(docs: DataFrame, usual: dict, class_limit: float = CLASS_LIMIT, word_
                 columns = [part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.session import stored
+from kgspark.session import bounded_batches, stored
 
 from .common import flat, mixed, rows_of
 from .components import components
@@ -227,6 +227,7 @@ class Joined:
 def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     """Links between different sets, as far as components need them, and each set's component (its smallest doc_id)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists")
