@@ -5,16 +5,15 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import running_sum
+
 # Fixed value: characters of JSON a result may have.
 BUDGET = 5000
 
-# JSON of a record with at least one field, nulls written: {"a":1}
-SHORTEST_RECORD = 7
-
 
 def json_length(record: Column) -> Column:
     """Length of the record as compact JSON with nulls written."""
@@ -39,32 +38,30 @@ def dumped_length(text: pd.Series) -> pd.Series:
 
 
 def within_budget(
-    rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int = BUDGET, shortest: int = SHORTEST_RECORD
+    rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int = BUDGET, block: Column | None = None
 ) -> DataFrame:
     """The first rows of each group while their sizes add up to at most ``budget``.
 
-    Sizes are positive, so the running sum only grows and the first overflow ends the group.
-    No more than ``budget / shortest`` rows can fit: that rank filter cuts every group to so
-    many rows per task before the shuffle, and bounds what one task sorts. (Spark does this up
-    to spark.sql.optimizer.windowGroupLimitThreshold, 1000 rows; the defaults stay below it.)
+    Sizes are not negative, so the running sum never falls and the first overflow ends the group.
+    ``block`` cuts the order as in ``ordered.running_sum``: one small row per block tells which
+    blocks begin within the budget, and only the rows of those are put in order.
     """
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    first = rows.withColumn("_size", size).withColumn("_rank", F.row_number().over(ordered))
-    first = first.filter(F.col("_rank") <= budget // shortest)
-    used = F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return first.withColumn("_used", used).filter(F.col("_used") <= budget).drop("_size", "_rank", "_used")
+    sized = rows.withColumn("_size", size)
+    block = F.lit(0) if block is None else block
+    return running_sum(sized, keys, order, block, F.col("_size"), "_used", most=budget).filter(F.col("_used") <= budget).drop("_size", "_used")
 
 
 def result_within_budget(result: DataFrame, budget: int = BUDGET) -> DataFrame:
     """A whole result, in its own order, cut to the budget as one group.
 
-    Only so many rows can fit, so no more than those leave their tasks; the order of a sorted
-    result is kept by the limit and then numbered.
+    The rows are numbered as they stand, task after task, and each task's run of numbers is cut
+    into blocks.
     """
     columns = result.columns
-    first = result.limit(budget // SHORTEST_RECORD).withColumn("_seq", F.monotonically_increasing_id())
+    placed = result.withColumn("_seq", F.monotonically_increasing_id()).withColumn("_all", F.lit(1))
     record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return within_budget(first.withColumn("_all", F.lit(1)), ["_all"], ["_seq"], dumped_length(record), budget).select(*columns)
+    block = F.floor(F.col("_seq") / F.lit(1024))
+    return within_budget(placed, ["_all"], ["_seq"], dumped_length(record), budget, block).select(*columns)
 
 
 def limited(rows: DataFrame, limit: int | None) -> DataFrame:
@@ -73,12 +70,12 @@ def limited(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.limit(limit) if valid else rows
 
 
-def context_pack(results: DataFrame, descriptions: DataFrame, budget: int = BUDGET) -> DataFrame:
+def context_pack(results: DataFrame, descriptions: DataFrame, budget: int = BUDGET, width: int = 100_000) -> DataFrame:
     """Per question its results followed by descriptions, cut to the budget.
 
-    Both frames have (question_id, seq, record), record being JSON text of an object with at
-    least one field; anything shorter counts as long as the shortest of those.
+    Both frames have (question_id, seq, record), record being JSON text and seq an integer; a
+    block of the order holds ``width`` numbers.
     """
     both = results.withColumn("part", F.lit(0)).unionByName(descriptions.withColumn("part", F.lit(1)))
-    size = F.greatest(F.length("record"), F.lit(SHORTEST_RECORD))
-    return within_budget(both, ["question_id"], ["part", "seq"], size, budget)
+    block = F.struct("part", F.floor(F.col("seq") / F.lit(width)))
+    return within_budget(both, ["question_id"], ["part", "seq"], F.length("record"), budget, block)

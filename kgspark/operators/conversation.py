@@ -53,17 +53,32 @@ def chunk_summaries(chunks: DataFrame) -> DataFrame:
     return grouped.withColumn("summary_text", summary).drop("_summary")
 
 
-def coalesce_sections(
-    messages: DataFrame, keys: list[str], order: list[str], block: Column, section: str = "section", text: str = "text"
+def section_rows(
+    messages: DataFrame, keys: list[str], order: list[str], block: Column, section: str = "section", text: str = "text", role: str = "role"
 ) -> DataFrame:
-    """Join the texts of consecutive messages of the same section; end markers do not count.
+    """The messages but end markers, numbered by ``run`` (from 1), as rows that are never gathered.
 
-    One row per run: keys, ``run`` (from 1), the section, the number of messages and the text.
+    Only messages of the assistant continue a run, and only after one of the assistant with the
+    same section; every other message is a run of its own.
     """
     spoken = messages.filter(~F.col(text).eqNullSafe(DONE))
-    runs = islands(spoken, keys, order, block, section, "run")
+    alone = F.when(~F.col(role).eqNullSafe("assistant"), F.struct(*order))
+    same = spoken.withColumn("_same", F.struct(F.col(section).alias("section"), alone.alias("alone")))
+    return islands(same, keys, order, block, "_same", "run").drop("_same")
+
+
+def coalesce_sections(
+    messages: DataFrame, keys: list[str], order: list[str], block: Column, section: str = "section", text: str = "text", role: str = "role"
+) -> DataFrame:
+    """Join the texts of each run of ``section_rows``.
+
+    One row per run: keys, ``run``, role, section, the number of messages and the text. The text of
+    a run is one value of the result, so its messages do meet in one task; where runs may be
+    larger than that, take the rows.
+    """
+    runs = section_rows(messages, keys, order, block, section, text, role)
     parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_text"))))
-    return runs.groupBy(*keys, "run", section).agg(
+    return runs.groupBy(*keys, "run", role, section).agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(parts, lambda p: p["_text"]), "").alias(text),
     )

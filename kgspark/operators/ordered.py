@@ -37,13 +37,19 @@ def _earlier(window: Window) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str):
-    """Add the sum of ``value`` over the group up to and including each row."""
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str, most: int | None = None):
+    """Add the sum of ``value`` over the group up to and including each row.
+
+    With ``most``, rows of blocks whose sum begins above it are left out before they are sorted.
+    """
     blocked = _blocked(rows, keys, block).withColumn("_value", value)
     totals = blocked.groupBy(_GROUP, _BLOCK).agg(F.sum("_value").alias("_total"))
     offsets = totals.select(
         _GROUP, _BLOCK, F.coalesce(F.sum("_total").over(_earlier(_across())), F.lit(0)).alias("_offset")
     )
+    if most is not None:
+        offsets = offsets.filter(F.col("_offset") <= most)
+        blocked = blocked.join(offsets.select(_GROUP, _BLOCK), [_GROUP, _BLOCK], "left_semi")
     local = blocked.withColumn(name, F.coalesce(F.sum("_value").over(_so_far(_inside(order))), F.lit(0)))
     total = F.col(name) + F.col("_offset")
     return local.join(offsets, [_GROUP, _BLOCK]).withColumn(name, total).drop(_GROUP, _BLOCK, "_value", "_offset")

@@ -492,7 +492,20 @@ _RECORD_JSON = "CAST(to_json({'doc_id': doc_id, 'lang': lang, 'text': text}) AS
 def size_budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", F.struct("doc_id", "lang", "text").alias("record"))
     size = budget.spaced_json_length(F.col("record"), 3)
-    return budget.within_budget(docs, ["source"], ["doc_id"], size).select("source", "doc_id")
+    block = F.floor(F.col("doc_id") / 1000)
+    return budget.within_budget(docs, ["source"], ["doc_id"], size, block=block).select("source", "doc_id")
+
+
+@query(
+    "budget_small_rows",
+    """WITH s AS (SELECT l_suppkey, l_orderkey, l_linenumber, 1 + l_orderkey % 3 AS size FROM lineitem)
+     SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, sum(size) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS used FROM s) WHERE used <= 700""",
+)
+def budget_small_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of one to three characters: hundreds of them fit a budget."""
+    items = table(spark, folder, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    size, block = 1 + F.col("l_orderkey") % 3, F.floor(F.col("l_orderkey") / 1000)
+    return budget.within_budget(items, ["l_suppkey"], ["l_orderkey", "l_linenumber"], size, 700, block)
 
 
 @query("limit_ordered", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -582,21 +595,40 @@ def _minute() -> Column:
     return F.unix_date(F.to_date("ts")).cast("bigint") * 1440 + F.hour("ts") * 60 + F.minute("ts")
 
 
+_RUNS_SQL = """WITH e AS (SELECT *, CASE WHEN role = 'assistant' AND lag(role) OVER w = 'assistant' AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS c
+       FROM ({spoken}) WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
+     r AS (SELECT *, sum(c) OVER (PARTITION BY {key} ORDER BY {order}) AS run FROM e)
+     SELECT {key}, CAST(run AS BIGINT) AS run, role, kind, count(*) AS n, string_agg(said, '' ORDER BY {order}) AS text
+     FROM r GROUP BY {key}, run, role, kind"""
+
+
 @query(
     "coalesce_sections",
-    """WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS c
-       FROM events WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-     r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
-     SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n, string_agg(concat(CAST(event_id AS STRING), ';'), '' ORDER BY ts, event_id) AS text
-     FROM r GROUP BY 1, 2, 3""",
+    _RUNS_SQL.format(spoken=f"SELECT conv_id, turn, role, {_SECTION_SQL} AS kind, text AS said FROM conversations", key="conv_id", order="turn"),
 )
 def coalesce_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Consecutive events of a kind, joined; signups stand for the end markers."""
+    """Consecutive answers of a kind, joined; every other message stays alone."""
+    messages = table(spark, folder, "conversations").withColumn("kind", F.expr(_SECTION_SQL))
+    runs = conversation.coalesce_sections(messages, ["conv_id"], ["turn"], conversation.turn_block(F.col("turn")), "kind")
+    return runs.withColumn("run", F.col("run").cast("bigint"))
+
+
+@query(
+    "coalesce_events",
+    _RUNS_SQL.format(
+        spoken="""SELECT user_id, ts, event_id, event_type AS kind, concat(CAST(event_id AS STRING), ';') AS said,
+          CASE WHEN event_type = 'purchase' THEN 'user' ELSE 'assistant' END AS role FROM events WHERE event_type <> 'signup'""",
+        key="user_id",
+        order="ts, event_id",
+    ),
+)
+def coalesce_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Consecutive events of a kind, joined; signups stand for the end markers, purchases for the user's messages."""
     marked = F.when(F.col("event_type") == "signup", conversation.DONE).otherwise(F.concat("event_id", F.lit(";")))
-    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", marked.alias("text"))
-    return conversation.coalesce_sections(events, ["user_id"], ["ts", "event_id"], _minute(), "event_type").withColumn(
-        "run", F.col("run").cast("bigint")
-    )
+    role = F.when(F.col("event_type") == "purchase", "user").otherwise("assistant")
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("kind"), role.alias("role"), marked.alias("text"))
+    runs = conversation.coalesce_sections(events, ["user_id"], ["ts", "event_id"], _minute(), "kind")
+    return runs.withColumn("run", F.col("run").cast("bigint"))
 
 
 @query(

@@ -14,6 +14,7 @@ from kgspark.operators.budget import (
     json_length,
     limited,
     spaced_json_length,
+    result_within_budget,
     within_budget,
 )
 from kgspark.operators.conversation import (
@@ -56,8 +57,17 @@ def test_blocked_scans(rows, width):
 def test_budget_stops_at_the_first_overflow(spark):
     rows = spark.createDataFrame([(1, 1, 3000), (1, 2, 2500), (1, 3, 10), (2, 1, 5000), (2, 2, 7), (3, 1, 5001)],
                                  "q int, seq int, size int")
-    kept = within_budget(rows, ["q"], ["seq"], F.col("size"))
-    assert sorted((r.q, r.seq) for r in kept.collect()) == [(1, 1), (2, 1)]
+    for width in (None, 1, 2, 100):
+        block = None if width is None else F.floor(F.col("seq") / width)
+        kept = within_budget(rows, ["q"], ["seq"], F.col("size"), block=block)
+        assert sorted((r.q, r.seq) for r in kept.collect()) == [(1, 1), (2, 1)]
+
+
+def test_budget_keeps_all_small_rows(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("q"), F.col("id").alias("seq"), (F.col("id") % 2).alias("size"))
+    kept = within_budget(rows, ["q"], ["seq"], F.col("size"), 1400, F.floor(F.col("seq") / 250))
+    assert kept.count() == 2802 - 1
+    assert result_within_budget(spark.range(3000), 100).count() == 11
 
 
 def test_json_lengths(spark):
@@ -110,12 +120,16 @@ def test_turn_chunks(spark):
 
 
 def test_sections_join_over_end_markers(spark):
+    a = "assistant"
     messages = spark.createDataFrame(
-        [(1, 1, "A", "x"), (1, 2, "A", "DONE"), (1, 3, "A", "y"), (1, 4, "B", "z"), (1, 5, "A", None)],
-        "s int, seq bigint, section string, text string",
+        [(1, 1, a, "A", "x"), (1, 2, a, "A", "DONE"), (1, 3, a, "A", "y"), (1, 4, a, "B", "z"), (1, 5, a, "A", None),
+         (1, 6, "user", "A", "q1"), (1, 7, "user", "A", "q2"), (1, 8, a, "A", "v"), (1, 9, None, "A", "w")],
+        "s int, seq bigint, role string, section string, text string",
     )
     found = coalesce_sections(messages, ["s"], ["seq"], F.floor(F.col("seq") / 2)).orderBy("run")
-    assert [tuple(r) for r in found.collect()] == [(1, 1, "A", 2, "xy"), (1, 2, "B", 1, "z"), (1, 3, "A", 1, "")]
+    assert [tuple(r) for r in found.collect()] == [
+        (1, 1, a, "A", 2, "xy"), (1, 2, a, "B", 1, "z"), (1, 3, a, "A", 1, ""), (1, 4, "user", "A", 1, "q1"),
+        (1, 5, "user", "A", 1, "q2"), (1, 6, a, "A", 1, "v"), (1, 7, None, "A", 1, "w")]
 
 
 def test_thinking(spark):

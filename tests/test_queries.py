@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from kgspark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,12 +28,12 @@ def text(value):
     return f"{value:.6f}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_its_sql(spark, database, name):
-    frame = entry.queries()[name](spark, FOLDER)
+    frame = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
     found = sorted(tuple(map(text, row)) for row in frame.select(*columns).collect())
-    cursor = database.execute(entry.oracle_sql()[name])
+    cursor = database.execute(registry.SQL[name])
     names = [column[0] for column in cursor.description]
     assert sorted(names) == columns
     places = [names.index(column) for column in columns]
