@@ -6,10 +6,11 @@ listed under those parts alone: list blocks at later positions cannot hold a lin
 not, and are skipped for its size. A list is keyed by size class, position and content of a part, so a
 passage that many documents share makes no list by itself.
 
-Answers from answers. Equal sets fold to one. In a first step every set is compared with one pivot, the
-smallest set (by hash) it shares a list with. All later answers lean on the pivot's: sets that are connected need no
-comparison, and of two sets with the same pivot, distances to it that lie too far apart rule a link out.
-Only pairs that neither settles, and whose bit sketches are close enough, are compared in full.
+Answers from answers. Equal sets fold to one. In STEPS steps every set is compared with one other, the one
+with the closest bit sketch in its lists that it is not connected with yet; the first of these is its pivot.
+All later answers lean on those: sets that are connected need no comparison, and of two sets with the same
+pivot, distances to it that lie too far apart rule a link out. The last step compares all pairs that are left
+open by that and by their sketches, so no link between different components is lost.
 
 Sizes and distances: a pair with sizes a and b links at similarity t if and only if the number of
 shingles in one of them alone is at most (1 - t) / (1 + t) of a + b.
@@ -37,7 +38,8 @@ from .components import components
 
 WIDTH = 3
 CACHE = 500_000
-SKETCH = 64  # bytes
+SKETCH = 256  # bytes; two sets differ in no fewer shingles than their sketches do in bits
+STEPS = 2
 WORDS: dict[bytes, int] = {}
 
 
@@ -184,8 +186,11 @@ def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(apart, pa.int64())], names=["a", "b", "apart"])
 
 
-def open_pairs(rule: Rule):
-    """Pairs within lists that are not connected and that neither size, pivot nor sketch rules out."""
+def open_pairs(rule: Rule, nearest: bool):
+    """Pairs within lists that are not connected and that neither size, pivot nor sketch rules out.
+
+    With ``nearest``, for each set the one with the closest sketch, else all. ``far`` is the sketches' distance.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         key, sid, n, home, pivot, d = (group.column(c).to_numpy() for c in ("list", "sid", "n", "home", "pivot", "apart"))
@@ -195,6 +200,7 @@ def open_pairs(rule: Rule):
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         at, found, step = np.arange(len(key)), [], 0
+        best, least = np.zeros(len(key), np.int64), np.full(len(key), 1 << 40)
         while len(at):
             step += 1
             at = at[at + step < ends[at]]
@@ -205,12 +211,23 @@ def open_pairs(rule: Rule):
             limit = rule.apart(n[i] + n[j])
             ok = (pivot[i] != pivot[j]) | (np.abs(d[i] - d[j]) <= limit)
             i, j, limit = i[ok], j[ok], limit[ok]
-            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= limit
-            i, j = i[ok], j[ok]
-            if len(i):
-                found.append(np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            ok = far <= limit
+            i, j, far = i[ok], j[ok], far[ok]
+            if nearest:
+                for x, y in ((i, j), (j, i)):  # in one step a row stands on a side once
+                    closer = far < least[x]
+                    best[x[closer]], least[x[closer]] = sid[y[closer]], far[closer]
+            elif len(i):
+                found.append(np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), far], 1), axis=0))
+        if nearest:
+            has = np.flatnonzero(least < 1 << 40)
+            has = has[np.lexsort((best[has], least[has], sid[has]))]
+            has = has[np.concatenate([[True], sid[has][1:] != sid[has][:-1]])[: len(has)]]
+            pairs = np.stack([sid[has], best[has], least[has]], 1)
+        else:
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "far": pa.array(pairs[:, 2])})
 
     return run
 
@@ -235,47 +252,50 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     known = sets.where("doc_id is not null and sid is not null")
     held_by = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     entries = known.where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
-    shared = entries.groupBy("list").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where("pivot <> last").drop("last")
-    lists = stored(entries.join(shared, "list").select("list", "sid", "n", "pivot"), "set-shared-lists")
-    pivots = stored(lists.groupBy("sid").agg(F.min("pivot").alias("pivot")), "set-pivots")
-    wanted = pivots.select("sid").join(held_by, "sid")
+    shared = entries.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
+    lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
+    wanted = lists.select("sid").distinct().join(held_by, "sid")
     whole = texts.join(wanted, "doc_id").select("sid", "text")
     whole = stored(whole.mapInArrow(whole_sets, "sid long, n long, own binary, sketch binary"), "set-whole")
 
     def measured(pairs: DataFrame) -> DataFrame:
         left = whole.select(F.col("sid").alias("a"), F.col("own").alias("x"))
-        right = whole.select(F.col("sid").alias("b"), F.col("own").alias("y"), F.col("n").alias("nb"))
+        right = whole.select(F.col("sid").alias("b"), F.col("own").alias("y"))
         met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return met.mapInArrow(measure, "a long, b long, apart long")
+        return stored(met.mapInArrow(measure, "a long, b long, apart long"), "set-measured")
 
     def linked(pairs: DataFrame) -> DataFrame:
         size = lambda name: whole.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"))
         limit = _apart(rule, F.col("n_a") + F.col("n_b"))
-        return pairs.join(size("a"), "a").join(size("b"), "b").where(F.col("apart") <= limit).select("a", "b", "apart")
-
-    first = stored(measured(pivots.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))), "set-first")
-    first_links = stored(linked(first), "set-first-links")
-    homes = components(first_links.select("a", "b"))
-    placed = (
-        lists.select("list", "sid", "n")
-        .join(homes.select(F.col("node").alias("sid"), "least"), "sid", "left")
-        .select("list", "sid", "n", F.coalesce("least", "sid").alias("home"))
-    )
-    placed = stored(placed, "set-placed")
-    mixed_lists = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("list")
-    distance = first.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "apart")
-    rest = (
-        placed.join(mixed_lists, "list")
-        .join(distance, "sid", "left")
-        .join(whole.select("sid", "sketch"), "sid")
-        .select("list", "sid", "n", "home", F.coalesce("pivot", "sid").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), "sketch")
-    )
-    bucket = F.pmod(F.col("list"), F.lit(8 * parts))
-    left_open = rest.groupBy(bucket).applyInArrow(open_pairs(rule), "a long, b long").distinct()
-    later = stored(linked(measured(left_open)), "set-later-links")
-    links = first_links.unionByName(later)
-    joined = components(links.select("a", "b"))
-    grown = held_by.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("least", "sid").alias("home"))
+        return stored(pairs.join(size("a"), "a").join(size("b"), "b").where(F.col("apart") <= limit).select("a", "b", "apart"), "set-links")
+
+    def open_(homes: DataFrame, pivots: DataFrame, nearest: bool) -> DataFrame:
+        placed = lists.join(homes, "sid", "left").select("list", "sid", "n", F.coalesce("home", "sid").alias("home"))
+        several = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("list")
+        rest = (
+            placed.join(several, "list")
+            .join(pivots, "sid", "left")
+            .join(whole.select("sid", "sketch"), "sid")
+            .select("list", "sid", "n", "home", F.coalesce("pivot", "sid").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), "sketch")
+        )
+        found = rest.groupBy(F.pmod(F.col("list"), F.lit(8 * parts))).applyInArrow(open_pairs(rule, nearest), "a long, b long, far long")
+        if nearest:
+            found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    homes = spark.createDataFrame([], "sid long, home long")
+    pivots = spark.createDataFrame([], "sid long, pivot long, apart long")
+    links = None
+    for step in range(STEPS + 1):
+        compared = measured(open_(homes, pivots, nearest=step < STEPS))
+        if not step:
+            near = compared.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near"))
+            pivots = near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart")
+        fresh = linked(compared)
+        links = fresh if links is None else links.unionByName(fresh)
+        homes = components(links.select("a", "b")).select(F.col("node").alias("sid"), F.col("least").alias("home"))
+    joined = homes.withColumnRenamed("home", "least")
+    grown = held_by.join(joined, "sid", "left").select("sid", "doc_id", F.coalesce("least", "sid").alias("home"))
     least = grown.groupBy("home").agg(F.min("doc_id").alias("component"))
     members = stored(grown.join(least, "home").select("sid", "component"), "set-members")
     return Joined(documents, links, members)
