@@ -49,4 +49,4 @@ def test_probabilities_equal_the_bags_own(spark):
     read = language_id.reader(model)
     for r in docs.collect():
         rows, share = language_id.bag(r.text)
-        assert abs(read(r.text)[1] - model.probabilities(share @ model.table[rows]).max()) < 1e-5
+        assert abs(read.read([r.text])[0][1] - model.probabilities(share @ model.table[rows]).max()) < 1e-5
