@@ -63,16 +63,6 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
-def local_name(tag: Column) -> Column:
-    """``{namespace}tag`` or ``tag`` to ``tag``."""
-    return F.substring_index(tag, "}", -1)
-
-
-def strip_namespaces(record: Column) -> Column:
-    """Drop namespace declarations from XML text."""
-    return F.regexp_replace(record, r"""\sxmlns(:\w+)?="[^"]+\"""", "")
-
-
 def same_ci(left: Column, right: Column) -> Column:
     """Case-insensitive equality; an equi-join condition when used in a join."""
     return F.lower(left) == F.lower(right)

@@ -25,7 +25,7 @@ from ..operators.shred import (
 )
 from ..schemas import LABELS, METABOLITE, PROTEIN
 from ..session import stored
-from ..sources.graph_store import GraphStore
+from ..sources.graph_store import GraphStore, folder_names
 from ..sources.xml_records import POSITION, parse_records, scan_records
 
 # passes in the order they are written; what the graph already holds comes before all
@@ -62,6 +62,27 @@ def malformed(records: DataFrame) -> DataFrame:
     return records.filter(F.col("_malformed").isNotNull()).select(*POSITION, "_malformed")
 
 
+def quarantine(store: GraphStore, records: DataFrame, tag: str) -> int:
+    """Keep what did not parse as a table below ``<root>/malformed`` and say how many records that are.
+
+    The graph is loaded from the others. Returns their number.
+    """
+    bad = malformed(records)
+    n = bad.count()
+    if n:
+        folder = f"{store.root}/malformed/{tag}-{uuid.uuid4().hex[:12]}"
+        bad.write.parquet(folder)
+        print(f"{n} {tag} records do not parse; they are kept in {folder}")
+    return n
+
+
+def quarantined(store: GraphStore, tag: str) -> DataFrame:
+    """All records of a tag that did not parse: position and text."""
+    folders = [f"{store.root}/malformed/{name}" for name in folder_names(store, "malformed") if name.startswith(f"{tag}-")]
+    schema = "_file string, _block bigint, _row bigint, _malformed string"
+    return store.spark.read.schema(schema).parquet(*folders) if folders else store.spark.createDataFrame([], schema)
+
+
 def _stored_writes(store: GraphStore, label: str, writes: list[DataFrame]) -> list[DataFrame]:
     """Stored nodes as the oldest write of their label."""
     key, props = LABELS[label]
@@ -79,26 +100,27 @@ def load_records(store: GraphStore, records: DataFrame, label: str, writers: lis
 
     Edges need no endpoint check here: every statement writes both ends before the edge.
     """
-    new = store.snapshot() + 1
+    load = store.begin()
     writes = writes_by_label(records, label, writers, passno)
 
     def write(name: str | None) -> None:
         if name is None:
             edges = all_edges(records, label, writers)
-            store.write_edges(distinct_edges([store.edges(), *edges]), new)
+            store.write_edges(distinct_edges([store.edges(), *edges]), load)
             return
         merged = merge_writers(_stored_writes(store, name, writes[name]), LABELS[name][0])
-        store.write_nodes(name, merged, new)
+        store.write_nodes(name, merged, load)
 
     # the tables do not depend on each other: small ones fill the cores large ones leave free
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(inheritable_thread_target(records.sparkSession)(write), [None, *writes]))
-    store.publish(new)
-    return new
+    store.publish(load)
+    return load.number
 
 
 def load_metabolites(spark: SparkSession, store: GraphStore, path, prefix: str | None = None) -> int:
     records = parse_file(spark, store, path, "metabolite", METABOLITE, ontology=True, prefix=prefix)
+    quarantine(store, records, "metabolite")
     return load_records(store, with_key(records), "Metabolite", metabolite_writers(), METABOLITES)
 
 
@@ -108,4 +130,5 @@ def load_proteins(
     """Load protein records; by default those whose node exists before the load are skipped."""
     known = store.nodes("Protein").select(F.col("proteinAcc").alias("accession")) if skip_existing else None
     records = parse_file(spark, store, path, "protein", PROTEIN, prefix=prefix, known=known)
+    quarantine(store, records, "protein")
     return load_records(store, with_key(records), "Protein", protein_writers(), PROTEINS)

@@ -1,13 +1,17 @@
 """Graph tables on a shared file system.
 
-``<root>/snapshot=<n>/nodes/<Label>`` holds one typed table per label and
-``<root>/snapshot=<n>/edges`` the edges, partitioned by type. A load writes a new snapshot
-next to the one it reads; the snapshot counts once its marker file is there, so a job that
-dies leaves the graph as it was.
+A load writes its tables below a folder of its own, ``<root>/load-<id>``: ``nodes/<Label>``, one typed
+table per label, and ``edges``, partitioned by type. It counts once ``<root>/commits/<n>.json`` is there,
+which names that folder and the tables the load vouches for; a table is read from the newest commit that
+lists it. A job that dies leaves a folder that no commit names. Commit files are created, never replaced:
+of two loads that began from the same graph, the second to finish fails and can be run again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,43 +20,65 @@ from pyspark.sql import functions as F
 from ..operators.budget import limited, result_within_budget
 from ..schemas import EDGE_COLUMNS, EDGE_SCHEMA, LABELS, label_schema
 
-_MARKER = "_COMPLETE"
 NODE_COLUMNS = ["label", "pk", "props"]
 
 
+@dataclass
+class Load:
+    """A load under way: its number once published, its folder, the tables it has written whole."""
+
+    number: int
+    folder: str
+    tables: set[str] = field(default_factory=set)
+
+
+def folder_names(store: GraphStore, part: str) -> list[str]:
+    """Names of what lies in a folder below the store's root."""
+    found = store.files().globStatus(store.path(f"{store.root}/{part}/*")) or []
+    return [f.getPath().getName() for f in found]
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _path(self, text: str):
+    def path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def _files(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _complete(self) -> list[int]:
-        """Numbers of the complete snapshots, newest first."""
-        found = self._files().globStatus(self._path(f"{self.root}/snapshot=*/{_MARKER}")) or []
-        return sorted((int(f.getPath().getParent().getName().split("=")[1]) for f in found), reverse=True)
+    def files(self):
+        return self.path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def snapshot(self) -> int:
-        """Number of the newest complete snapshot, 0 if there is none."""
-        return max(self._complete(), default=0)
-
-    def location(self, snapshot: int) -> str:
-        return f"{self.root}/snapshot={snapshot}"
-
-    def publish(self, snapshot: int) -> None:
-        self._files().create(self._path(f"{self.location(snapshot)}/{_MARKER}"), True).close()
+        """Number of the newest commit, 0 if there is none."""
+        return max((int(name.removesuffix(".json")) for name in folder_names(self, "commits")), default=0)
+
+    def begin(self) -> Load:
+        """A load on top of the newest commit."""
+        return Load(self.snapshot() + 1, f"{self.root}/load-{uuid.uuid4().hex[:16]}")
+
+    def publish(self, load: Load) -> None:
+        entry = json.dumps({"folder": load.folder, "tables": sorted(load.tables)})
+        try:
+            out = self.files().create(self.path(f"{self.root}/commits/{load.number}.json"), False)
+        except Exception as error:
+            raise RuntimeError(f"another load was published as number {load.number}; run this one again") from error
+        out.write(bytearray(entry, "utf-8"))
+        out.close()
+
+    def _tables(self) -> dict[str, str]:
+        """The folder of each table's newest version."""
+        found = {}
+        for number in range(1, self.snapshot() + 1):
+            lines = self.spark.read.text(f"{self.root}/commits/{number}.json").collect()  # one line
+            entry = json.loads("".join(r["value"] for r in lines))
+            found |= {table: f"{entry['folder']}/{table}" for table in entry["tables"]}
+        return found
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        """A table from the newest snapshot that wrote it: a load writes only what it changes."""
-        for number in self._complete():
-            path = f"{self.location(number)}/{part}"
-            if self._files().exists(self._path(path)):
-                return self.spark.read.schema(schema).parquet(path)
-        return self.spark.createDataFrame([], schema)
+        """A table from the newest load that wrote it: a load writes only what it changes."""
+        place = self._tables().get(part)
+        return self.spark.createDataFrame([], schema) if place is None else self.spark.read.schema(schema).parquet(place)
 
     def nodes(self, label: str) -> DataFrame:
         """The nodes of one label: its key and its properties as columns."""
@@ -65,25 +91,25 @@ class GraphStore:
         """All nodes in one form: label, pk and a map of the properties that are set."""
         return reduce(DataFrame.union, [as_property_maps(self.nodes(label), label, LABELS[label][0]) for label in LABELS])
 
-    def write_edges(self, edges: DataFrame, snapshot: int) -> None:
+    def write_edges(self, edges: DataFrame, load: Load) -> None:
         # rebalance keeps a type's files large and splits a type that holds most edges
-        edges.hint("rebalance", "rel_type").write.mode("overwrite").partitionBy("rel_type").parquet(
-            f"{self.location(snapshot)}/edges"
-        )
+        edges.hint("rebalance", "rel_type").write.partitionBy("rel_type").parquet(f"{load.folder}/edges")
+        load.tables.add("edges")
 
-    def write_nodes(self, label: str, nodes: DataFrame, snapshot: int) -> None:
+    def write_nodes(self, label: str, nodes: DataFrame, load: Load) -> None:
         key, props = LABELS[label]
         missing = [F.lit(None).cast("string").alias(p) for p in props if p not in nodes.columns]
         whole = nodes.select("*", *missing).select(key, *props)
-        whole.write.mode("overwrite").parquet(f"{self.location(snapshot)}/nodes/{label}")
+        whole.write.parquet(f"{load.folder}/nodes/{label}")
+        load.tables.add(f"nodes/{label}")
 
     def reset(self) -> None:
-        """Empty the graph by publishing a snapshot without rows."""
-        target = self.snapshot() + 1
+        """Empty the graph by publishing a load without rows."""
+        load = self.begin()
         for label in LABELS:
-            self.write_nodes(label, self.spark.createDataFrame([], label_schema(label)), target)
-        self.write_edges(self.spark.createDataFrame([], EDGE_SCHEMA), target)
-        self.publish(target)
+            self.write_nodes(label, self.spark.createDataFrame([], label_schema(label)), load)
+        self.write_edges(self.spark.createDataFrame([], EDGE_SCHEMA), load)
+        self.publish(load)
 
     def register_views(self) -> None:
         """Every label as a view of its name, and ``edges``, for use in SQL text."""

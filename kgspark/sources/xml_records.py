@@ -1,7 +1,9 @@
 """Splittable source of XML records.
 
 A file of ``<tag>...</tag>`` records is read as text with the closing tag as line separator,
-so one large file becomes many tasks. Each record then goes through ``from_xml`` once.
+so one large file becomes many tasks. Closing tags in other spellings (``</tag >``, or with a
+prefix that was not named) cut the pieces again; a file that has no others is one task. Each
+record then goes through ``from_xml`` once.
 """
 
 from __future__ import annotations
@@ -30,15 +32,24 @@ def _opening(tag: str) -> str:
     return rf"<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?(?<!/)>"
 
 
+def _closing(tag: str) -> str:
+    return rf"</(?:[\w.-]+:)?{tag}\s*>"
+
+
+def _cut_again(value: Column, tag: str) -> Column:
+    """A piece, cut at closing tags that are not spelled like the separator."""
+    return F.when(value.rlike(_closing(tag)), F.split(value, _closing(tag))).otherwise(F.array(value))
+
+
 def read_pieces(spark: SparkSession, path, tag: str, prefix: str | None = None, glob: str | None = None):
     """Text between closing tags, with its position: (_file, _block, _row, piece)."""
     raw = _pieces(spark.read, path, tag, prefix, glob)
-    return raw.select(
+    cut = raw.select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.col("value").alias("piece"),
+        F.explode(_cut_again(F.col("value"), tag)).alias("piece"),
     )
+    return cut.select("_file", "_block", F.monotonically_increasing_id().alias("_row"), "piece")
 
 
 def has_record(piece: Column, tag: str) -> Column:
@@ -58,7 +69,8 @@ def record_text(piece: Column, tag: str, prefix: str | None = None) -> Column:
     other = [F.contains(after, F.lit(f"<{name}{space}")) for space in " \n\t\r"]
     usual = F.contains(piece, plain) & ~(other[0] | other[1] | other[2] | other[3])
     found = F.regexp_extract(piece, rf"(?s)^.*({_opening(tag)}.*)$", 1)
-    rest = F.when(found != "", F.concat(found, close)).otherwise(F.lit(""))
+    spelled = F.regexp_extract(found, r"^<([\w.:-]+)", 1)
+    rest = F.when(found != "", F.concat(found, F.lit("</"), spelled, F.lit(">"))).otherwise(F.lit(""))
     return F.when(usual, F.concat(plain, after, close)).otherwise(rest)
 
 
@@ -74,12 +86,13 @@ def scan_records(
 def stream_records(spark: SparkSession, path, tag: str, prefix: str | None = None, files_per_batch: int = 64):
     """The same scan over files as they arrive; positions are added per micro-batch."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-    raw = _pieces(reader, path, tag, prefix, None)
-    return raw.filter(has_record(F.col("value"), tag)).select(
+    cut = _pieces(reader, path, tag, prefix, None).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        record_text(F.col("value"), tag, prefix).alias("record"),
+        F.explode(_cut_again(F.col("value"), tag)).alias("piece"),
     )
+    piece = F.col("piece")
+    return cut.filter(has_record(piece, tag)).select("_file", "_block", record_text(piece, tag, prefix).alias("record"))
 
 
 def count_elements(spark: SparkSession, path, tag: str, glob: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators.shred import metabolite_writers, protein_writers
 from ..plans.ingest import METABOLITES, PROTEINS, load_records, with_key
 from ..schemas import METABOLITE, PROTEIN
 from ..session import stored
-from ..sources.graph_store import GraphStore
+from ..sources.graph_store import GraphStore, folder_names
 from ..sources.xml_records import parse_records, stream_records
 
 
@@ -47,9 +47,11 @@ def ingest_stream(
     files_per_batch: int = 64,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Follow a folder of record files. With ``available_now`` it stops when all are read.
+    """Follow a folder of record files; every ``merge_every`` batches the graph takes them in.
 
-    Batches after the last full group wait for ``merge_arrived`` or the next group.
+    With ``available_now`` the call returns when all files are read and merged, the batches after
+    the last full group included. A query that goes on keeps those for the next group; after
+    it is stopped, ``merge_rest`` takes them in.
     """
     shape = METABOLITE if tag == "metabolite" else PROTEIN
 
@@ -64,4 +66,17 @@ def ingest_stream(
 
     writer = stream_records(spark, folder, tag, files_per_batch=files_per_batch).writeStream.foreachBatch(on_batch)
     writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if not available_now:
+        return writer.start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    merge_rest(store, tag, merge_every)
+    return query
+
+
+def merge_rest(store: GraphStore, tag: str = "metabolite", merge_every: int = 1) -> None:
+    """Merge the batches after the last full group. Merging them again with the next group changes nothing."""
+    arrived = [int(name) for name in folder_names(store, f"arrived/{tag}")]
+    first = (max(arrived, default=-1) + 1) // merge_every * merge_every
+    if arrived and first <= max(arrived):
+        merge_arrived(store, tag, first, max(arrived))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from kgspark.operators.catalog import key_violations
 from kgspark.operators.merge import with_endpoints
 from kgspark.plans import run_ingest
-from kgspark.plans.ingest import load_metabolites, load_proteins, malformed, parse_file
+from kgspark.plans.ingest import load_metabolites, load_proteins, malformed, parse_file, quarantined
 from kgspark.schemas import LABELS, METABOLITE
 from kgspark.sources.graph_store import GraphStore
 
@@ -291,3 +291,31 @@ def test_loading_again_changes_nothing(spark, files, tmp_path):
     assert found == {"protein_name": "Synthase", "name": "skipped"}
     store.reset()
     assert store.edges().count() == 0 and store.all_nodes().count() == 0
+
+
+def test_dead_load_leaves_the_graph_alone(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    first = store.begin()
+    store.write_nodes("Disease", spark.createDataFrame([("d",)], "diseaseName string"), first)
+    store.publish(first)
+    dead = store.begin()  # writes a table and never publishes
+    store.write_nodes("Disease", spark.createDataFrame([], "diseaseName string"), dead)
+    later = store.begin()
+    store.write_nodes("Tissue", spark.createDataFrame([("t",)], "tissueName string"), later)
+    store.publish(later)
+    assert store.nodes("Disease").count() == 1 and store.nodes("Tissue").count() == 1
+    with pytest.raises(RuntimeError, match="run this one again"):
+        store.publish(dead)
+    assert store.nodes("Disease").count() == 1
+
+
+def test_records_that_do_not_parse_are_kept_apart(spark, tmp_path, capsys):
+    path = tmp_path / "m.xml"
+    path.write_text("<r><metabolite><accession>M1</accession></metabolite><metabolite><accession>M2<oops></accession></metabolite></r>")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    load_metabolites(spark, store, str(path))
+    assert [r.accession for r in store.nodes("Metabolite").collect()] == ["M1"]
+    assert "1 metabolite records do not parse" in capsys.readouterr().out
+    bad = quarantined(store, "metabolite").collect()
+    assert len(bad) == 1 and "M2" in bad[0]["_malformed"]
+    assert quarantined(store, "protein").count() == 0
