@@ -1,8 +1,9 @@
 """Token chunks as a stream: think blocks lifted out, the rest handed on as section events.
 
 Chunks come as (stream_id, seq, section, text); a chunk whose text is null ends its stream.
-One short text per open stream is kept as state, in RocksDB. What one stream brings in one
-micro-batch meets in one task, to be put in order; the source limits how much that is.
+The text since the last event, which is none outside think blocks, is kept as state, in RocksDB;
+give ``idle_ms`` where streams may end without saying so. What one stream brings in one micro-batch
+meets in one task, to be put in order; the source limits how much that is.
 """
 
 from __future__ import annotations
@@ -29,40 +30,56 @@ EVENTS = T.StructType(
 )
 
 
-def lift_thinking(held: str) -> tuple[list[str], str]:
-    """Closed think blocks of a text, and the text around them."""
-    blocks = []
-    while OPEN in held and CLOSE in held:
-        before, rest = held.split(OPEN, 1)
-        block, _, after = rest.partition(CLOSE)
-        if block.strip():
-            blocks.append(block.strip())
-        held = before + after
-    return blocks, held
+def scanned(plain: str, inside: str | None, chunk: str) -> tuple[str, str | None, list[str]]:
+    """One scan from left to right over a chunk: (plain text so far, open block or None, closed blocks).
 
-
-def is_kept(section: str | None, text: str) -> bool:
-    """Whether a text adds to the result of its stage."""
-    return section != THINKING and text != DONE and text not in FENCES
-
-
-def fold_chunk(held: str, section: str | None, chunk: str) -> tuple[str, list[tuple]]:
-    """What is held after a chunk, and the (section, text, kept) events it sets free.
-
-    Text is held only while a think block is open; a tag split over two chunks is plain text.
+    Outside a block the next opening tag counts, inside it the next closing tag, which may lie
+    across chunks. A block that opens after a closing tag of its own text is closed where the
+    chunk ends.
     """
-    blocks, held = lift_thinking(held + chunk)
-    events = [(THINKING, block, False) for block in blocks]
-    if held and OPEN not in held:
-        events.append((section, held, is_kept(section, held)))
-        held = ""
-    return held, events
-
-
-def end_stream(held: str, section: str | None) -> list[tuple]:
-    """Events at the end of a stream: what an unclosed block held, then the end marker."""
-    rest = [(section, held, is_kept(section, held))] if held else []
-    return [*rest, (section, DONE, False)]
+    blocks, rest = [], (inside or "") + chunk
+    is_open = inside is not None
+    while True:
+        at = rest.find(CLOSE if is_open else OPEN)
+        if at < 0:
+            break
+        if is_open:
+            blocks.append(rest[:at])
+        else:
+            plain += rest[:at]
+        rest = rest[at + len(CLOSE if is_open else OPEN) :]
+        is_open = not is_open
+    if not is_open:
+        return plain + rest, None, blocks
+    if CLOSE in plain:
+        return plain, None, [*blocks, rest]
+    return plain, rest, blocks
+
+
+class Scan:
+    """The text of one stream between events. Text is kept back only while a think block is open."""
+
+    def __init__(self, plain: str = "", inside: str | None = None, section: str | None = None, n: int = 0):
+        self.plain, self.inside, self.section, self.n = plain, inside, section, n
+
+    def feed(self, chunk: str) -> list[tuple]:
+        """The events (section, text, kept) a chunk sets free: closed blocks, then the text around them."""
+        self.plain, self.inside, blocks = scanned(self.plain, self.inside, chunk)
+        events = [(THINKING, block.strip(), False) for block in blocks if block.strip()]
+        if self.inside is None:
+            events += self._text(self.plain)
+            self.plain = ""
+        return events
+
+    def finish(self) -> list[tuple]:
+        """An unclosed block is text in the end; the end marker follows."""
+        rest = self.plain if self.inside is None else self.plain + OPEN + self.inside
+        self.plain, self.inside = "", None
+        return [*self._text(rest), (self.section, DONE, False)]
+
+    def _text(self, text: str) -> list[tuple]:
+        kept = self.section != THINKING and text != DONE and text not in FENCES
+        return [(self.section, text, kept)] if text else []
 
 
 class ChunkFold(StatefulProcessor):
@@ -73,40 +90,29 @@ class ChunkFold(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        kind = T.StructType(
-            [
-                T.StructField("held", T.StringType()),
-                T.StructField("section", T.StringType()),
-                T.StructField("n", T.LongType()),
-            ]
-        )
-        self.state = handle.getValueState("stream", kind)
+        fields = [("plain", T.StringType()), ("inside", T.StringType()), ("section", T.StringType()), ("n", T.LongType())]
+        self.state = handle.getValueState("stream", T.StructType([T.StructField(*field) for field in fields]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held, section, n = self.state.get() if self.state.exists() else ("", None, 0)
+        scan = Scan(*self.state.get()) if self.state.exists() else Scan()
         chunks = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        events, ended = [], False
-        for chunk_section, text in zip(chunks["section"], chunks["text"]):
-            section = chunk_section if chunk_section is not None else section
+        first, events, ended = scan.n, [], False
+        for section, text in zip(chunks["section"], chunks["text"]):
+            scan.section = section if section is not None else scan.section
             ended = text is None
-            if ended:
-                events += end_stream(held, section)
-                held = ""
-            elif text:
-                held, freed = fold_chunk(held, section, text)
-                events += freed
+            events += scan.finish() if ended else scan.feed(text)
         if ended:
             self.state.clear()
         else:
-            self.state.update((held, section, n + len(events)))
+            self.state.update((scan.plain, scan.inside, scan.section, first + len(events)))
         self._watch(timerValues, ended)
-        yield self._frame(key, n, events)
+        yield self._frame(key, first, events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         if self.state.exists():
-            held, section, n = self.state.get()
+            scan = Scan(*self.state.get())
             self.state.clear()
-            yield self._frame(key, n, end_stream(held, section))
+            yield self._frame(key, scan.n, scan.finish())
 
     def close(self) -> None:
         pass

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from kgspark.plans.ingest import load_metabolites
 from kgspark.sources.graph_store import GraphStore
-from kgspark.streaming.chunks import end_stream, fold_chunk, fold_stream
+from kgspark.operators.conversation import coalesce_sections
+from kgspark.streaming.chunks import Scan, fold_stream
 from kgspark.streaming.ingest import ingest_stream, merge_arrived
-from kgspark.streaming.sections import section_runs
+from kgspark.streaming.sections import section_pieces, section_texts
 
 CHUNKS = "stream_id string, seq bigint, section string, text string"
 
 
 def folded(chunks, section):
-    held, events = "", []
+    scan, events = Scan(section=section), []
     for chunk in chunks:
-        held, freed = fold_chunk(held, section, chunk)
-        events += freed
-    return events + end_stream(held, section)
+        events += scan.feed(chunk)
+    return events + scan.finish()
 
 
 def test_chunk_rules():
@@ -63,25 +63,19 @@ def test_chunk_stream_equals_the_fold(spark, tmp_path):
     assert found == {s: folded([c for c in chunks if c], "S") for s, chunks in streams.items()}
 
 
-def test_section_stream(spark, tmp_path):
+def test_section_stream_equals_the_batch_job(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c, n, rng.choice(["user", "assistant", "assistant", "assistant", None]), rng.choice(["A", "B", None]), rng.choice(["x", "y", "DONE", None]))
+            for c in range(4) for n in range(40)]
     schema = "conv_id bigint, seq bigint, role string, section string, text string"
-    parts = [
-        [(1, 1, "user", None, "q"), (1, 2, "assistant", "A", "x"), (1, 3, "assistant", "A", "y")],
-        [(1, 4, "assistant", "A", "DONE"), (1, 5, "assistant", "A", "z"), (1, 6, "assistant", "B", None), (2, 1, "assistant", "A", "w")],
-    ]
-    for i, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    for i in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 10 == i], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    seen = {}
-
-    def keep(batch, _number):
-        for r in batch.collect():
-            seen[(r.conv_id, r.run)] = (r.role, r.section, r.text)
-
-    run(section_runs(source).writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    assert seen == {(1, 1): ("user", None, "q"), (1, 2): ("assistant", "A", "xyz"), (1, 3): ("assistant", "B", ""),
-                    (2, 1): ("assistant", "A", "w")}
+    run(section_pieces(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(str(tmp_path / "out")))
+    live = section_texts(spark.read.parquet(str(tmp_path / "out"))).select("conv_id", "run", "role", "section", "n", "text")
+    batch = coalesce_sections(spark.createDataFrame(rows, schema), ["conv_id"], ["seq"], F.floor(F.col("seq") / 7))
+    assert sorted(map(str, live.collect())) == sorted(map(str, batch.select(*live.columns).collect()))
 
 
 def test_file_stream_builds_the_same_graph(spark, tmp_path):
@@ -100,10 +94,12 @@ def test_file_stream_builds_the_same_graph(spark, tmp_path):
     live = GraphStore(spark, str(tmp_path / "live"))
     run(ingest_stream(spark, live, str(folder), str(tmp_path / "cp"), merge_every=2, files_per_batch=1))
     assert live.snapshot() == 1
-    for store in (batch, live):
+    odd = GraphStore(spark, str(tmp_path / "odd"))  # two batches in groups of three: the rest is merged at the end
+    run(ingest_stream(spark, odd, str(folder), str(tmp_path / "cp2"), merge_every=3, files_per_batch=1))
+    for store in (batch, live, odd):
         store.answer = (sorted(map(str, store.all_nodes().collect())), sorted(store.edges().collect()))
     # files arrive in the order of their names here, as the batch job takes them
-    assert live.answer == batch.answer
+    assert live.answer == batch.answer == odd.answer
     merge_arrived(live, "metabolite", 0, 1)
     assert sorted(map(str, live.all_nodes().collect())) == batch.answer[0]
     assert live.nodes("Metabolite").filter(F.col("name") == "n1").count() == 6
