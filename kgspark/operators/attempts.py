@@ -18,11 +18,6 @@ def numbered(log: DataFrame, keys: list[str], order: list[str], block: Column) -
     return running_sum(log, keys, order, block, F.lit(1), "attempt")
 
 
-def stamped(log: DataFrame) -> DataFrame:
-    """Attempts with the time they were recorded."""
-    return log.withColumn("ts", F.current_timestamp())
-
-
 def newest_attempts(log: DataFrame, n: int = SHOWN) -> DataFrame:
     return last_rows(log, ["question_id"], ["attempt"], n)
 
@@ -48,3 +43,26 @@ def outcomes(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
         .otherwise("failed")
     )
     return summary.withColumn("status", status).drop("_end")
+
+
+def _until(log: DataFrame, done: Column, retries: int, names: tuple[str, str]) -> DataFrame:
+    """Per question the retries a loop took that ends with the first attempt where ``done`` holds.
+
+    A loop gives up after ``retries`` of them; what a log holds beyond its end is not counted.
+    """
+    summary = log.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.coalesce(done, F.lit(False)), F.col("attempt"))).alias("_done")
+    )
+    ended = F.when(F.col("_done") <= retries + 1, names[0]).when(F.col("_n") > retries, names[1]).otherwise("open")
+    taken = F.least(F.coalesce(F.col("_done"), F.col("_n")) - 1, F.lit(retries))
+    return summary.select("question_id", taken.cast("bigint").alias("retries"), ended.alias("status"))
+
+
+def empty_outcomes(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Queries run again because they gave no rows: found, none (no retry left) or open."""
+    return _until(log, F.col("n_results") > 0, max_retries, ("found", "none"))
+
+
+def sufficiency_outcomes(log: DataFrame, max_retries: int = SUFFICIENCY_RETRIES) -> DataFrame:
+    """Results judged until they suffice (``should_retry`` is false): sufficient, insufficient or open."""
+    return _until(log, ~F.col("should_retry"), max_retries, ("sufficient", "insufficient"))

@@ -47,6 +47,7 @@ class TextIndex:
     bags: DataFrame
     postings: DataFrame
     terms: DataFrame
+    k: int = TOP
 
     def search(
         self, queries: DataFrame, last: str = "fuzzy", similarity: float | None = None, k: int = TOP
@@ -54,8 +55,11 @@ class TextIndex:
         """The k best nodes per query: (query_id, rank, pk, shown, score).
 
         queries: (query_id, text). ``last`` says what the last word of a query is: fuzzy,
-        prefix or exact. k may not exceed the k the index was built with.
+        prefix or exact. The tables hold what the ``k`` best hits need and no more, so a larger
+        k than the index was built with is refused.
         """
+        if k > self.k:
+            raise ValueError(f"the index answers for the {self.k} best hits; build it with k={k}")
         asked = queries.select("query_id", F.array_join(tokens(F.col("text")), " ").alias("query"))
         asked = stored(asked.filter(F.col("query") != ""), "search-queries")
         hits = self._hits(asked.select("query").distinct(), last, similarity, k)
@@ -194,11 +198,15 @@ def build_index(entries: DataFrame, path: str | None = None, k: int = TOP) -> Te
 
     bags = stored(_bags(entries, k), "bags", f"{target}/bags")
     postings = stored(_postings(bags), "postings", f"{target}/postings")
-    return TextIndex(bags, postings, stored(_terms(bags, postings, k), "terms", f"{target}/terms"))
+    terms = stored(_terms(bags, postings, k), "terms", f"{target}/terms")
+    entries.sparkSession.createDataFrame([(k,)], "k int").write.parquet(f"{target}/made")
+    return TextIndex(bags, postings, terms, k)
 
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("bags", "postings", "terms")])
+    """An index that ``build_index`` wrote to ``path``."""
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("bags", "postings", "terms")]
+    return TextIndex(*tables, spark.read.parquet(f"{path}/made").first()["k"])
 
 
 def first_above(hits: DataFrame, threshold: float) -> DataFrame:

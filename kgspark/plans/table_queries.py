@@ -644,7 +644,7 @@ def drop_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def _attempt_log(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     log = events.select(
-        F.col("user_id").alias("question_id"), "ts", "event_id",
+        F.col("user_id").alias("question_id"), "ts", "event_id", "event_type",
         F.when(F.col("event_type") == "error", F.concat(F.lit("failed "), "event_id")).alias("error"),
         F.when(F.col("event_type") == "view", 0).otherwise(1).alias("n_results"),
     )
@@ -672,6 +672,25 @@ def attempt_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return attempts.outcomes(_attempt_log(spark, folder))
 
 
+def _until_sql(done: str, retries: int, names: tuple[str, str]) -> str:
+    return f"""WITH s AS (SELECT question_id, count(*) AS n, min(attempt) FILTER ({done}) AS d FROM ({_LOG_SQL}) GROUP BY 1)
+     SELECT question_id, CAST(least(coalesce(d, n) - 1, {retries}) AS BIGINT) AS retries,
+       CASE WHEN d <= {retries + 1} THEN '{names[0]}' WHEN n > {retries} THEN '{names[1]}' ELSE 'open' END AS status FROM s"""
+
+
+@query("empty_retry_outcomes", _until_sql("event_type = 'purchase'", 5, ("found", "none")))
+def empty_retry_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases stand for results with rows."""
+    log = _attempt_log(spark, folder).withColumn("n_results", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
+    return attempts.empty_outcomes(log)
+
+
+@query("sufficiency_outcomes", _until_sql("event_type = 'signup'", 3, ("sufficient", "insufficient")))
+def sufficiency_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Signups stand for the judgement that results suffice."""
+    return attempts.sufficiency_outcomes(_attempt_log(spark, folder).withColumn("should_retry", F.col("event_type") != "signup"))
+
+
 # --- messages ---------------------------------------------------------------------------------------------------
 
 _TAGGED_SQL = "CASE WHEN role = 'assistant' THEN concat('a<think>  ', substr(text, 1, 25), chr(10), '</think>b<think> </think>', substr(text, 26)) ELSE text END"

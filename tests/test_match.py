@@ -8,7 +8,7 @@ import pytest
 
 from kgspark.operators.fuzzy import similar_terms, terms_with_prefix
 from kgspark.operators.resolve import best_exact, best_fuzzy, dispatched, match_metabolites, match_names, synonym_hits
-from kgspark.operators.text_index import build_index
+from kgspark.operators.text_index import build_index, load_index
 
 
 def edit_distance(a, b):
@@ -162,3 +162,13 @@ def test_dispatch_keeps_every_mention(spark):
     assert [(r.query_id, r.shown) for r in best_fuzzy(q, names).orderBy("query_id").collect()] == [
         (1, "gout"), (2, "pancreatic cancer")]
     assert [(r.query_id, r.shown) for r in best_exact(q, names).collect()] == [(2, "pancreatic cancer")]
+
+
+def test_stored_index_knows_its_k(spark, tmp_path):
+    entries = spark.createDataFrame([(i, "same words", f"n{i}") for i in range(10)], "pk bigint, text string, shown string")
+    built = build_index(entries, str(tmp_path / "index"), k=4)
+    asked = spark.createDataFrame([(1, "words")], "query_id int, text string")
+    for index in (built, load_index(spark, str(tmp_path / "index"))):
+        assert [r.pk for r in index.search(asked, "exact", k=4).orderBy("rank").collect()] == [0, 1, 2, 3]
+        with pytest.raises(ValueError, match="k=5"):
+            index.search(asked, "exact", k=5)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.operators import ordered
-from kgspark.operators.attempts import newest_attempts, numbered, outcomes
+from kgspark.operators.attempts import empty_outcomes, newest_attempts, numbered, outcomes, sufficiency_outcomes
 from kgspark.operators.budget import (
     context_pack,
     dumped_length,
@@ -103,6 +103,16 @@ def test_attempts(spark):
     assert again.filter("t <> attempt").count() == 0
 
 
+def test_retry_loops(spark):
+    rows = [(1, 1, 0, True), (1, 2, 3, False), (2, 1, 2, False), (3, 1, 0, True), *[(4, t, 0, True) for t in range(1, 8)],
+            *[(5, t, int(t == 6), t < 6) for t in range(1, 8)], *[(6, t, None, None) for t in range(1, 6)]]
+    log = spark.createDataFrame(rows, "question_id int, attempt int, n_results int, should_retry boolean")
+    assert {r.question_id: (r.retries, r.status) for r in empty_outcomes(log).collect()} == {
+        1: (1, "found"), 2: (0, "found"), 3: (0, "open"), 4: (5, "none"), 5: (5, "found"), 6: (4, "open")}
+    assert {r.question_id: (r.retries, r.status) for r in sufficiency_outcomes(log).collect()} == {
+        1: (1, "sufficient"), 2: (0, "sufficient"), 3: (0, "open"), 4: (3, "insufficient"), 5: (3, "insufficient"), 6: (3, "insufficient")}
+
+
 def test_turn_chunks(spark):
     messages = spark.createDataFrame(
         [(1, 0, "assistant", "Plan", "p"), (1, 1, "user", None, "q1"), (1, 2, "assistant", "Query execution", "MATCH"),
