@@ -117,19 +117,19 @@ _PART_WORDS = _WORDS.format(_TOKENS.format("concat(p_name, ' ', p_type)"), "matc
 
 @query(
     "similar_words",
-    f"""SELECT term, match, CAST(levenshtein(term, match) AS INTEGER) AS distance FROM ({_WORDS.format(_TOKENS.format("text"), "term", "documents")}),
-       ({_PART_WORDS}) WHERE regexp_full_match(term, '[a-z0-9]+') AND levenshtein(term, match) <= 2""",
+    f"""SELECT term, match, CAST(levenshtein(regexp_replace(term, '[^a-z0-9]', '#', 'g'), match) AS INTEGER) AS distance
+     FROM ({_WORDS.format(_TOKENS.format("text"), "term", "documents")}), ({_PART_WORDS}) WHERE distance <= 2""",
 )
 def similar_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents within two edits of words in part names.
 
-    Words of plain letters only: the SQL engine counts edits in bytes.
+    The SQL engine counts edits in bytes; part names are ASCII, so there any other letter counts as one
+    that no name has.
     """
     words = table(spark, folder, "documents").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-    plain = words.filter(F.col("term").rlike("^[a-z0-9]+$")).withColumn("edits", F.lit(2))
     text = F.concat_ws(" ", "p_name", "p_type")
     names = table(spark, folder, "part").select(F.explode(tokens(text)).alias("match")).distinct()
-    return similar_terms(plain, names)
+    return similar_terms(words.withColumn("edits", F.lit(2)), names)
 
 
 @query(
