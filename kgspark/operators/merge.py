@@ -84,6 +84,11 @@ def distinct_edges(edges: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, [frame.select(*EDGE_COLUMNS) for frame in edges]).distinct()
 
 
+def merge_edges(writes: DataFrame, order: str = ORDER, props: str = "props") -> DataFrame:
+    """Edge writes with a map of properties, merged per (source, type, target) and property like those of nodes."""
+    return merge_property_maps(writes, EDGE_COLUMNS, order, props)
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source and target exist; the others are silently left out.
 

@@ -132,6 +132,28 @@ def edge_merge_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return merge.distinct_edges([_supplied(spark, folder)])
 
 
+@query(
+    "edge_merge_props",
+    """SELECT 'Part' AS src_label, CAST(l_partkey AS STRING) AS src_key, 'SUPPLIED_BY' AS rel_type, 'Supplier' AS dst_label,
+       CAST(l_suppkey AS STRING) AS dst_key, name, value FROM (
+       SELECT *, concat('shipped_', l_linestatus) AS name, CAST(l_shipdate AS STRING) AS value, row_number() OVER (
+         PARTITION BY l_partkey, l_suppkey, l_linestatus ORDER BY l_orderkey DESC, l_linenumber DESC, l_shipdate DESC) AS rn FROM lineitem)
+     WHERE rn = 1 AND l_quantity >= 10""",
+)
+def edge_merge_props(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line sets one property of its edge; small quantities remove it."""
+    lines = table(spark, folder, "lineitem")
+    value = F.when(F.col("l_quantity") >= 10, F.col("l_shipdate").cast("string"))
+    writes = lines.select(
+        F.lit("Part").alias("src_label"), F.col("l_partkey").cast("string").alias("src_key"),
+        F.lit("SUPPLIED_BY").alias("rel_type"), F.lit("Supplier").alias("dst_label"), F.col("l_suppkey").cast("string").alias("dst_key"),
+        F.struct("l_orderkey", "l_linenumber", "l_shipdate").alias("_order"),
+        F.create_map(F.concat(F.lit("shipped_"), "l_linestatus"), value).alias("props"),
+    )
+    edges = merge.merge_edges(writes)
+    return edges.select("src_label", "src_key", "rel_type", "dst_label", "dst_key", F.explode("props").alias("name", "value"))
+
+
 @query(
     "edge_endpoint_check",
     """SELECT DISTINCT CAST(l_partkey AS STRING) AS src_key, CAST(l_suppkey AS STRING) AS dst_key FROM lineitem
