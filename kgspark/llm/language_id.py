@@ -26,23 +26,40 @@ from pyspark.sql import functions as F
 
 from kgspark.session import bounded_batches
 
-from .common import rows_of
+from .common import mixed, rows_of
 
 UNKNOWN = "und"
 ROWS = 1 << 15
 WIDTH = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 600  # training documents of each language at most; a bound of the fit, predictions read everything
-CACHE = 300_000
+CACHE = 600_000  # words that a worker keeps; a bound of memory, not of the text
 WORD = re.compile(r"[^\W\d_]+")
 OUTPUT = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
-def subwords(word: str) -> np.ndarray:
-    """Rows of the table for a word and its n-grams."""
-    marked = f"<{word[:64]}>"  # of a run of letters beyond any word, the first 64
-    parts = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-    return np.array([xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) % ROWS for p in parts], np.int64)
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, row of the table) for each word and each of its n-grams.
+
+    An n-gram's row is a hash of its code points; the words stand in one array, each between two marks.
+    """
+    marked = [f"<{w[:64]}>" for w in words]  # of a run of letters beyond any word, the first 64
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array(list(map(len, marked)), np.int64)
+    place = np.repeat(np.arange(len(words)), sizes)
+    till = np.cumsum(sizes)[place]
+    places, rows = [np.arange(len(words))], [np.array([xxhash.xxh32_intdigest(m.encode("utf-8", "surrogatepass")) % ROWS for m in marked], np.int64)]
+    with np.errstate(over="ignore"):
+        for n in GRAMS:
+            if len(code) < n:
+                continue
+            hashed = np.full(len(code) - n + 1, np.uint64(n))
+            for k in range(n):
+                hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + code[k : k + len(hashed)]
+            inside = np.arange(len(hashed)) + n <= till[: len(hashed)]
+            places.append(place[: len(hashed)][inside])
+            rows.append((mixed(hashed[inside]) % np.uint64(ROWS)).astype(np.int64))
+    return np.concatenate(places), np.concatenate(rows)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +67,9 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = Counter(WORD.findall(text.lower()))
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    found = [subwords(w) for w in words]
-    rows, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    weight = np.bincount(inverse, np.repeat(np.array(list(words.values()), float), [len(f) for f in found]))
+    place, found = subwords(list(words))
+    rows, inverse = np.unique(found, return_inverse=True)
+    weight = np.bincount(inverse, np.array(list(words.values()), float)[place])
     return rows, weight / weight.sum()
 
 
@@ -136,33 +153,57 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE) -> Model:
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
-WORDS: dict[int, dict[str, tuple]] = {}
+class Reader:
+    """text to (place of its language, probability), or None; keeps the words it has looked up.
 
+    ``sums`` has a line for each known word: its rows' shares of the scores, and how many rows it has.
+    """
 
-def reader(model: Model):
-    """text to (place of its language, probability), or None; a worker keeps the words it has looked up."""
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+        self.sums = np.zeros((CACHE, len(model.languages) + 1))
+
+    def look_up(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > len(self.sums):
+            self.known.clear()
+            if len(words) > len(self.sums):
+                self.sums = np.zeros((len(words), self.sums.shape[1]))
+        place, rows = subwords(words)
+        at = len(self.known)
+        for k in range(len(self.model.languages)):
+            self.sums[at : at + len(words), k] = np.bincount(place, self.model.table[rows, k], len(words))
+        self.sums[at : at + len(words), -1] = np.bincount(place, minlength=len(words))
+        self.known.update(zip(words, range(at, at + len(words))))
+
+    def read(self, texts: list[str | None]) -> list[tuple[int, float] | None]:
+        split = [WORD.findall(t.lower()) if t and self.model.languages else () for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > len(self.sums):
+                new = set().union(*split)  # all are forgotten
+            self.look_up(sorted(new))
+        out: list[tuple[int, float] | None] = []
+        for words in split:
+            if not words:
+                out.append(None)
+                continue
+            sums = self.sums[list(map(self.known.__getitem__, words))].sum(0)
+            p = self.model.probabilities(sums[:-1] / sums[-1])
+            best = int(p.argmax())
+            out.append((best, float(p[best])))
+        return out
+
+
+READERS: dict[int, Reader] = {}
+
+
+def reader(model: Model) -> Reader:
+    """One per Python worker and model, so that words learned in one task serve the next."""
     stamp = xxhash.xxh32_intdigest(model.table.tobytes())
-    if stamp not in WORDS:
-        WORDS.clear()
-    known = WORDS.setdefault(stamp, {})
-
-    def look_up(word: str) -> tuple:
-        rows = subwords(word)
-        if len(known) >= CACHE:
-            known.clear()
-        known[word] = found = (*model.table[rows].sum(0, dtype=np.float64).tolist(), float(len(rows)))
-        return found
-
-    def read(text: str | None) -> tuple[int, float] | None:
-        words = WORD.findall(text.lower()) if text and model.languages else ()
-        if not words:
-            return None
-        sums = np.array([known.get(w) or look_up(w) for w in words]).sum(0)
-        p = model.probabilities(sums[:-1] / sums[-1])
-        best = int(p.argmax())
-        return best, float(p[best])
-
-    return read
+    if stamp not in READERS:
+        READERS.clear()
+        READERS[stamp] = Reader(model)
+    return READERS[stamp]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,10 +213,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        read = reader(own)
         for batch in batches:
             for part in rows_of(batch):
-                found = [read(t) for t in part.column(1).to_pylist()]
+                found = reader(own).read(part.column(1).to_pylist())
                 names = [own.languages[f[0]] if f else UNKNOWN for f in found]
                 refused = [not f or f[1] < own.least for f in found]
                 columns = [part.column(0), pa.array(names, pa.string()), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array(refused, pa.bool_())]
@@ -190,10 +230,9 @@ def recognized(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(sent.value)
         for batch in batches:
             for part in rows_of(batch):
-                found = [read(t) for t in part.column("text").to_pylist()]
+                found = reader(sent.value).read(part.column("text").to_pylist())
                 yield part.filter(pa.array([bool(f) and f[1] >= sent.value.least for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
