@@ -111,7 +111,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_set_relation_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return set_join.document_components(table(spark, folder, "documents"))
+    return set_join.document_links(table(spark, folder, "documents"))
 
 
 @query("op7_quadratic_discriminant_quality")

@@ -8,16 +8,20 @@ passage that many documents share makes no list by itself.
 
 Answers from answers. Equal sets fold to one. In STEPS steps every set is compared with one other, the one
 with the closest bit sketch in its lists that it is not connected with yet; the first of these is its pivot.
-All later answers lean on those: sets that are connected need no comparison, and of two sets with the same
-pivot, distances to it that lie too far apart rule a link out. The last step compares all pairs that are left
-open by that and by their sketches, so no link between different components is lost.
+For components, sets that are connected need no comparison, and of two sets with the same pivot, distances to
+it that lie too far apart rule a link out. The last step compares all pairs that are left open by that and by
+their sketches, so no link between different components is lost. All links then lie inside components, which
+are cut into blocks that meet block against block: a block's distances to one of its sets settle those links
+that the triangle inequality settles, and shared shingles are counted for the rest (``answers``).
 
 Sizes and distances: a pair with sizes a and b links at similarity t if and only if the number of
 shingles in one of them alone is at most (1 - t) / (1 + t) of a + b.
 
 Defined results: a null or empty text has no shingles and no link, and is its own component; a document of
 fewer words than a shingle has one; rows with a null doc_id take no part and get a null component; repeated
-rows have equal results; an empty table gives no rows; further columns are not read.
+rows have equal results; an empty table gives no rows; further columns are not read. ``n_links`` counts
+the other pairs of a document and a text, each once, that link with the row's text, exact copies included; it is
+null where doc_id is.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kgspark.session import bounded_batches, stored
 
@@ -40,6 +45,7 @@ WIDTH = 3
 CACHE = 500_000
 SKETCH = 256  # bytes; two sets differ in no fewer shingles than their sketches do in bits
 STEPS = 2
+BLOCK = 256  # sets of a component that meet another such block in one task; bounds a task, loses no pair
 WORDS: dict[bytes, int] = {}
 
 
@@ -234,11 +240,15 @@ def open_pairs(rule: Rule, nearest: bool):
 
 @dataclass
 class Joined:
-    """``documents``: doc_id, n_shingles, sid; ``links``: a, b (sids), apart: those found; ``members``: sid, component."""
+    """``documents``: doc_id, n_shingles, sid; ``links``: a, b (sids), apart: those that components need; ``members``: sid, component.
+
+    ``whole``: sid, n, own of all sets that can link.
+    """
 
     documents: DataFrame
     links: DataFrame
     members: DataFrame
+    whole: DataFrame
 
 
 def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
@@ -298,7 +308,94 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     grown = held_by.join(joined, "sid", "left").select("sid", "doc_id", F.coalesce("least", "sid").alias("home"))
     least = grown.groupBy("home").agg(F.min("doc_id").alias("component"))
     members = stored(grown.join(least, "home").select("sid", "component"), "set-members")
-    return Joined(documents, links, members)
+    return Joined(documents, links, members, whole.select("sid", "n", "own"))
+
+
+def block_answers(rule: Rule):
+    """sid, found, linked: of each set of two blocks, the sets of the other (or of the same one) that link with it, and their copies' number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, sid, n, copies = (group.column(c).to_numpy() for c in ("side", "sid", "n", "copies"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        limit = rule.apart(n[left][:, None] + n[right])
+        pivot = sets[left[0]]
+        d = np.array([len(x) + len(pivot) - 2 * int(np.isin(x, pivot, assume_unique=True).sum()) for x in sets], np.int64)
+        link = d[left][:, None] + d[right] <= limit
+        unsure = ~link & (np.abs(d[left][:, None] - d[right]) <= limit)
+        rows, columns = np.flatnonzero(unsure.any(1)), np.flatnonzero(unsure.any(0))
+        if len(rows):
+            both = shared([sets[i] for i in left[rows]], [sets[i] for i in right[columns]])
+            at = np.ix_(rows, columns)
+            near = n[left[rows]][:, None] + n[right[columns]] - 2 * both <= limit[at]
+            link[at] |= near & unsure[at]
+        link &= sid[left][:, None] != sid[right]
+        found = [(left[i], right[link[i]]) for i in np.flatnonzero(link.any(1))]
+        if right is not left:
+            found += [(right[j], left[link[:, j]]) for j in np.flatnonzero(link.any(0))]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x in found)]), pa.int32()), pa.array(sid[flat(x for _, x in found)]))
+        linked = pa.array([int(copies[x].sum()) for _, x in found], pa.int64())
+        return pa.Table.from_arrays([pa.array([int(sid[x]) for x, _ in found], pa.int64()), lists, linked], names=["sid", "found", "linked"])
+
+    return run
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right``."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(both), 4096):
+        words = both[at : at + 4096]
+
+        def held(sets: list[np.ndarray]) -> np.ndarray:
+            grid = np.zeros((len(sets), len(words)), np.float32)
+            for k, own in enumerate(sets):
+                grid[k, np.isin(words, own, assume_unique=True)] = 1
+            return grid
+
+        out += (held(left) @ held(right).T).astype(np.int64)
+    return out
+
+
+def answers(joined: Joined, rule: Rule = Rule()) -> DataFrame:
+    """sid, found, linked: every link between different sets, from both ends; a set has one row for each block that it meets links in.
+
+    The sets of a component are ordered by size into ranges of about BLOCK; ranges meet that sizes let link.
+    """
+    sets = joined.whole.select("sid", "n").join(copies_of(joined), "sid").join(joined.members.withColumnRenamed("component", "home"), "sid")
+    of = sets.groupBy("home", "n").agg(F.count(F.lit(1)).alias("times"))
+    several = of.groupBy("home").agg(F.sum("times").alias("all")).where("all > 1").select("home")
+    before = W.partitionBy("home").orderBy("n").rowsBetween(W.unboundedPreceding, -1)  # one small row per size and component
+    sizes = of.join(several, "home").select("home", "n", "times", F.coalesce(F.sum("times").over(before), F.lit(0)).alias("start"))
+    place = F.floor((F.col("start") + F.pmod(F.xxhash64("sid"), F.col("times"))) / BLOCK)  # spread over the size's own places
+    placed = stored(sets.join(sizes, ["home", "n"]).select("sid", "home", "n", "copies", place.alias("block")), "set-blocks")
+    blocks = placed.groupBy("home", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    reach = F.col("r.lo") * rule.num <= F.col("l.hi") * rule.den
+    met = left.join(right, (F.col("l.home") == F.col("r.home")) & (F.col("l.block") <= F.col("r.block")) & reach)
+    pairs = met.select(F.col("l.home").alias("home"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("j").alias("block")))
+    ends = pairs.select("home", "i", "j", F.explode(F.filter(ends, lambda x: (x["side"] == 0) | (F.col("i") != F.col("j")))).alias("end"))
+    sent = ends.select("home", "i", "j", F.col("end.side").alias("side"), F.col("end.block").alias("block")).join(placed, ["home", "block"])
+    sent = sent.join(joined.whole.select("sid", "own"), "sid").select("home", "i", "j", "side", "sid", "n", "copies", "own")
+    return sent.groupBy("home", "i", "j").applyInArrow(block_answers(rule), "sid long, found array<long>, linked long")
+
+
+def copies_of(joined: Joined) -> DataFrame:
+    """sid, copies: the documents of each set."""
+    held = joined.documents.where("doc_id is not null and sid is not null").select("doc_id", "sid").distinct()
+    return held.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def document_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row."""
+    joined = join_sets(docs, rule)
+    linked = answers(joined, rule).groupBy("sid").agg(F.sum("linked").alias("linked"))
+    counted = copies_of(joined).join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    rows = joined.documents.join(joined.members, "sid", "left").join(counted, "sid", "left")
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "n_shingles", F.when(known, F.coalesce("component", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def _apart(rule: Rule, total: Column) -> Column:

@@ -97,6 +97,30 @@ def test_links_carry_true_distances(spark):
         assert r.apart == len(of[r.a] ^ of[r.b])
 
 
+def plain_links(docs, num=90, den=100):
+    """The linked pairs of different sets; of each row the number of linked other (document, set) pairs."""
+    known = {(d, s) for d, t in docs if d is not None and (s := plain_set(t))}
+    of = {s: frozenset(y for _, y in known if den * len(s & y) >= num * len(s | y)) for s in {s for _, s in known}}
+    times = Counter(s for _, s in known)
+    return of, Counter((d, None if d is None else sum(times[y] for y in of.get(s, ())) - ((d, s) in known)) for d, s in ((d, plain_set(t)) for d, t in docs))
+
+
+@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_link_is_found(spark, seed, block, monkeypatch):
+    """Components alone would leave out most links of a group of near copies."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    docs = list(enumerate(near_copies(seed))) + [(1, near_copies(seed)[2]), (None, near_copies(seed)[3]), (500, None), (501, near_copies(seed)[0])]
+    rule = set_join.Rule(*[(90, 100), (4, 5)][seed - 1])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    of, counts = plain_links(docs, rule.num, rule.den)
+    name = {set_join.set_id(set_join.shingles(t)): plain_set(t) for _, t in docs}
+    rows = set_join.answers(set_join.join_sets(frame, rule), rule).collect()
+    got = Counter((name[r.sid], name[b]) for r in rows for b in r.found)
+    assert got == Counter((x, y) for x, ys in of.items() for y in ys if x != y)
+    assert Counter((r.doc_id, r.n_links) for r in set_join.document_links(frame, rule).collect()) == counts
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
