@@ -148,7 +148,8 @@ def index(rule: Rule):
                     own = shingles(text)
                     sid = set_id(own) if len(own) else None
                     fresh = [] if sid is None or doc is None or sid in seen else listed(own, rule)
-                    seen.add(sid)
+                    if doc is not None:  # rows without an id are left out later, and their lists with them
+                        seen.add(sid)
                     key = flat(fresh, np.uint64).view(np.int64)
                     docs.append(doc), sizes.append(len(own)), ids.append(sid), keys.append(key)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat(keys)))

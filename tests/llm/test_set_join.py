@@ -81,6 +81,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 6, 7, 8]
 
 
+def test_copy_without_an_id_hides_no_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words, "more"]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert found(set_join.document_components(frame)) == plain(docs)
+    assert set_join.document_components(frame).where("doc_id = 2").first().component_id == 1
+
+
 def test_one_id_with_two_texts(spark):
     docs = [(1, "a b c d e f g h i j k l m n o p q r s t u v w"), (1, "other words here"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x")]
     rows = set_join.document_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
