@@ -51,10 +51,11 @@ WORDS: dict[bytes, int] = {}
 
 @dataclass(frozen=True)
 class Rule:
-    """Sets link when ``den`` * shared >= ``num`` * united."""
+    """Sets of shingles of ``width`` words link when ``den`` * shared >= ``num`` * united."""
 
     num: int = 90
     den: int = 100
+    width: int = WIDTH
 
     def apart(self, total):
         """The most shingles that linked sets with ``total`` shingles together can have in one of them alone."""
@@ -145,7 +146,7 @@ def index(rule: Rule):
             for part in rows_of(batch):
                 docs, sizes, ids, keys, seen = [], [], [], [], set()
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = shingles(text)
+                    own = shingles(text, rule.width)
                     sid = set_id(own) if len(own) else None
                     fresh = [] if sid is None or doc is None or sid in seen else listed(own, rule)
                     if doc is not None:  # rows without an id are left out later, and their lists with them
@@ -160,25 +161,29 @@ def index(rule: Rule):
     return run
 
 
-def whole_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_sets(rule: Rule):
     """sid, n, the set's hashes, and a sketch: one bit for each remainder of the hash, flipped by every shingle."""
-    seen: set[int] = set()
-    for batch in rows:
-        for part in rows_of(batch, 128):
-            ids, found, sketches = [], [], []
-            for sid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own = shingles(text)
-                if sid in seen or sid != set_id(own):  # a row that repeats another's id, with the same or another text
-                    continue
-                seen.add(sid)
-                ids.append(sid)
-                found.append(own)
-                odd = np.bincount((own % np.uint64(8 * SKETCH)).astype(np.int64), minlength=8 * SKETCH) & 1
-                sketches.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(sketches, pa.binary())],
-                names=["sid", "n", "own", "sketch"],
-            )
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in rows:
+            for part in rows_of(batch, 128):
+                ids, found, sketches = [], [], []
+                for sid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = shingles(text, rule.width)
+                    if sid in seen or sid != set_id(own):  # a row that repeats another's id, with the same or another text
+                        continue
+                    seen.add(sid)
+                    ids.append(sid)
+                    found.append(own)
+                    odd = np.bincount((own % np.uint64(8 * SKETCH)).astype(np.int64), minlength=8 * SKETCH) & 1
+                    sketches.append(np.packbits(odd.astype(bool)).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(sketches, pa.binary())],
+                    names=["sid", "n", "own", "sketch"],
+                )
+
+    return run
 
 
 def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +272,7 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
     wanted = lists.select("sid").distinct().join(held_by, "sid")
     whole = texts.join(wanted, "doc_id").select("sid", "text")
-    whole = stored(whole.mapInArrow(whole_sets, "sid long, n long, own binary, sketch binary"), "set-whole")
+    whole = stored(whole.mapInArrow(whole_sets(rule), "sid long, n long, own binary, sketch binary"), "set-whole")
 
     def measured(pairs: DataFrame) -> DataFrame:
         left = whole.select(F.col("sid").alias("a"), F.col("own").alias("x"))

@@ -89,6 +89,16 @@ def test_copy_without_an_id_hides_no_links(spark):
     assert set_join.document_components(frame).where("doc_id = 2").first().component_id == 1
 
 
+def test_shingles_of_five_words(spark):
+    """Two words replaced far apart: 86 of 106 five-word shingles are shared, but 92 of 104 three-word ones."""
+    words = [f"w{i}" for i in range(100)]
+    other = list(words)
+    other[30], other[70] = "x", "y"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "some other words")], "doc_id long, text string")
+    assert [r.doc_id for r in set_join.one_of_each(docs, set_join.Rule(80, 100, 5)).orderBy("doc_id").collect()] == [1, 3]
+    assert set_join.one_of_each(docs).count() == 3
+
+
 def test_one_id_with_two_texts(spark):
     docs = [(1, "a b c d e f g h i j k l m n o p q r s t u v w"), (1, "other words here"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x")]
     rows = set_join.document_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
