@@ -2,9 +2,11 @@
 
 Index lists. Sets of a size class are cut into parts by a hash of the shingle, a few more parts than
 linked sets can have differences; hence two linked sets agree in one of their first parts. Each set is
-listed under those parts alone: list blocks at later positions cannot hold a link that an earlier one does
+listed under those parts alone: list entries at later positions cannot hold a link that an earlier one does
 not, and are skipped for its size. A list is keyed by size class, position and content of a part, so a
-passage that many documents share makes no list by itself.
+passage that many documents share makes no list by itself. Long lists are cut into blocks: in the steps below
+each set meets a block dealt at random and the list's first set, and at the end blocks meet block against block,
+but for those whose sets are connected already.
 
 Answers from answers. Equal sets fold to one. In STEPS steps every set is compared with one other, the one
 with the closest bit sketch in its lists that it is not connected with yet; the first of these is its pivot.
@@ -45,6 +47,7 @@ WIDTH = 3
 CACHE = 500_000
 SKETCH = 256  # bytes; two sets differ in no fewer shingles than their sketches do in bits
 STEPS = 2
+LIST = 512  # entries of a list that are compared with each other in one task; longer lists are cut into blocks
 BLOCK = 256  # sets of a component that meet another such block in one task; bounds a task, loses no pair
 WORDS: dict[bytes, int] = {}
 
@@ -199,16 +202,18 @@ def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def open_pairs(rule: Rule, nearest: bool):
-    """Pairs within lists that are not connected and that neither size, pivot nor sketch rules out.
+    """Pairs within ``met``, a list or two of its blocks, that are not connected and that neither size, pivot nor sketch rules out.
+
+    Of two blocks, sets of different ``side`` alone make pairs; in a list or a single block it is below 0.
 
     With ``nearest``, for each set the one with the closest sketch, else all. ``far`` is the sketches' distance.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        key, sid, n, home, pivot, d = (group.column(c).to_numpy() for c in ("list", "sid", "n", "home", "pivot", "apart"))
+        key, side, sid, n, home, pivot, d = (group.column(c).to_numpy() for c in ("met", "side", "sid", "n", "home", "pivot", "apart"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
         order = np.lexsort((n, key))
-        key, sid, n, home, pivot, d, sketch = (x[order] for x in (key, sid, n, home, pivot, d, sketch))
+        key, side, sid, n, home, pivot, d, sketch = (x[order] for x in (key, side, sid, n, home, pivot, d, sketch))
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
         at, found, step = np.arange(len(key)), [], 0
@@ -218,7 +223,7 @@ def open_pairs(rule: Rule, nearest: bool):
             at = at[at + step < ends[at]]
             at = at[n[at + step] <= rule.largest(n[at])]  # sizes ascend: what is too large stays so
             i, j = at, at + step
-            ok = home[i] != home[j]
+            ok = (home[i] != home[j]) & ((side[i] < 0) | (side[i] != side[j]))
             i, j = i[ok], j[ok]
             limit = rule.apart(n[i] + n[j])
             ok = (pivot[i] != pivot[j]) | (np.abs(d[i] - d[j]) <= limit)
@@ -257,6 +262,39 @@ class Joined:
     whole: DataFrame
 
 
+def dealt(long: DataFrame, step: int) -> DataFrame:
+    """met, side and the set, of lists with ``total`` entries: each in a block dealt at random, anew in every step."""
+    block = F.pmod(F.xxhash64("sid", "list", F.lit(step)), F.ceil(F.col("total") / LIST))
+    return long.select(F.xxhash64("list", block, F.lit(step)).alias("met"), F.lit(-1).alias("side"), "sid", "n", "home")
+
+
+def firsts(long: DataFrame) -> DataFrame:
+    """a, b: each set of a long list, and the first set of its long lists where that is not connected with it."""
+    first = long.groupBy("list").agg(F.min(F.struct("sid", "home")).alias("first"))
+    least = long.join(first, "list").groupBy("sid", "home").agg(F.min("first").alias("first"))
+    return least.where("home <> first.home").select(F.col("sid").alias("a"), F.col("first.sid").alias("b"))
+
+
+def against(long: DataFrame) -> DataFrame:
+    """met, side and the set: blocks of a list against its blocks, but for two with one home. A home with many entries has blocks of its own."""
+    homes = long.groupBy("list", "home").agg(F.count(F.lit(1)).alias("times"))
+    homes = homes.withColumn("own", F.when(F.col("times") > LIST // 2, F.col("home")))
+    others = homes.where("own is null").groupBy("list").agg(F.sum("times").alias("rest"))
+    cut = long.join(homes, ["list", "home"]).join(others, "list", "left")
+    part = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / LIST))).otherwise(F.pmod(F.xxhash64("sid"), F.ceil(F.col("times") / LIST)))
+    cut = stored(cut.select("list", "sid", "n", "home", "own", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), part).alias("block")), "set-list-blocks")
+    blocks = cut.groupBy("list", "block").agg(F.min("own").alias("own"))
+    l, r = blocks.alias("l"), blocks.alias("r")
+    several = F.col("l.own").isNull() | F.col("r.own").isNull() | (F.col("l.own") != F.col("r.own"))
+    pairs = l.join(r, (F.col("l.list") == F.col("r.list")) & (F.col("l.block") <= F.col("r.block")) & several)
+    pairs = pairs.select(F.col("l.list").alias("list"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    met = F.xxhash64("list", "i", "j").alias("met")
+    one = pairs.where("i = j").select("list", F.col("i").alias("block"), met, F.lit(-1).alias("side"))
+    left = pairs.where("i <> j").select("list", F.col("i").alias("block"), met, F.lit(0).alias("side"))
+    right = pairs.where("i <> j").select("list", F.col("j").alias("block"), met, F.lit(1).alias("side"))
+    return cut.join(one.unionByName(left).unionByName(right), ["list", "block"]).select("met", "side", "sid", "n", "home")
+
+
 def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     """Links between different sets, as far as components need them, and each set's component (its smallest doc_id)."""
     spark = docs.sparkSession
@@ -270,6 +308,7 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     entries = known.where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
     shared = entries.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
     lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
+    bins = max(8 * parts, lists.count() >> 14)  # of short lists; a long one's blocks are groups of their own
     wanted = lists.select("sid").distinct().join(held_by, "sid")
     whole = texts.join(wanted, "doc_id").select("sid", "text")
     whole = stored(whole.mapInArrow(whole_sets(rule), "sid long, n long, own binary, sketch binary"), "set-whole")
@@ -285,25 +324,30 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
         limit = _apart(rule, F.col("n_a") + F.col("n_b"))
         return stored(pairs.join(size("a"), "a").join(size("b"), "b").where(F.col("apart") <= limit).select("a", "b", "apart"), "set-links")
 
-    def open_(homes: DataFrame, pivots: DataFrame, nearest: bool) -> DataFrame:
+    def open_(homes: DataFrame, pivots: DataFrame, step: int) -> DataFrame:
+        nearest = step < STEPS
         placed = lists.join(homes, "sid", "left").select("list", "sid", "n", F.coalesce("home", "sid").alias("home"))
-        several = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("list")
+        several = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo <> hi").select("list", "total")
+        several = placed.join(several, "list")
+        short = several.where(F.col("total") <= LIST).select(F.col("list").alias("met"), F.lit(-1).alias("side"), "sid", "n", "home", F.pmod(F.col("list"), F.lit(bins)).alias("task"))
+        long = several.where(F.col("total") > LIST)
+        long_met = (dealt(long, step) if nearest else against(long)).withColumn("task", F.col("met"))
         rest = (
-            placed.join(several, "list")
+            short.unionByName(long_met)
             .join(pivots, "sid", "left")
             .join(whole.select("sid", "sketch"), "sid")
-            .select("list", "sid", "n", "home", F.coalesce("pivot", "sid").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), "sketch")
+            .select("met", "side", "task", "sid", "n", "home", F.coalesce("pivot", "sid").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), "sketch")
         )
-        found = rest.groupBy(F.pmod(F.col("list"), F.lit(8 * parts))).applyInArrow(open_pairs(rule, nearest), "a long, b long, far long")
+        found = rest.groupBy("task").applyInArrow(open_pairs(rule, nearest), "a long, b long, far long")
         if nearest:
-            found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b")
+            found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b").unionByName(firsts(long))
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     homes = spark.createDataFrame([], "sid long, home long")
     pivots = spark.createDataFrame([], "sid long, pivot long, apart long")
     links = None
     for step in range(STEPS + 1):
-        compared = measured(open_(homes, pivots, nearest=step < STEPS))
+        compared = measured(open_(homes, pivots, step))
         if not step:
             near = compared.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near"))
             pivots = near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart")

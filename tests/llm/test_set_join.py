@@ -139,6 +139,33 @@ def test_every_link_is_found(spark, seed, block, monkeypatch):
     assert Counter((r.doc_id, r.n_links) for r in set_join.document_links(frame, rule).collect()) == counts
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    """No task gets a long list as a whole, and no link between components is lost."""
+    monkeypatch.setattr(set_join, "LIST", 8)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = near_copies(3, 40)
+    for _ in range(80):
+        t = list(base)
+        for k in draw.sample(range(300), draw.choice([1, 2, 6, 9])):
+            t[k] = f"x{draw.randrange(99)}"
+        texts.append(" ".join(t))
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(set_join.document_components(frame)) == plain(docs)
+
+    rows = [(k, s, 100, s % 3) for k in (1, 2) for s in range(60)] + [(2, 60 + s, 100, 60 + s) for s in range(20)]
+    long = spark.createDataFrame([(*r, 60 if r[0] == 1 else 80) for r in rows], "list long, sid long, n long, home long, total long")
+    for made in (set_join.dealt(long, 0), set_join.against(long)):
+        assert max(r["count"] for r in made.groupBy("met").count().collect()) < 60
+    together = {}
+    for r in set_join.against(long).collect():
+        together.setdefault(r.met, []).append(r)
+    pairs = Counter((min(x.sid, y.sid), max(x.sid, y.sid)) for m in together.values() for i, x in enumerate(m) for y in m[i + 1 :] if x.home != y.home and (x.side < 0 or x.side != y.side))
+    want = Counter((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3])
+    assert pairs == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
