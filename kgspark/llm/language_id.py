@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ WIDTH = 16
 GRAMS = (2, 3, 4)
 SAMPLE = 600  # training documents of each language at most; a bound of the fit, predictions read everything
 CACHE = 600_000  # words that a worker keeps; a bound of memory, not of the text
+LETTERS = 16 * CACHE  # and of the letters in them
+TAKEN = 1 << 18  # letters that are made n-grams of at once, besides those of one word
 WORD = re.compile(r"[^\W\d_]+")
 OUTPUT = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -43,7 +45,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     An n-gram's row is a hash of its code points; the words stand in one array, each between two marks.
     """
-    marked = [f"<{w[:64]}>" for w in words]  # of a run of letters beyond any word, the first 64
+    marked = [f"<{w}>" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array(list(map(len, marked)), np.int64)
     place = np.repeat(np.arange(len(words)), sizes)
@@ -160,26 +162,33 @@ class Reader:
     """
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.letters = model, {}, 0
         self.sums = np.zeros((CACHE, len(model.languages) + 1))
 
+    def full(self, words: Collection[str]) -> bool:
+        return len(self.known) + len(words) > len(self.sums) or self.letters + sum(map(len, words)) > LETTERS
+
     def look_up(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > len(self.sums):
+        if self.full(words):
             self.known.clear()
+            self.letters = 0
             if len(words) > len(self.sums):
                 self.sums = np.zeros((len(words), self.sums.shape[1]))
-        place, rows = subwords(words)
         at = len(self.known)
-        for k in range(len(self.model.languages)):
-            self.sums[at : at + len(words), k] = np.bincount(place, self.model.table[rows, k], len(words))
-        self.sums[at : at + len(words), -1] = np.bincount(place, minlength=len(words))
+        ends = np.cumsum(list(map(len, words))) // TAKEN
+        for own in np.split(np.arange(len(words)), np.flatnonzero(np.diff(ends)) + 1):
+            place, rows = subwords(words[own[0] : own[-1] + 1])
+            for k in range(len(self.model.languages)):
+                self.sums[at + own, k] = np.bincount(place, self.model.table[rows, k], len(own))
+            self.sums[at + own, -1] = np.bincount(place, minlength=len(own))
+        self.letters += sum(map(len, words))
         self.known.update(zip(words, range(at, at + len(words))))
 
     def read(self, texts: list[str | None]) -> list[tuple[int, float] | None]:
         split = [WORD.findall(t.lower()) if t and self.model.languages else () for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
-            if len(self.known) + len(new) > len(self.sums):
+            if self.full(new):
                 new = set().union(*split)  # all are forgotten
             self.look_up(sorted(new))
         out: list[tuple[int, float] | None] = []

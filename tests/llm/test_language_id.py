@@ -43,6 +43,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {(r.lang_pred, r.score, r.rejected) for r in language_id.predict(odd_docs, empty).collect()} == {("und", 0.0, True)}
 
 
+def test_long_runs_of_letters_are_read_to_their_end(monkeypatch):
+    """Of one run without spaces the first 64 letters are of one language, all others of the other."""
+    texts = ["abcdefg hij abcd efghij", "klmnopq rst klmn opqrst"] * 20
+    model = language_id.train(texts, ["one", "two"] * 20)
+    run = "abcdefghij" * 7 + "klmnopqrst" * 60
+    rows, share = language_id.bag(run)
+    assert model.probabilities(share @ model.table[rows]).argmax() == 1
+    best, score = language_id.Reader(model).read([run])[0]
+    assert best == 1
+    monkeypatch.setattr(language_id, "TAKEN", 50)
+    monkeypatch.setattr(language_id, "LETTERS", 500)
+    again = language_id.Reader(model)
+    assert [again.read([f"{run} {i * 'a'}b", run])[1] for i in range(3)] == [(best, score)] * 3
+
+
 def test_probabilities_equal_the_bags_own(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
     model = language_id.fit(docs)
