@@ -56,7 +56,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def _secrets_sql() -> str:
     def spans(i: int, rule: secret_scan.Rule) -> str:
         pattern = rule.pattern.replace("'", "''")
-        lengths = lambda x: f"list_transform({x}, x -> length(x))"
+        lengths = lambda x: f"[length(x) for x in {x}]"
         return f"""
         SELECT doc_id, row_no, {i} AS no, '{rule.kind}' AS kind,
                list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS from_at, from_at + sizes[i] AS till
