@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, neighbours, packing, quality, quality_rules, resharding, secret_scan, set_join, suffix_dedup
+from . import conversations, language_id, mixing, neighbours, packing, quality, quality_rules, resharding, secret_scan, set_join, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,8 +97,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def remainder(n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
+    """crc32 of the id as text, modulo n; that of the empty text (0) for a null id."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(n))
 
 
 @query("op5_subword_language_id")
@@ -138,3 +138,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return quality_rules.judged(docs, quality_rules.references(docs))
+
+
+@query("op11_checkpointed_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, folder, "conversations")))
