@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, language_id, mixing, neighbours, packing, quality, quality_rules, resharding, secret_scan, set_join, suffix_dedup
+from . import conversations, language_id, mixing, neighbours, packing, quality, quality_rules, resampling, resharding, secret_scan, set_join, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_checkpointed_conversation_repair")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(table(spark, folder, "conversations")))
+
+
+@query("op13_prefix_crc_resampling")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
