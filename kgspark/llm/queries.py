@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, language_id, mixing, neighbours, packing, quality, quality_rules, resampling, resharding, secret_scan, set_join, suffix_dedup
+from . import conversations, language_id, language_model, mixing, neighbours, packing, quality, quality_rules, resampling, resharding, secret_scan, set_join, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(table(spark, folder, "conversations")))
 
 
+@query("op12_backoff_automaton_scores")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = language_model.scores(docs, remainder(7) != 2)
+    return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op13_prefix_crc_resampling")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
