@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import in_intervals, with_rank
+
 MAX_EDITS = 2
 # Query terms up to this length use deletion keys. Terms meet in such a key only if they are
 # nearly equal, so no key is hot; thirds are shared by all terms with a common start.
@@ -67,20 +69,28 @@ _WINDOW_KEYS = f"""
           THEN concat_ws(':', n, i, substr(term, CAST({_START} + shift AS INT), {_SIZE})) END)))))))"""
 
 
-def similar_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(term, match, distance) for queries (term, edits) and a dictionary (match), both distinct."""
+def similar_terms(queries: DataFrame, dictionary: DataFrame, alike: bool = False) -> DataFrame:
+    """(term, match, distance) for queries (term, edits) and a dictionary (match), both distinct.
+
+    With ``alike`` only pairs whose distance is below the shorter length: then no term loses all its
+    characters, and short terms do not meet in an empty key.
+    """
     # few bytes make many keys: spread the terms over all tasks before they are expanded
     spark = queries.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     queries, dictionary = queries.repartition(n, "term"), dictionary.repartition(n, "match")
     q, m = F.col("term"), F.col("match")
     length = F.length
+    own_edits = F.lit(MAX_EDITS)
+    if alike:
+        queries = queries.withColumn("edits", F.least("edits", length("term") - 1)).where("edits >= 0")
+        own_edits = F.least(own_edits, length("match") - 1)
     pairs = (
         queries.filter(length(q) <= SHORT)
         .select("term", "edits", F.explode(_deletion_keys(q, F.col("edits"))).alias("key"))
         .join(
             dictionary.filter(length(m) <= SHORT + MAX_EDITS).select(
-                "match", F.explode(_deletion_keys(m, F.lit(MAX_EDITS))).alias("key")
+                "match", F.explode(_deletion_keys(m, own_edits)).alias("key")
             ),
             "key",
         )
@@ -98,15 +108,27 @@ def similar_terms(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     distance = F.levenshtein(q, m, MAX_EDITS)
     both = pairs.union(long_pairs).withColumn("distance", distance)
     close = both.filter((F.col("distance") >= 0) & (F.col("distance") <= F.col("edits")))
+    if alike:
+        close = close.filter(F.col("distance") < F.least(length(q), length(m)))
     return close.select("term", "match", "distance").distinct()
 
 
+# sorts after every character that a term can hold
+_LAST = "\U0010ffff"
+
+
 def terms_with_prefix(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(term, match) where the dictionary term starts with the query term, as an equi-join.
+    """(term, match) where the dictionary term starts with the query term; both sides distinct.
 
-    Dictionary terms are exploded only into prefixes of lengths that queries have.
+    Terms and the two ends of every prefix are sorted together; a prefix is then an interval of
+    ranks, and its terms are the ranks inside. No term is cut into its prefixes.
     """
-    lengths = prefixes.select(F.length("term").alias("size")).distinct()
-    sized = dictionary.withColumn("size", F.explode(F.sequence(F.lit(1), F.length("match"))))
-    cut = sized.join(lengths, "size", "left_semi").select(F.substr("match", F.lit(1), F.col("size")).alias("term"), "match")
-    return prefixes.select("term").join(cut, "term")
+    asked = prefixes.select("term")
+    words = dictionary.select(F.col("match").alias("text"), F.lit(None).cast("string").alias("term"))
+    ends = [asked.select(end.alias("text"), "term") for end in (F.col("term"), F.concat("term", F.lit(_LAST)))]
+    # a prefix comes before the term that equals it
+    both = words.union(ends[0]).union(ends[1]).withColumn("is_word", F.col("term").isNull())
+    ranked = with_rank(both, ["text", "is_word"], F.col("is_word").cast("int"), "at")
+    intervals = ranked.where(~F.col("is_word")).groupBy("term").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    found = in_intervals(intervals, ranked.where("is_word").select(F.col("text").alias("match"), "at"))
+    return found.select("term", "match")

@@ -7,9 +7,12 @@ the words add up and are rounded to six places; ties go to the smaller key.
 
 Scale. Nodes with the same tokens score the same, so they are folded into one *bag* that keeps
 its size and its first keys: a name that a third of all nodes carry is one row. Queries are
-folded by their tokens too. A word whose best possible score cannot lift a bag over what the
-query is already sure to find brings in no candidates, so frequent words next to rare ones do
-not drag in their whole list. The result equals scoring every pair.
+folded by their tokens too. The bags of a term are cut into *blocks* of equal norm, and each block
+names its first bags. The best blocks of a query's words give its first candidates, and the k-th
+best of these is a score to beat. Then a block is opened only if its norm, with all that weaker
+words can add, reaches that score. The weakest word of a query opens none: bags that have no
+other word of the query are found through its first candidates. The result equals scoring every
+pair.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ NAME_SIMILARITY, NAME_SCORE = 0.5, 0.5
 SYNONYM_SIMILARITY, SYNONYM_SCORE = 0.3, 2.0
 PREFIX_SCORE = 1.0
 PLACES = 6
+MARGIN = 2 * 10.0**-PLACES  # scores this close may round to the same value
 
 
 def tokens(text: Column) -> Column:
@@ -37,15 +41,19 @@ def tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Three stored tables.
+    """Four stored tables.
 
-    bags: (bag, dl, copies, firsts), firsts being the smallest keys with what they show;
+    bags: (bag, words, dl, copies, firsts), bag being a hash that names the words and firsts the
+    smallest keys with what they show;
     postings: (term, bag, norm), norm being the part of BM25 that depends on the bag;
-    terms: (term, idf, best, kth), the best norm of a term and its k-th best if it has k bags.
+    blocks: (term, norm, firsts), the first (pk, bag) of all bags where the term has that norm;
+    terms: (term, idf, best, kth, firsts), the best norm of a term, its k-th best if it has k bags,
+    and its first (pk, bag).
     """
 
     bags: DataFrame
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     k: int = TOP
 
@@ -82,8 +90,7 @@ class TextIndex:
         if last == "fuzzy":
             wanted = distinct_ends.withColumn("edits", max_edits(F.col("term"), similarity))
             shorter = F.least(F.length("term"), F.length("match"))
-            found = similar_terms(wanted, vocabulary).withColumn("weight", 1 - F.col("distance") / shorter)
-            found = found.filter("weight > 0")
+            found = similar_terms(wanted, vocabulary, alike=True).withColumn("weight", 1 - F.col("distance") / shorter)
         elif last == "prefix":
             found = terms_with_prefix(distinct_ends, vocabulary).withColumn("weight", F.lit(None).cast("double"))
         else:
@@ -91,48 +98,66 @@ class TextIndex:
         expanded = ends.select("query", "word", F.col("text").alias("term")).join(found, "term")
         return plain.union(expanded.select("query", "word", F.col("match").alias("term"), "weight"))
 
-    def _hits(self, asked: DataFrame, last: str, similarity: float | None, k: int) -> DataFrame:
-        weights = self._weights(asked, last, similarity).join(self.terms, "term")
+    def _words(self, asked: DataFrame, last: str, similarity: float | None) -> DataFrame:
+        """Terms of each word with their factor (null for a prefix) and the most they can score."""
+        weights = self._weights(asked, last, similarity).join(self.terms.drop("firsts"), "term")
         factor = F.col("weight") * F.col("idf")
-        prefix = F.lit(PREFIX_SCORE)
-        bounds = weights.select(
-            "query",
-            "word",
-            "term",
-            factor.alias("factor"),
-            F.coalesce(factor * F.col("best"), prefix).alias("upper"),
-            F.when(F.col("kth").isNotNull(), F.coalesce(factor * F.col("kth"), prefix)).alias("sure"),
-        )
-        bounded = stored(bounds, "search-words")  # read three times below
-        # words of a query by rising best score: while their sum stays below a score that k
-        # bags are sure to reach, a bag with none but these words cannot be among the k best
-        per_word = bounded.groupBy("query", "word").agg(F.max("upper").alias("upper"), F.max("sure").alias("sure"))
-        rising = Window.partitionBy("query").orderBy("upper", "word")
-        at_most = F.sum("upper").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        sure = F.max("sure").over(Window.partitionBy("query"))
-        margin = F.lit(2 * 10.0**-PLACES)  # scores this close may round to the same value
-        leading = (
-            per_word.select("query", "word", at_most.alias("at_most"), sure.alias("sure"))
-            .filter(F.col("sure").isNull() | (F.col("at_most") >= F.col("sure") - margin))
-            .select("query", "word")
-        )
-        factors = bounded.select("query", "word", "term", "factor")
-        candidates = (
-            factors.join(leading, ["query", "word"], "left_semi")
-            .select("query", "term")
-            .join(self.postings.select("term", "bag"), "term")
-            .select("query", "bag")
-            .distinct()
-        )
-        contribution = F.coalesce(F.col("factor") * F.col("norm"), prefix)
-        scored = (
+        upper = F.coalesce(factor * F.col("best"), F.lit(PREFIX_SCORE))
+        return weights.select("query", "word", "term", factor.alias("factor"), upper.alias("upper"), (factor * F.col("kth")).alias("kth"))
+
+    def _first_candidates(self, words: DataFrame, k: int) -> DataFrame:
+        """The k best bags of each word of a query, judged by that word alone: (query, bag)."""
+        at_least = F.coalesce(F.col("kth") - MARGIN, F.lit(0.0))
+        own = F.col("factor") * F.col("norm")
+        of_blocks = words.filter("factor IS NOT NULL").join(self.blocks, "term").filter(own >= at_least)
+        scored = of_blocks.select("query", "word", F.round(own, PLACES).alias("own"), F.explode("firsts").alias("node"))
+        by_prefix = words.filter("factor IS NULL").join(self.terms.select("term", "firsts"), "term")
+        equal = by_prefix.select("query", "word", F.lit(PREFIX_SCORE).alias("own"), F.explode("firsts").alias("node"))
+        each = scored.union(equal).groupBy("query", "word", "node").agg(F.max("own").alias("own"))
+        order = Window.partitionBy("query", "word").orderBy(F.col("own").desc(), "node")
+        first = each.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+        return first.select("query", "node.bag").distinct()
+
+    def _scored(self, candidates: DataFrame, words: DataFrame) -> DataFrame:
+        contribution = F.coalesce(F.col("factor") * F.col("norm"), F.lit(PREFIX_SCORE))
+        return (
             candidates.join(self.postings, "bag")
-            .join(factors, ["query", "term"])
+            .join(words.select("query", "word", "term", "factor"), ["query", "term"])
             .groupBy("query", "bag", "word")
             .agg(F.max(contribution).alias("score"))
             .groupBy("query", "bag")
             .agg(F.round(F.sum("score"), PLACES).alias("score"))
         )
+
+    def _further_candidates(self, words: DataFrame, first: DataFrame, k: int) -> DataFrame:
+        """Bags of the blocks that may still hold one of the k best: (query, bag)."""
+        by_score = Window.partitionBy("query").orderBy(F.col("score").desc())
+        to_beat = first.withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") == k)
+        to_beat = to_beat.select("query", (F.col("score") - MARGIN).alias("to_beat"))
+        # words of a query by rising best score; what all weaker words can add to a word's own
+        per_word = words.groupBy("query", "word").agg(F.max("upper").alias("upper"))
+        rising = Window.partitionBy("query").orderBy("upper", "word")
+        weaker = F.sum("upper").over(rising.rowsBetween(Window.unboundedPreceding, -1))
+        open_words = (
+            per_word.select("query", "word", "upper", weaker.alias("weaker"))  # null for the weakest
+            .join(to_beat, "query")
+            .filter(F.col("weaker") + F.col("upper") >= F.col("to_beat"))
+            .select("query", "word", "weaker", "to_beat")
+        )
+        most = F.coalesce(F.col("factor") * F.col("norm"), F.lit(PREFIX_SCORE)) + F.col("weaker")
+        opened = (
+            words.join(open_words, ["query", "word"])
+            .join(self.blocks.select("term", "norm"), "term")
+            .filter(most >= F.col("to_beat"))
+            .select("query", "term", "norm")
+        )
+        found = opened.join(self.postings, ["term", "norm"]).select("query", "bag").distinct()
+        return found.join(first, ["query", "bag"], "left_anti")
+
+    def _hits(self, asked: DataFrame, last: str, similarity: float | None, k: int) -> DataFrame:
+        words = stored(self._words(asked, last, similarity), "search-words")
+        first = stored(self._scored(self._first_candidates(words, k), words), "search-first")
+        scored = first.union(self._scored(self._further_candidates(words, first, k), words))
         # any of the k best nodes is in one of the k best bags, ordered by score and first key
         firsts = self.bags.select("bag", F.slice("firsts", 1, k).alias("firsts"))
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("firsts")[0]["pk"])
@@ -148,8 +173,9 @@ class TextIndex:
 
 def _bags(entries: DataFrame, k: int) -> DataFrame:
     bagged = entries.select(
-        "pk", "shown", F.array_join(F.array_sort(tokens(F.col("text"))), " ").alias("bag")
-    ).filter(F.col("bag") != "")
+        "pk", "shown", F.array_join(F.array_sort(tokens(F.col("text"))), " ").alias("words")
+    ).filter(F.col("words") != "")
+    bagged = bagged.withColumn("bag", F.unhex(F.md5("words")))
     # the rank filter cuts every bag to k rows per task before the shuffle
     first = Window.partitionBy("bag").orderBy("pk")
     firsts = (
@@ -158,13 +184,13 @@ def _bags(entries: DataFrame, k: int) -> DataFrame:
         .groupBy("bag")
         .agg(F.array_sort(F.collect_list(F.struct("pk", "shown"))).alias("firsts"))
     )
-    counts = bagged.groupBy("bag").agg(F.count(F.lit(1)).alias("copies"))
-    return counts.join(firsts, "bag").withColumn("dl", F.size(F.split("bag", " ")))
+    counts = bagged.groupBy("bag").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+    return counts.join(firsts, "bag").withColumn("dl", F.size(F.split("words", " ")))
 
 
 def _postings(bags: DataFrame) -> DataFrame:
     average = bags.agg((F.sum(F.col("copies") * F.col("dl")) / F.sum("copies")).alias("avgdl")).scalar()
-    words = F.split("bag", " ")
+    words = F.split("words", " ")
     counted = F.transform(
         F.array_distinct(words),
         lambda term: F.struct(term.alias("term"), F.size(F.filter(words, lambda word: word == term)).alias("tf")),
@@ -174,7 +200,19 @@ def _postings(bags: DataFrame) -> DataFrame:
     return rows.select("t.term", "bag", norm.alias("norm"))
 
 
-def _terms(bags: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def _firsts(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k smallest (pk, bag) for each key; tasks hand on no more than k rows of each."""
+    order = Window.partitionBy(*keys).orderBy("pk", "bag")
+    some = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pk", "bag"))).alias("firsts"))
+
+
+def _blocks(bags: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    keyed = postings.join(bags.select("bag", F.col("firsts")[0]["pk"].alias("pk")), "bag")
+    return _firsts(keyed, ["term", "norm"], k)
+
+
+def _terms(bags: DataFrame, postings: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     n_nodes = bags.agg(F.sum("copies").alias("n")).scalar()
     df = F.sum("copies")
     stats = (
@@ -183,10 +221,13 @@ def _terms(bags: DataFrame, postings: DataFrame, k: int) -> DataFrame:
         .agg(df.alias("df"), F.max("norm").alias("best"))
         .withColumn("idf", F.ln(1 + (n_nodes - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     )
+    # the k-th best norm is among the first k bags of the best blocks
+    listed = blocks.select("term", "norm", F.explode("firsts").alias("node")).select("term", "norm", "node.*")
     ordered = Window.partitionBy("term").orderBy(F.col("norm").desc())
-    ranked = postings.select("term", "norm").withColumn("_r", F.row_number().over(ordered)).filter(F.col("_r") <= k)
-    kth = ranked.filter(F.col("_r") == k).select("term", F.col("norm").alias("kth"))
-    return stats.select("term", "idf", "best").join(kth, "term", "left")
+    ranked = listed.select("term", "norm").withColumn("_r", F.row_number().over(ordered)).filter(F.col("_r") == k)
+    kth = ranked.select("term", F.col("norm").alias("kth"))
+    firsts = _firsts(listed, ["term"], k)
+    return stats.select("term", "idf", "best").join(kth, "term", "left").join(firsts, "term")
 
 
 def build_index(entries: DataFrame, path: str | None = None, k: int = TOP) -> TextIndex:
@@ -198,14 +239,15 @@ def build_index(entries: DataFrame, path: str | None = None, k: int = TOP) -> Te
 
     bags = stored(_bags(entries, k), "bags", f"{target}/bags")
     postings = stored(_postings(bags), "postings", f"{target}/postings")
-    terms = stored(_terms(bags, postings, k), "terms", f"{target}/terms")
+    blocks = stored(_blocks(bags, postings, k), "blocks", f"{target}/blocks")
+    terms = stored(_terms(bags, postings, blocks, k), "terms", f"{target}/terms")
     entries.sparkSession.createDataFrame([(k,)], "k int").write.parquet(f"{target}/made")
-    return TextIndex(bags, postings, terms, k)
+    return TextIndex(bags, postings, blocks, terms, k)
 
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:
     """An index that ``build_index`` wrote to ``path``."""
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("bags", "postings", "terms")]
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("bags", "postings", "blocks", "terms")]
     return TextIndex(*tables, spark.read.parquet(f"{path}/made").first()["k"])
 
 

@@ -5,10 +5,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from kgspark.operators import intervals
 from kgspark.operators.fuzzy import similar_terms, terms_with_prefix
 from kgspark.operators.resolve import best_exact, best_fuzzy, dispatched, match_metabolites, match_names, synonym_hits
-from kgspark.operators.text_index import build_index, load_index
+from kgspark.operators.text_index import build_index, load_index, tokens
 
 
 def edit_distance(a, b):
@@ -54,6 +56,39 @@ def test_prefixes(spark):
     assert {tuple(r) for r in found.collect()} == {("ac", "acid"), ("ac", "acetate"), ("ac", "ac"), ("cit", "citrate")}
 
 
+def test_prefixes_equal_comparing_all(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "CELL", 7)
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abé漢\U0001f600") for _ in range(rng.randint(1, 6))) for _ in range(400)} | {"a" * 500}
+    asked = {w[: rng.randint(1, 3)] for w in words} | {"zz", "", "a" * 400}
+    found = terms_with_prefix(
+        spark.createDataFrame([(w,) for w in asked], "term string").repartition(3),
+        spark.createDataFrame([(w,) for w in words], "match string").repartition(3),
+    )
+    assert sorted(map(tuple, found.collect())) == sorted((p, w) for p in asked for w in words if w.startswith(p))
+    assert terms_with_prefix(spark.createDataFrame([], "term string"), spark.createDataFrame([("a",)], "match string")).count() == 0
+
+
+def test_candidates_do_not_grow_with_the_nodes(spark):
+    per_query = []
+    for n in (300, 3000):
+        index = build_index(spark.createDataFrame([(i, f"Supplier#{i:09d} group {i % 2}", f"{i}") for i in range(n)], "pk bigint, text string, shown string"))
+        asked = spark.createDataFrame([(f"{i:09d} supplier",) for i in range(0, n, n // 20)], "query string")
+        words = index._words(asked.withColumn("query", F.array_join(tokens(F.col("query")), " ")), "exact", None)
+        first = index._scored(index._first_candidates(words, 3), words)
+        further = index._further_candidates(words, first, 3)
+        per_query.append((first.count() + further.count()) / asked.count())
+    assert per_query[1] <= per_query[0] <= 8
+
+
+def test_alike_terms(spark):
+    words = ["a", "b", "ab", "ba", "abc", "xbc", "abcd", "", "acd"]
+    queries = spark.createDataFrame([(w, 2) for w in words], "term string, edits int")
+    found = similar_terms(queries, spark.createDataFrame([(w,) for w in words], "match string"), alike=True)
+    wanted = {(q, w, edit_distance(q, w)) for q in words for w in words if edit_distance(q, w) <= 2 and edit_distance(q, w) < min(len(q), len(w))}
+    assert {tuple(r) for r in found.collect()} == wanted
+
+
 def brute_force(entries, queries, last, similarity, k):
     bags = [(pk, re.findall(r"[^\W_]+", text.lower()), text) for pk, text in entries]
     bags = [bag for bag in bags if bag[1]]
