@@ -40,7 +40,8 @@ from .common import flat, mixed
 
 ORDER = 2
 PRIOR = 16.0
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+PART_BLOCKS = 2  # how many blocks' n-grams a part adds up, about
 
 BEGIN, END = 0, 1  # numbers of the two marks in every block; their names cannot be words
 MARKS = (b" begin", b" end")
@@ -74,23 +75,23 @@ def read(texts: list[str | None], training: list[bool], order: int) -> Block:
         for word in (text or "").encode("utf-8", "surrogatepass").lower().split():  # bytes: ASCII letters, ASCII space
             words.append(names.setdefault(word, len(names)))
         words.append(END)
-    at = np.array(words, np.int64)
+    at = np.array(words, np.int32)
     del words
     first = np.array(first, np.int64)
     sizes = np.diff(np.append(first, len(at)))
     counted = np.repeat(np.array(training, bool), sizes)
-    place = np.arange(len(at)) - np.repeat(first, sizes)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
     digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in names), "<u8").reshape(-1, 2)
     named, checks = digests[:, 0].astype(np.uint64), (digests[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     ranks = np.lexsort((checks, named))
-    found = [Grams(named[ranks], checks[ranks], np.bincount(at[counted], minlength=len(names))[ranks], np.argsort(ranks)[at])]
+    found = [Grams(named[ranks], checks[ranks], np.bincount(at[counted], minlength=len(names))[ranks], np.argsort(ranks).astype(np.int32)[at])]
     before, number = named, at  # keys and numbers of n-grams one shorter, by number
     for n in range(2, order + 1):
         ends = np.flatnonzero(place >= n - 1)
-        codes, own = np.unique(number[ends - 1] * len(names) + at[ends], return_inverse=True)
+        codes, own = np.unique(number[ends - 1].astype(np.int64) * len(names) + at[ends], return_inverse=True)
         joined = mixed(before[codes // len(names)] * FACTOR + named[codes % len(names)] + np.uint64(n))
         keys, same = np.unique(joined, return_inverse=True)
-        number = np.full(len(at), -1)
+        number = np.full(len(at), -1, np.int32)
         number[ends] = same[own]
         trained = np.bincount(number[ends][counted[ends]], minlength=len(keys))
         found.append(Grams(keys, None, trained, number))
@@ -238,7 +239,8 @@ def scores(docs: DataFrame, training: Column, order: int | None = None, prior: f
     order, prior = order or ORDER, prior or PRIOR
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = parts = max(1, math.ceil(size / BLOCK_BYTES))
+    n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    parts = math.ceil(n_blocks / PART_BLOCKS)
     tokens, distinct = vocabulary_size(docs, parts)
     total = tokens + distinct + 1
 
