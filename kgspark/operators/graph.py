@@ -86,6 +86,41 @@ def subgraph_edges(plans: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(wanted, "rel_type")
 
 
+def plan_classes(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plans folded by what they want of a label: (classes, members).
+
+    classes: (class_id, label, wanted, n_plans), one row for every label with a set of properties;
+    members: (plan_id, class_id).
+    """
+    listed = lambda kind: F.coalesce(F.element_at("nodes_and_relationships", F.lit(kind)), F.array().cast("array<string>"))
+    wanted = F.array_sort(F.array_distinct(listed("properties")))
+    asked = plans.select("plan_id", F.explode(F.array_distinct(listed("nodes"))).alias("label"), wanted.alias("wanted"))
+    members = asked.withColumn("class_id", F.md5(F.to_json(F.struct("label", "wanted")))).distinct()
+    classes = members.groupBy("class_id").agg(F.first("label").alias("label"), F.first("wanted").alias("wanted"), F.count(F.lit(1)).alias("n_plans"))
+    return classes, members.select("plan_id", "class_id")
+
+
+def subgraph_classes(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every wanted node once: (label, pk, props, classes), with the properties that any class wants.
+
+    ``classes`` names, in order, the classes that want the node; which plans these are say the members,
+    and what a class sees of a node says its ``wanted``. However many plans share a class, nodes are
+    neither read nor written more often.
+    """
+    by_label = classes.groupBy("label").agg(
+        F.array_sort(F.collect_list("class_id")).alias("classes"), F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("_wanted")
+    )
+    props = F.map_filter("props", lambda key, _: F.array_contains(F.col("_wanted"), key))
+    return nodes.join(by_label, "label").select("label", "pk", props.alias("props"), "classes")
+
+
+def subgraph_of(plan: DataFrame, members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes of some plans (column ``plan_id``) out of those of all: (plan_id, label, pk, props)."""
+    own = plan.select("plan_id").join(members, "plan_id").join(classes.select("class_id", "label", "wanted"), "class_id")
+    props = F.map_filter("props", lambda key, _: F.array_contains(F.col("wanted"), key))
+    return found.drop("classes").join(own, "label").select("plan_id", "label", "pk", props.alias("props"))
+
+
 def unknown_names(plans: DataFrame, labels: DataFrame, rel_types: DataFrame, properties: DataFrame) -> DataFrame:
     """Names in plans that the catalog does not have: (plan_id, kind, name).
 

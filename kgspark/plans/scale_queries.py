@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import brackets
+from ..operators import brackets, graph, tree
 from ..operators.fuzzy import terms_with_prefix
 from ..operators.text_index import build_index, tokens
-from ..session import staging_path
+from ..session import staging_path, stored
 from .registry import query, table
 from .search_queries import search_sql
+from .table_queries import _all_nodes as all_nodes
 
 # --- structure of XML files ------------------------------------------------------------------------
 
@@ -103,3 +104,61 @@ def prefix_intervals(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "documents").select(F.explode(tokens(F.col("text"))).alias("match")).distinct()
     found = terms_with_prefix(prefixes, words)
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("match").alias("first"), F.max("match").alias("last"))
+
+
+# --- ancestry ----------------------------------------------------------------------------------------
+
+_PARENT = "CASE WHEN p_partkey <= 3 THEN p_partkey % 3 + 1 WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN p_partkey - 1 ELSE floor(p_partkey / 4) END"
+
+
+@query(
+    "tree_intervals",
+    f"""WITH RECURSIVE raw AS (SELECT p_partkey AS node, CAST({_PARENT} AS BIGINT) AS parent FROM part),
+       inside AS (SELECT node FROM raw UNION SELECT parent FROM raw WHERE parent IS NOT NULL),
+       t AS (SELECT i.node, CASE WHEN i.node <= 3 AND i.node > 0 THEN NULL WHEN parent IN (1, 2, 3) THEN 1 ELSE parent END AS parent
+         FROM inside i LEFT JOIN raw ON raw.node = i.node),
+       up AS (SELECT node, node AS above, 0 AS d FROM t UNION ALL SELECT up.node, t.parent, d + 1 FROM up JOIN t ON t.node = above WHERE t.parent IS NOT NULL),
+       c AS (SELECT node, CASE WHEN node BETWEEN 1 AND 3 THEN 1 ELSE node END AS place FROM t),
+       top AS (SELECT node, arg_max(above, d) AS root, max(d) AS depth FROM up GROUP BY 1),
+       sizes AS (SELECT above AS place, count(*) AS size FROM up WHERE node NOT IN (2, 3) GROUP BY 1),
+       n AS (SELECT above AS place, count(*) AS held FROM up GROUP BY 1)
+     SELECT c.node, CASE WHEN root BETWEEN 1 AND 3 THEN 1 ELSE root END AS root, CAST(depth AS BIGINT) AS depth, size,
+       CASE WHEN c.node BETWEEN 1 AND 3 THEN 1 END AS cycle, CASE WHEN c.node BETWEEN 1 AND 3 THEN held + 1 ELSE held - 1 END AS n_below
+     FROM c JOIN top ON top.node = c.node JOIN sizes ON sizes.place = c.place JOIN n ON n.place = c.place""",
+)
+def tree_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest over parts, with chains and one cycle: what the intervals of all nodes hold."""
+    parents = table(spark, folder, "part").select(F.col("p_partkey").alias("node"), F.expr(_PARENT).cast("bigint").alias("parent"))
+    labels = stored(tree.tree_intervals(parents), "part-intervals")
+    held = tree.below(labels, labels).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_below"))
+    size = (F.col("last") - F.col("first")).alias("size")
+    return labels.join(held, "node", "left").select("node", "root", "depth", size, "cycle", F.coalesce("n_below", F.lit(0)).alias("n_below"))
+
+
+# --- subgraphs of many plans ---------------------------------------------------------------------------
+
+_WANTED = "CASE c_custkey % 4 WHEN 0 THEN ['n_name', 'c_mktsegment'] WHEN 1 THEN ['c_mktsegment', 'n_name', 'n_name'] WHEN 2 THEN ['s_name'] ELSE ['colour'] END"
+_LABEL = "CASE WHEN c_custkey % 3 = 0 THEN 'Supplier' ELSE 'Customer' END"
+
+
+@query(
+    "subgraph_classes",
+    f"""WITH p AS (SELECT unnest(['Nation', {_LABEL}]) AS label, array_to_string(list_sort(list_distinct({_WANTED})), '+') AS wanted FROM customer),
+       c AS (SELECT label, wanted, count(*) AS n FROM p GROUP BY 1, 2),
+       l AS (SELECT label, string_agg(wanted || ':' || n, ';' ORDER BY wanted) AS classes, string_agg(wanted, '+') AS wanted FROM c GROUP BY 1)
+     SELECT 'Nation' AS label, CAST(n_nationkey AS STRING) AS pk, CASE WHEN contains(wanted, 'n_name') THEN 'n_name=' || n_name ELSE '' END AS props, classes FROM nation, l WHERE label = 'Nation'
+     UNION ALL SELECT 'Customer', CAST(c_custkey AS STRING), CASE WHEN contains(wanted, 'c_mktsegment') THEN 'c_mktsegment=' || c_mktsegment ELSE '' END, classes FROM customer, l WHERE label = 'Customer'
+     UNION ALL SELECT 'Supplier', CAST(s_suppkey AS STRING), CASE WHEN contains(wanted, 's_name') THEN 's_name=' || s_name ELSE '' END, classes FROM supplier, l WHERE label = 'Supplier'""",
+)
+def subgraph_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One plan for every customer; they want a few sets of properties of three labels."""
+    wanted = F.expr(_WANTED.replace("[", "array(").replace("]", ")"))
+    names = F.create_map(F.lit("nodes"), F.array(F.lit("Nation"), F.expr(_LABEL)), F.lit("properties"), wanted)
+    plans = table(spark, folder, "customer").select(F.col("c_custkey").alias("plan_id"), names.alias("nodes_and_relationships"))
+    classes, _ = graph.plan_classes(plans)
+    classes = stored(classes, "plan-classes")
+    found = graph.subgraph_classes(classes, all_nodes(spark, folder))
+    shown = F.concat(F.array_join("wanted", "+"), F.lit(":"), F.col("n_plans").cast("string"))
+    text = classes.groupBy("label").agg(F.array_join(F.array_sort(F.collect_list(shown)), ";").alias("shown"))
+    pairs = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.join(text, "label").select("label", "pk", F.array_join(pairs, ",").alias("props"), F.col("shown").alias("classes"))
