@@ -19,11 +19,19 @@ from ..schemas import EDGE_COLUMNS
 ORDER = "_order"
 
 
-def merge_writers(writers: list[DataFrame], key: str, order: str = ORDER) -> DataFrame:
+def mentions_of(names: list[str], all_names: list[str]) -> int:
+    """Which of the properties are mentioned, as a number with one bit for each."""
+    return sum(1 << i for i, name in enumerate(all_names) if name in names)
+
+
+def merge_writers(
+    writers: list[DataFrame], key: str, order: str = ORDER, mentioned: str | None = None, all_names: list[str] | None = None
+) -> DataFrame:
     """Merge node writes into one row per key.
 
     Each writer is a frame of writes that mention the same properties: its columns are the
-    key, the order and those properties. Writers may differ in what they mention.
+    key, the order and those properties. Writers may differ in what they mention. With
+    ``mentioned`` a column of that name says which of ``all_names`` any write of the key mentions.
     """
     for writer in writers:
         if key not in writer.columns:
@@ -36,7 +44,8 @@ def merge_writers(writers: list[DataFrame], key: str, order: str = ORDER) -> Dat
     if not mentions:
         # nothing but the key is written: no order to respect
         keys = [writer.select(key) for writer in writers]
-        return reduce(DataFrame.union, keys).filter(F.col(key).isNotNull()).distinct()
+        found = reduce(DataFrame.union, keys).filter(F.col(key).isNotNull()).distinct()
+        return found.withColumn(mentioned, F.lit(0).cast("long")) if mentioned else found
 
     # properties mentioned by the same writers share one max_by
     groups: dict[tuple[int, ...], list[str]] = {}
@@ -51,13 +60,17 @@ def merge_writers(writers: list[DataFrame], key: str, order: str = ORDER) -> Dat
             at = F.when(F.col("_writer").isin(*numbers), at)
         return F.max_by(F.struct(*names), at)
 
+    said = []
+    if mentioned:
+        bits = F.array(*[F.lit(mentions_of(writer.columns, all_names)).cast("long") for writer in writers])
+        said = [F.bit_or(F.get(bits, F.col("_writer"))).alias(mentioned)]
     merged = (
         writes.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(*[last(*group).alias(f"_g{i}") for i, group in enumerate(groups.items())])
+        .agg(*[last(*group).alias(f"_g{i}") for i, group in enumerate(groups.items())], *said)
     )
     place = {name: i for i, names in enumerate(groups.values()) for name in names}
-    return merged.select(key, *[F.col(f"_g{place[name]}")[name].alias(name) for name in mentions])
+    return merged.select(key, *[F.col(f"_g{place[name]}")[name].alias(name) for name in mentions], *([mentioned] if mentioned else []))
 
 
 def merge_property_maps(writes: DataFrame, keys: list[str], order: str = ORDER, props: str = "props") -> DataFrame:

@@ -1,7 +1,7 @@
 """The two load jobs: record files to graph tables.
 
 Records are parsed once into a nested table; every statement then reads only its own columns
-of it. Per label one aggregation merges the writes with the stored nodes.
+of it. Per label one aggregation merges the writes of the load.
 """
 
 from __future__ import annotations
@@ -14,22 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nonempty
-from ..operators.merge import ORDER, distinct_edges, merge_writers, not_loaded
+from ..operators.merge import distinct_edges, merge_writers, not_loaded
 from ..operators.shred import (
     Writer,
     all_edges,
     metabolite_writers,
-    order_of,
     protein_writers,
     writes_by_label,
 )
 from ..schemas import LABELS, METABOLITE, PROTEIN
 from ..session import stored
-from ..sources.graph_store import GraphStore, folder_names
+from ..sources.graph_store import MENTIONED, GraphStore, folder_names
 from ..sources.xml_records import POSITION, parse_records, scan_records
 
-# passes in the order they are written; what the graph already holds comes before all
-STORED, METABOLITES, PROTEINS = -1, 0, 1
+# passes in the order they are written
+METABOLITES, PROTEINS = 0, 1
 
 
 def parse_file(
@@ -83,21 +82,10 @@ def quarantined(store: GraphStore, tag: str) -> DataFrame:
     return store.spark.read.schema(schema).parquet(*folders) if folders else store.spark.createDataFrame([], schema)
 
 
-def _stored_writes(store: GraphStore, label: str, writes: list[DataFrame]) -> list[DataFrame]:
-    """Stored nodes as the oldest write of their label."""
-    key, props = LABELS[label]
-    stored = store.nodes(label)
-    if not props:
-        return [stored.select(key), *writes]
-    # the order of a stored row: before every pass, and one row per key
-    positions = {"_file": "string", "_block": "bigint", "_row": "bigint"}
-    placed = stored.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in positions.items()])
-    return [placed.select(key, *props, order_of(STORED, 0).alias(ORDER)), *writes]
-
-
 def load_records(store: GraphStore, records: DataFrame, label: str, writers: list[Writer], passno: int) -> int:
-    """Merge a table of records into the graph; returns the number of the new snapshot.
+    """Add the writes of a table of records to the graph; returns the number of the load.
 
+    Nothing that is stored is read or written again: reads merge the loads.
     Edges need no endpoint check here: every statement writes both ends before the edge.
     """
     load = store.begin()
@@ -105,11 +93,10 @@ def load_records(store: GraphStore, records: DataFrame, label: str, writers: lis
 
     def write(name: str | None) -> None:
         if name is None:
-            edges = all_edges(records, label, writers)
-            store.write_edges(distinct_edges([store.edges(), *edges]), load)
+            store.write_edges(distinct_edges(all_edges(records, label, writers)), load)
             return
-        merged = merge_writers(_stored_writes(store, name, writes[name]), LABELS[name][0])
-        store.write_nodes(name, merged, load)
+        key, props = LABELS[name]
+        store.write_nodes(name, merge_writers(writes[name], key, mentioned=MENTIONED, all_names=props), load)
 
     # the tables do not depend on each other: small ones fill the cores large ones leave free
     with ThreadPoolExecutor(8) as pool:

@@ -1,35 +1,43 @@
 """Graph tables on a shared file system.
 
-A load writes its tables below a folder of its own, ``<root>/load-<id>``: ``nodes/<Label>``, one typed
-table per label, and ``edges``, partitioned by type. It counts once ``<root>/commits/<n>.json`` is there,
-which names that folder and the tables the load vouches for; a table is read from the newest commit that
-lists it. A job that dies leaves a folder that no commit names. Commit files are created, never replaced:
-of two loads that began from the same graph, the second to finish fails and can be run again.
+A load writes only what it changes: its merged writes, as a partition ``load=<number>-<id>`` of the table of each
+label and of the edges. It counts once the empty file ``<root>/finished/<number>-<id>`` is there; a load that dies
+leaves partitions that no such name vouches for, and nothing is ever replaced or half written. A node is read as
+the merge of its rows in the finished loads, property by property: the last load that mentions one wins. Tables are
+bucketed by key, so neither this merge nor a join with new records shuffles what is stored. A reset is a name too:
+loads before it count no more.
+
+Each load also leaves a small profile of what it wrote, so the catalog of a graph never scans the graph.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.budget import limited, result_within_budget
+from ..operators.merge import distinct_edges, mentions_of, merge_edges
 from ..schemas import EDGE_COLUMNS, EDGE_SCHEMA, LABELS, label_schema
 
 NODE_COLUMNS = ["label", "pk", "props"]
+MENTIONED = "_mentioned"
+BUCKETS = 8
+_PROFILE = "label string, key string, type string, n long, least string, sample string"
+_MAPPING = "src_label string, rel_type string, dst_label string, n long"
+_EDGE_TABLE = f"{EDGE_SCHEMA}, props map<string,string>"
 
 
 @dataclass
 class Load:
-    """A load under way: its number once published, its folder, the tables it has written whole."""
+    """A load under way: its number once published and the name its partitions carry."""
 
     number: int
-    folder: str
-    tables: set[str] = field(default_factory=set)
+    name: str
 
 
 def folder_names(store: GraphStore, part: str) -> list[str]:
@@ -39,9 +47,15 @@ def folder_names(store: GraphStore, part: str) -> list[str]:
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """``buckets`` is for a graph that is made now: how many files each load writes of a table, and how many
+    tasks read a table. A graph that exists keeps the number it was made with."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        made = [int(f.getPath().getName().removeprefix("buckets-")) for f in self.files().globStatus(self.path(f"{self.root}/buckets-*")) or []]
+        self.buckets = made[0] if made else buckets
+        self._known: dict[str, set[str]] = {}
 
     def path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
@@ -49,67 +63,184 @@ class GraphStore:
     def files(self):
         return self.path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    # --- loads ---------------------------------------------------------------------------------------
+
+    def _names(self) -> list[str]:
+        """Names of finished loads and resets, in order."""
+        return sorted(folder_names(self, "finished"))
+
     def snapshot(self) -> int:
-        """Number of the newest commit, 0 if there is none."""
-        return max((int(name.removesuffix(".json")) for name in folder_names(self, "commits")), default=0)
+        """Number of the newest finished load, 0 if there is none."""
+        return max((int(name.split("-")[0]) for name in self._names()), default=0)
+
+    def finished(self) -> list[str]:
+        """The loads that count: those after the last reset."""
+        names = self._names()
+        resets = [i for i, name in enumerate(names) if name.endswith("-reset")]
+        return names[resets[-1] + 1 :] if resets else names
 
     def begin(self) -> Load:
-        """A load on top of the newest commit."""
-        return Load(self.snapshot() + 1, f"{self.root}/load-{uuid.uuid4().hex[:16]}")
+        """A load on top of the newest finished one."""
+        number = self.snapshot() + 1
+        return Load(number, f"{number:012d}-{uuid.uuid4().hex[:16]}")
+
+    def _finish(self, number: int, name: str) -> None:
+        if any(int(other.split("-")[0]) == number for other in self._names()):
+            raise RuntimeError(f"another load was published as number {number}; run this one again")
+        self.files().create(self.path(f"{self.root}/finished/{name}"), True).close()
 
     def publish(self, load: Load) -> None:
-        entry = json.dumps({"folder": load.folder, "tables": sorted(load.tables)})
+        """Make a load count. One that began from an older graph is refused.
+
+        Should two slip through at the same moment both count, in the order of their names: each is
+        whole, and neither replaces the other's rows.
+        """
+        self._finish(load.number, load.name)
+
+    def reset(self) -> None:
+        """Empty the graph: no earlier load counts any more."""
+        number = self.snapshot() + 1
+        self._finish(number, f"{number:012d}-reset")
+
+    # --- tables --------------------------------------------------------------------------------------
+
+    def _folder(self, part: str) -> str:
+        return f"{self.root}/buckets-{self.buckets}/{part}"
+
+    def _bucketed(self, by: list[str]) -> str:
+        keys = ", ".join(f"`{c}`" for c in by)
+        return f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS"
+
+    def _write(self, part: str, rows: DataFrame, schema: str, by: list[str], load: Load) -> None:
+        """One partition of a table. A table of its own takes the rows, so that loads at the same time never meet."""
+        name = f"kgspark_write_{uuid.uuid4().hex}"
+        place = f"{self._folder(part)}/load={load.name}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet {self._bucketed(by)} LOCATION '{place}'")
         try:
-            out = self.files().create(self.path(f"{self.root}/commits/{load.number}.json"), False)
-        except Exception as error:
-            raise RuntimeError(f"another load was published as number {load.number}; run this one again") from error
-        out.write(bytearray(entry, "utf-8"))
-        out.close()
-
-    def _tables(self) -> dict[str, str]:
-        """The folder of each table's newest version."""
-        found = {}
-        for number in range(1, self.snapshot() + 1):
-            lines = self.spark.read.text(f"{self.root}/commits/{number}.json").collect()  # one line
-            entry = json.loads("".join(r["value"] for r in lines))
-            found |= {table: f"{entry['folder']}/{table}" for table in entry["tables"]}
-        return found
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        """A table from the newest load that wrote it: a load writes only what it changes."""
-        place = self._tables().get(part)
-        return self.spark.createDataFrame([], schema) if place is None else self.spark.read.schema(schema).parquet(place)
+            rows.write.insertInto(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    def _read(self, part: str, schema: str, by: list[str]) -> tuple[DataFrame, int]:
+        """The rows of all finished loads, with ``load``, and how many loads have any."""
+        there = {name.removeprefix("load=") for name in folder_names(self, f"buckets-{self.buckets}/{part}")}
+        loads = [name for name in self.finished() if name in there]
+        if not loads:
+            return self.spark.createDataFrame([], f"{schema}, load string"), 0
+        name = f"kgspark_{hashlib.md5(self.root.encode()).hexdigest()[:16]}_{part.replace('/', '_').lower()}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({schema}, load STRING) USING parquet PARTITIONED BY (load) "
+            f"{self._bucketed(by)} LOCATION '{self._folder(part)}'"
+        )
+        fresh = [x for x in loads if x not in self._known.get(part, set())]
+        if fresh:
+            partitions = " ".join(f"PARTITION (load='{x}')" for x in fresh)
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {partitions}")
+            self._known.setdefault(part, set()).update(fresh)
+        return self.spark.table(name).where(F.col("load").isin(loads)), len(loads)
+
+    def _node_schema(self, label: str) -> str:
+        return f"{label_schema(label)}, {MENTIONED} long"
 
     def nodes(self, label: str) -> DataFrame:
         """The nodes of one label: its key and its properties as columns."""
-        return self._read(f"nodes/{label}", label_schema(label))
+        key, props = LABELS[label]
+        rows, loads = self._read(f"nodes/{label}", self._node_schema(label), [key])
+        if loads < 2:
+            return rows.select(key, *props)
+        if not props:
+            return rows.select(key).distinct()
+
+        def last(i: int, name: str) -> Column:
+            said = F.col(MENTIONED).bitwiseAND(F.lit(1 << i)) != 0
+            return F.max_by(name, F.when(said, F.col("load"))).alias(name)
+
+        return rows.groupBy(key).agg(*[last(i, name) for i, name in enumerate(props)])
+
+    def _edge_rows(self) -> tuple[DataFrame, int]:
+        return self._read("edges", _EDGE_TABLE, ["src_key", "dst_key"])
 
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGE_SCHEMA).select(*EDGE_COLUMNS)
+        rows, loads = self._edge_rows()
+        return rows.select(*EDGE_COLUMNS) if loads < 2 else distinct_edges([rows])
+
+    def edges_with_props(self) -> DataFrame:
+        """Edges with the map of their properties, merged over loads like those of nodes."""
+        rows, loads = self._edge_rows()
+        filled = rows.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
+        return filled.select(*EDGE_COLUMNS, "props") if loads < 2 else merge_edges(filled, order="load")
 
     def all_nodes(self) -> DataFrame:
         """All nodes in one form: label, pk and a map of the properties that are set."""
         return reduce(DataFrame.union, [as_property_maps(self.nodes(label), label, LABELS[label][0]) for label in LABELS])
 
     def write_edges(self, edges: DataFrame, load: Load) -> None:
-        # rebalance keeps a type's files large and splits a type that holds most edges
-        edges.hint("rebalance", "rel_type").write.partitionBy("rel_type").parquet(f"{load.folder}/edges")
-        load.tables.add("edges")
+        """The edges of a load, distinct; ``props`` (a map) if there are any properties."""
+        props = F.col("props") if "props" in edges.columns else F.lit(None)
+        rows = edges.select(*EDGE_COLUMNS, props.cast("map<string,string>").alias("props"))
+        self._write("edges", rows.repartition(self.buckets, "src_key", "dst_key"), _EDGE_TABLE, ["src_key", "dst_key"], load)
+        # the edges of this load alone are read again: as many rows as there are kinds of edges come out
+        own = self.spark.read.schema(_EDGE_TABLE).parquet(f"{self._folder('edges')}/load={load.name}")
+        mappings = own.groupBy("src_label", "rel_type", "dst_label").agg(F.count(F.lit(1)).alias("n"))
+        mappings.coalesce(1).write.parquet(f"{self.root}/mappings/load={load.name}")
+        named = own.select("rel_type", F.struct(*EDGE_COLUMNS).alias("at"), F.explode("props").alias("key", "value")).where("value IS NOT NULL")
+        least = F.min(F.struct(F.to_json("at").alias("at"), "value")).alias("l")
+        counted = named.groupBy("rel_type", "key").agg(F.count(F.lit(1)).alias("n"), least)
+        profile = counted.select(F.col("rel_type").alias("label"), "key", F.lit("STRING").alias("type"), "n", F.col("l.at").alias("least"), F.col("l.value").alias("sample"))
+        profile.coalesce(1).write.parquet(f"{self.root}/edge-profiles/load={load.name}")
 
     def write_nodes(self, label: str, nodes: DataFrame, load: Load) -> None:
+        """The merged writes of one label, a row for each key.
+
+        Properties that are no column stay as they are in the graph; a column ``_mentioned`` says
+        which of the others each row mentions, all if there is none.
+        """
         key, props = LABELS[label]
         missing = [F.lit(None).cast("string").alias(p) for p in props if p not in nodes.columns]
-        whole = nodes.select("*", *missing).select(key, *props)
-        whole.write.parquet(f"{load.folder}/nodes/{label}")
-        load.tables.add(f"nodes/{label}")
-
-    def reset(self) -> None:
-        """Empty the graph by publishing a load without rows."""
-        load = self.begin()
-        for label in LABELS:
-            self.write_nodes(label, self.spark.createDataFrame([], label_schema(label)), load)
-        self.write_edges(self.spark.createDataFrame([], EDGE_SCHEMA), load)
-        self.publish(load)
+        said = F.col(MENTIONED) if MENTIONED in nodes.columns else F.lit(mentions_of(nodes.columns, props)).cast("long")
+        whole = nodes.select("*", *missing).select(key, *props, said.alias(MENTIONED)).repartition(self.buckets, key)
+        # counts and samples are taken as the rows pass by
+        seen = Observation()
+        metrics = []
+        for i, name in enumerate([key, *props]):
+            at = F.when(F.col(name).isNotNull(), F.col(key))
+            metrics += [F.count(name).alias(f"n{i}"), F.min(at).alias(f"l{i}"), F.min_by(name, at).alias(f"s{i}")]
+        self._write(f"nodes/{label}", whole.observe(seen, *metrics), self._node_schema(label), [key], load)
+        found = seen.get
+        rows = [(label, name, "STRING", found[f"n{i}"], found[f"l{i}"], found[f"s{i}"]) for i, name in enumerate([key, *props]) if found.get(f"n{i}")]
+        self.spark.createDataFrame(rows, _PROFILE).coalesce(1).write.parquet(f"{self.root}/profiles/load={load.name}/{label}")
+
+    # --- catalog -------------------------------------------------------------------------------------
+
+    def _small(self, part: str, schema: str, below: str = "") -> DataFrame:
+        """A table of profiles: a few rows for each finished load, with ``load``."""
+        there = {name.removeprefix("load=") for name in folder_names(self, part)}
+        frames = [
+            self.spark.read.schema(schema).parquet(f"{self.root}/{part}/load={name}{below}").withColumn("load", F.lit(name))
+            for name in self.finished()
+            if name in there
+        ]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], f"{schema}, load string")
+
+    def load_report(self) -> DataFrame:
+        """What each load wrote: (load, label, n) with the rows of each label that it touched."""
+        keys = self.spark.createDataFrame([(label, key) for label, (key, _) in LABELS.items()], "label string, key string")
+        return self._small("profiles", _PROFILE, "/*").join(keys, ["label", "key"]).select("load", "label", "n")
+
+    def node_properties(self) -> DataFrame:
+        """(label, key, type, sample) of all properties that nodes have been given.
+
+        The sample is what the last load wrote for the smallest node key that has been given one.
+        """
+        return _merged_profiles(self._small("profiles", _PROFILE, "/*"))
+
+    def edge_properties(self) -> DataFrame:
+        """The same for edges: (rel_type, key, type, sample)."""
+        return _merged_profiles(self._small("edge-profiles", _PROFILE)).withColumnRenamed("label", "rel_type")
+
+    def edge_mappings(self) -> DataFrame:
+        """Distinct (src_label, rel_type, dst_label) of all edges."""
+        return self._small("mappings", _MAPPING).select("src_label", "rel_type", "dst_label").distinct()
 
     def register_views(self) -> None:
         """Every label as a view of its name, and ``edges``, for use in SQL text."""
@@ -118,6 +249,12 @@ class GraphStore:
         self.edges().createOrReplaceTempView("edges")
 
 
+def _merged_profiles(rows: DataFrame) -> DataFrame:
+    """States of loads combined: counts, and the sample at the least key (of the last load that has it)."""
+    least = rows.groupBy("label", "key", "type", "least").agg(F.max_by("sample", "load").alias("sample"))
+    return least.groupBy("label", "key", "type").agg(F.min_by("sample", "least").alias("sample"))
+
+
 def as_property_maps(nodes: DataFrame, label: str, key: str) -> DataFrame:
     """A typed node table as (label, pk, props); unset properties are not in the map."""
     entries = [F.struct(F.lit(name), F.col(name).cast("string")) for name in nodes.columns]
