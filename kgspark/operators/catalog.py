@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,16 +45,26 @@ def variant_type_name(value: Column) -> Column:
     )
 
 
-def node_properties(tables: Tables) -> DataFrame:
+def sample_text(value: Column, kind: str) -> Column:
+    """A sample in a fixed form: numbers with a fraction to six places, times to the second."""
+    if kind == "FLOAT":
+        return F.format_string("%.6f", value.cast("double"))
+    if kind == "DATETIME":
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+    return value.cast("string")
+
+
+def node_properties(tables: Tables, shown: Callable[[Column, str], Column] = lambda value, _: value.cast("string")) -> DataFrame:
     """Keys that occur per label: (label, key, type, sample).
 
     The sample is the value at the smallest node key. One pass per table; every task hands
-    on one row, however large the table is. Samples are text.
+    on one row, however large the table is. Samples are text, as ``shown`` makes it of a value
+    and the name of its type.
     """
 
     def profile(label: str, table: DataFrame, key: str) -> DataFrame:
         samples = [
-            F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"c{i}")
+            F.min_by(shown(F.col(c), type_name(table.schema[c].dataType)), F.when(F.col(c).isNotNull(), F.col(key))).alias(f"c{i}")
             for i, c in enumerate(table.columns)
         ]
         entries = [

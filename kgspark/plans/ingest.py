@@ -61,16 +61,17 @@ def malformed(records: DataFrame) -> DataFrame:
     return records.filter(F.col("_malformed").isNotNull()).select(*POSITION, "_malformed")
 
 
-def quarantine(store: GraphStore, records: DataFrame, tag: str) -> int:
+def quarantine(store: GraphStore, records: DataFrame, tag: str, name: str | None = None) -> int:
     """Keep what did not parse as a table below ``<root>/malformed`` and say how many records that are.
 
-    The graph is loaded from the others. Returns their number.
+    The graph is loaded from the others. Returns their number. A batch that may run twice gives
+    the table a ``name`` and replaces it.
     """
     bad = malformed(records)
     n = bad.count()
     if n:
-        folder = f"{store.root}/malformed/{tag}-{uuid.uuid4().hex[:12]}"
-        bad.write.parquet(folder)
+        folder = f"{store.root}/malformed/{tag}-{name or uuid.uuid4().hex[:12]}"
+        bad.write.mode("overwrite").parquet(folder)
         print(f"{n} {tag} records do not parse; they are kept in {folder}")
     return n
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shred
 from ..operators.merge import distinct_edges, merge_writers, not_loaded
-from ..schemas import LABELS, METABOLITE, PROTEIN
+from ..schemas import CROSS_REFERENCES, LABELS, METABOLITE, PROTEIN, TEXT
 from ..session import staging_path, stored
 from ..sources.graph_store import GraphStore
 from ..sources.xml_records import parse_records
@@ -46,24 +46,58 @@ def _refs(*items: tuple[str, str]) -> str:
 
 _CONCENTRATION_REFS = _refs(("p_name", SIZE), ("p_brand", SIZE))
 
-METABOLITE_FIELDS = {
-    "accession": ACC,
-    "name": "p_name",
+# what a property holds once it is read: values without space at their ends
+METABOLITE_PROPS = {
+    "version": SIZE,
+    "creation_date": f"concat('2020-', {SIZE})",
+    "update_date": BIG,
     "status": TYPE,
+    "name": "p_name",
+    "description": "concat('about ', p_brand)",
+    "chemical_formula": "p_brand",
+    "average_molecular_weight": f"concat({SIZE}, '.5')",
+    "monoisotopic_molecular_weight": SIZE,
+    "iupac_name": BIG_NAME,
+    "traditional_iupac": TYPE,
+    "cas_registry_number": BIG,
+    "smiles": "concat(p_brand, '=O<')",
+    "inchi": "concat(p_type, '&', p_brand)",
+    "inchikey": "substr(p_name, 1, 3)",
     "state": BIG,
-    "description": "concat(' about ', p_brand, ' ')",
-    "monisotopic_molecular_weight": SIZE,
-    "synthesis_reference": BIG_NAME,
+}
+CROSS_FIELDS = {
+    "foodb_id": "p_name",
     "kegg_id": "p_brand",
-    "pdb_id": TYPE,
+    "chemspider_id": SIZE,
     "chebi_id": "''",
+    "pubchem_compound_id": BIG,
+    "pdb_id": TYPE,
+    "biocyc_id": f"concat('B', {SIZE})",
+    "drugbank_id": TYPE,
+    "phenol_explorer_compound_id": "p_brand",
+    "wikipedia_id": BIG_NAME,
+    "knapsack_id": BIG,
+    "bigg_id": SIZE,
+    "metlin_id": "p_type",
+    "vmh_id": f"concat(p_brand, {SIZE})",
+}
+
+METABOLITE_FIELDS = {
+    "accession": ACC,
+    **{"monisotopic_molecular_weight" if name == "monoisotopic_molecular_weight" else name: value for name, value in METABOLITE_PROPS.items()},
+    "description": "concat(' about ', p_brand, ' ')",
+    "synthesis_reference": BIG_NAME,
+    **CROSS_FIELDS,
     "secondary_accessions": _struct(accession=_list("p_brand", "''")),
     "synonyms": _struct(synonym=_list("p_name", "concat('  ', p_type, ' ')", "'  '")),
     "taxonomy": _struct(
         description=BIG_NAME,
         direct_parent="p_brand",
         kingdom="'Parts'",
+        super_class="concat(p_type, 's')",
         **{"class": "p_type"},
+        sub_class=BIG,
+        molecular_framework="substr(p_type, 1, 4)",
         alternative_parents=_struct(alternative_parent=_list(LEVEL)),
         substituents=_struct(substituent=_list("substr(p_name, 1, 3)", "''")),
         external_descriptors=_struct(external_descriptor=_list(TYPE.replace("PROMO", "none"))),
@@ -117,11 +151,27 @@ METABOLITE_FIELDS = {
     "general_references": _refs(("p_name", _NONE), (_NONE, SIZE), (_NONE, _NONE)),
 }
 
-PROTEIN_FIELDS = {
-    "accession": ACC,
-    "name": "p_name",
+PROTEIN_PROPS = {
+    "uniprot_id": "p_brand",
     "gene_name": TYPE,
+    "protein_type": "p_type",
+    "specific_function": BIG_NAME,
+    "uniprot_name": "concat(p_brand, '_X')",
+    "creation_date": f"concat('2020-', {SIZE})",
+    "update_date": BIG,
+    "genbank_protein_id": SIZE,
     "general_function": BIG,
+    "geneatlas_id": TYPE,
+    "name": "p_name",
+    "version": SIZE,
+    "genecard_id": BIG,
+    "hgnc_id": "concat('HGNC:', p_brand)",
+    "genbank_gene_id": "substr(p_name, 1, 3)",
+}
+
+PROTEIN_FIELDS = {
+    "accession": ACC,
+    **PROTEIN_PROPS,
     "secondary_accessions": _struct(accession=_list("p_name", "''")),
     "metabolite_associations": _struct(
         metabolite=_list(_struct(accession="p_brand", name="p_name"), _struct(accession=_NONE, name="'x'"))
@@ -250,7 +300,10 @@ _STATEMENTS = {
         _writes(
             (0, 0, ACC, "p_brand", {"level": "'direct_parent'"}),
             (1, 0, ACC, "'Parts'", {"level": "'kingdom'"}),
+            (2, 0, ACC, "concat(p_type, 's')", {"level": "'super_class'"}),
             (3, 0, ACC, "p_type", {"level": "'class'"}),
+            (4, 0, ACC, BIG, {"level": "'sub_class'"}),
+            (5, 0, ACC, "substr(p_type, 1, 4)", {"level": "'molecular_framework'"}),
             (6, 0, ACC, LEVEL, {"level": "'alternative_parent'"}),
             (7, 0, ACC, "substr(p_name, 1, 3)", {"level": "'substituent'"}),
             (9, 0, ACC, "p_type", {"level": "'external_descriptor'"}),
@@ -323,12 +376,12 @@ _STATEMENTS = {
         ),
     ),
     "shred_cross_references": (
-        "Metabolite", "E21", ["kegg_id", "pdb_id", "chebi_id"],
-        _writes(
-            (0, 0, ACC, _joined(ACC, "'KEGG'", "p_brand"), {"source": "'KEGG'", "identifier": "p_brand"}),
-            (1, 0, ACC, f"CASE WHEN p_type <> 'PROMO' THEN {_joined(ACC, chr(39) + 'PDB' + chr(39), 'p_type')} END",
-             {"source": "'PDB'", "identifier": TYPE}),
-        ),
+        "Metabolite", "E21", list(CROSS_FIELDS),
+        _writes(*[
+            (i, 0, ACC, f"CASE WHEN {CROSS_FIELDS[field]} <> '' THEN {_joined(ACC, repr(source), CROSS_FIELDS[field])} END",
+             {"source": repr(source), "identifier": CROSS_FIELDS[field]})
+            for i, (field, source) in enumerate(CROSS_REFERENCES.items())
+        ]),
     ),
     "shred_synthesis_reference": (
         "Metabolite", "E22", ["synthesis_reference"],
@@ -381,15 +434,6 @@ _STATEMENTS = {
     "shred_pdb_ids": ("Protein", "E37", ["pdb_ids"], _writes((0, 0, ACC, "p_name", {}))),
 }
 
-# fields of a record that cross-reference items read but a query's XML does not have
-_CROSS = [name for name, shape in METABOLITE.items() if name.endswith("_id") and shape == "text"]
-
-
-def _with_missing(records: DataFrame) -> DataFrame:
-    missing = [F.lit(None).cast("string").alias(name) for name in _CROSS if name not in records.columns]
-    return records.select("*", *missing)
-
-
 def _statement_query(name: str, kind: str, statement: str, needed: list[str], writes: str) -> None:
     # label, type and properties are needed for the SQL before any session exists
     label, rel = _TARGETS[statement]
@@ -399,8 +443,6 @@ def _statement_query(name: str, kind: str, statement: str, needed: list[str], wr
     @query(name, merged_sql(writes, rel, source, label, props))
     def run(spark: SparkSession, folder: str) -> DataFrame:
         records = _parsed(spark, folder, kind, needed)
-        if statement == "E21":
-            records = _with_missing(records)
         writers = shred.metabolite_writers() if kind == "Metabolite" else shred.protein_writers()
         return _edges_with_nodes(records, kind, [w for w in writers if w.name == statement])
 
@@ -468,30 +510,28 @@ def _last_sql(key: str, columns: dict[str, str], where: str = "true") -> str:
 
 @query(
     "metabolite_nodes",
-    f"""SELECT a.*, b.taxonomy_description FROM ({_last_sql(ACC, {
-        "name": "p_name", "status": TYPE, "state": BIG, "description": "concat('about ', p_brand)",
-        "monoisotopic_molecular_weight": SIZE})}) a
+    f"""SELECT a.*, b.taxonomy_description FROM ({_last_sql(ACC, METABOLITE_PROPS)}) a
     LEFT JOIN ({_last_sql(ACC, {"taxonomy_description": "p_name"}, "p_size > 25")}) b ON a.accession = b.accession""",
 )
 def metabolite_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    needed = ["name", "status", "state", "description", "monisotopic_molecular_weight", "taxonomy"]
-    records = _parsed(spark, folder, "Metabolite", needed)
+    needed = [name for name in METABOLITE_FIELDS if METABOLITE[name] == TEXT and name not in CROSS_FIELDS]
+    records = _parsed(spark, folder, "Metabolite", [name for name in needed if name not in ("accession", "synthesis_reference")] + ["taxonomy"])
     writers = [shred.record_writes(records, "Metabolite", 0), shred.taxonomy_description_writes(records, 0)]
     return merge_writers(writers, "accession")
 
 
 @query(
     "protein_nodes",
-    f"""SELECT * FROM ({_last_sql(ACC, {"name": "p_name", "gene_name": TYPE, "general_function": BIG})})
+    f"""SELECT * FROM ({_last_sql(ACC, PROTEIN_PROPS)})
     WHERE accession NOT IN (SELECT concat('A', CAST(l_suppkey AS STRING)) FROM lineitem)""",
 )
 def protein_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Proteins the graph does not have yet; here those named like a supplier with lines are known."""
-    records = _parsed(spark, folder, "Protein", ["name", "gene_name", "general_function"])
+    records = _parsed(spark, folder, "Protein", list(PROTEIN_PROPS))
     existing = table(spark, folder, "lineitem").select(F.concat(F.lit("A"), F.col("l_suppkey")).alias("proteinAcc"))
     fresh = not_loaded(records, existing.distinct(), "accession", "proteinAcc")
     merged = merge_writers([shred.record_writes(fresh, "Protein", 1)], "proteinAcc")
-    return merged.withColumnRenamed("proteinAcc", "accession").select("accession", "name", "gene_name", "general_function")
+    return merged.withColumnRenamed("proteinAcc", "accession").select("accession", *PROTEIN_PROPS)
 
 
 @query(

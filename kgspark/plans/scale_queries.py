@@ -9,6 +9,10 @@ from ..operators import brackets, graph, tree
 from ..operators.fuzzy import terms_with_prefix
 from ..operators.text_index import build_index, tokens
 from ..session import staging_path, stored
+from ..sources.graph_store import GraphStore
+from .ingest import load_metabolites
+from .record_queries import ACC, BIG, METABOLITE_FIELDS, METABOLITE_PROPS, xml_records
+from .record_queries import _last_sql as last_sql
 from .registry import query, table
 from .search_queries import search_sql
 from .table_queries import _all_nodes as all_nodes
@@ -135,6 +139,63 @@ def tree_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return labels.join(held, "node", "left").select("node", "root", "depth", size, "cycle", F.coalesce("n_below", F.lit(0)).alias("n_below"))
 
 
+# --- loads that write what they change -------------------------------------------------------------------
+
+_AGAIN = "p_partkey % 10 = 0"
+_CHANGED = {"name": "concat('new ', p_brand)", "status": "CASE WHEN p_size > 25 THEN 'checked' END", "taxonomy": "named_struct('description', CASE WHEN p_size > 40 THEN p_type END)"}
+
+
+def loaded_twice(spark: SparkSession, folder: str) -> GraphStore:
+    """All metabolites, then a few again in records with fewer fields."""
+    store = GraphStore(spark, staging_path(spark, "graph-twice"))
+    parts = table(spark, folder, "part")
+    for chosen, fields in ((parts, METABOLITE_FIELDS), (parts.where(_AGAIN), {"accession": METABOLITE_FIELDS["accession"]} | _CHANGED)):
+        path = staging_path(spark, "twice-xml")
+        xml_records(chosen, "metabolite", fields).select("record").write.text(path)
+        load_metabolites(spark, store, path)
+    return store
+
+
+def _twice_sql() -> str:
+    second = {name: _CHANGED.get(name, "CAST(NULL AS STRING)") for name in METABOLITE_PROPS}
+    return f"""SELECT coalesce(n.accession, o.accession) AS accession,
+      {", ".join(f"CASE WHEN n.accession IS NULL THEN o.{name} ELSE n.{name} END AS {name}" for name in METABOLITE_PROPS)},
+      CASE WHEN td.accession IS NULL THEN t.taxonomy_description ELSE td.taxonomy_description END AS taxonomy_description
+     FROM ({last_sql(ACC, METABOLITE_PROPS)}) o LEFT JOIN ({last_sql(ACC, second, _AGAIN)}) n ON n.accession = o.accession
+     LEFT JOIN ({last_sql(ACC, {"taxonomy_description": "p_name"}, "p_size > 25")}) t ON t.accession = o.accession
+     LEFT JOIN ({last_sql(ACC, {"taxonomy_description": "p_type"}, f"p_size > 40 AND {_AGAIN}")}) td ON td.accession = o.accession"""
+
+
+@query("graph_load_twice", _twice_sql())
+def graph_load_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties of nodes that two loads have written: the second takes away what it mentions without a value."""
+    return loaded_twice(spark, folder).nodes("Metabolite")
+
+
+def _profile_sql() -> str:
+    """Samples of a graph that was loaded once: of each property at the smallest key that has it."""
+    rows = []
+    for label, key, props, rows_sql in (
+        ("Metabolite", "accession", {"accession": ACC, **METABOLITE_PROPS}, last_sql(ACC, METABOLITE_PROPS)),
+        ("Metabolite", "accession", {"taxonomy_description": "p_name"}, last_sql(ACC, {"taxonomy_description": "p_name"}, "p_size > 25")),
+        ("Disease", "accession", {"diseaseName": "p_type", "omim_id": BIG}, last_sql("p_type", {"diseaseName": "p_type", "omim_id": BIG})),
+        ("Tissue", "accession", {"tissueName": "p_name"}, last_sql("p_name", {"tissueName": "p_name"})),
+    ):
+        rows += [f"SELECT '{label}' AS label, '{name}' AS key, 'STRING' AS type, arg_min({name}, {key}) FILTER ({name} IS NOT NULL) AS sample FROM ({rows_sql}) HAVING count({name}) > 0" for name in props]
+    return " UNION ALL ".join(rows)
+
+
+@query("graph_catalog", _profile_sql())
+def graph_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties and samples out of the profiles that a load leaves, for the labels that one table can state."""
+    store = GraphStore(spark, staging_path(spark, "graph-catalog"))
+    path = staging_path(spark, "catalog-xml")
+    fields = {name: METABOLITE_FIELDS[name] for name in METABOLITE_FIELDS if name not in ("spectra", "general_references")}
+    xml_records(table(spark, folder, "part"), "metabolite", fields).select("record").write.text(path)
+    load_metabolites(spark, store, path)
+    return store.node_properties().where(F.col("label").isin("Metabolite", "Disease", "Tissue"))
+
+
 # --- subgraphs of many plans ---------------------------------------------------------------------------
 
 _WANTED = "CASE c_custkey % 4 WHEN 0 THEN ['n_name', 'c_mktsegment'] WHEN 1 THEN ['c_mktsegment', 'n_name', 'n_name'] WHEN 2 THEN ['s_name'] ELSE ['colour'] END"

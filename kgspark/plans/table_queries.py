@@ -264,8 +264,8 @@ def _props_sql(with_sample: bool) -> str:
     for label, fields in NODE_FIELDS.items():
         key = next(iter(fields))
         for name, kind in fields.items():
-            exact = kind in ("INTEGER", "STRING")
-            sample = f"arg_min(CAST({name} AS STRING), {key})" if exact else "CAST(NULL AS STRING)"
+            shown = {"FLOAT": f"printf('%.6f', {name})", "DATETIME": f"strftime({name}, '%Y-%m-%d %H:%M:%S')"}.get(kind, f"CAST({name} AS STRING)")
+            sample = f"arg_min({shown}, {key}) FILTER ({name} IS NOT NULL)"
             extra = f", {sample} AS sample" if with_sample else ""
             parts.append(f"SELECT '{label}' AS label, '{name}' AS key, '{kind}' AS type{extra} FROM {NODE_TABLES[label]} HAVING count({name}) > 0")
     return " UNION ALL ".join(parts)
@@ -281,10 +281,7 @@ _MAPPINGS_SQL = " UNION ".join(
 
 @query("catalog_node_props", _props_sql(True))
 def catalog_node_props(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples of numbers with a fraction and of times are left out: engines print them differently."""
-    found = catalog.node_properties(_node_tables(spark, folder))
-    sample = F.when(F.col("type").isin("INTEGER", "STRING"), F.col("sample"))
-    return found.withColumn("sample", sample)
+    return catalog.node_properties(_node_tables(spark, folder), catalog.sample_text)
 
 
 @query("catalog_mappings", _MAPPINGS_SQL)

@@ -1,7 +1,7 @@
 """Records merged into the graph as their files arrive.
 
-Each micro-batch parses its records and writes them to a folder of its own; every so many
-batches the records gathered since are merged into the graph. A batch that runs twice writes
+Each micro-batch parses its records and writes them to a folder of its own, those that do not
+parse to another; every so many batches the records gathered since are merged into the graph. A batch that runs twice writes
 the same folder and merges the same writes, which changes nothing.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import not_loaded
 from ..operators.shred import metabolite_writers, protein_writers
-from ..plans.ingest import METABOLITES, PROTEINS, load_records, with_key
+from ..plans.ingest import METABOLITES, PROTEINS, load_records, quarantine, with_key
 from ..schemas import METABOLITE, PROTEIN
 from ..session import stored
 from ..sources.graph_store import GraphStore, folder_names
@@ -61,6 +61,7 @@ def ingest_stream(
         placed = batch.select(arrival.alias("_file"), "_block", F.monotonically_increasing_id().alias("_row"), "record")
         parsed = parse_records(placed, shape, ontology=tag == "metabolite")
         parsed.write.mode("overwrite").parquet(_folder(store, tag, number))
+        quarantine(store, spark.read.schema(parsed.schema).parquet(_folder(store, tag, number)), tag, f"batch-{number:010d}")
         if (number + 1) % merge_every == 0:
             merge_arrived(store, tag, number + 1 - merge_every, number)
 
