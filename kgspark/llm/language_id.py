@@ -40,6 +40,14 @@ WORD = re.compile(r"[^\W\d_]+")
 OUTPUT = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. What the pattern takes besides (such as a half or a superscript) only parts them."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in f"{w} ").split()
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(place of the word, row of the table) for each word and each of its n-grams.
 
@@ -66,7 +74,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table and their shares in the document's average."""
-    words = Counter(WORD.findall(text.lower()))
+    words = Counter(words_of(text))
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
     place, found = subwords(list(words))
@@ -133,7 +141,7 @@ def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float =
         sure = model.probabilities(totals)
         right = sure.argmax(1) == label[apart]
         if right.any():
-            model.least = float(min(np.quantile(sure.max(1)[right], rejected), 0.4))
+            model.least = float(min(np.quantile(sure.max(1)[right], rejected), max(0.4, 1.5 / len(names))))  # few languages share more probability
     return model
 
 
@@ -185,7 +193,7 @@ class Reader:
         self.known.update(zip(words, range(at, at + len(words))))
 
     def read(self, texts: list[str | None]) -> list[tuple[int, float] | None]:
-        split = [WORD.findall(t.lower()) if t and self.model.languages else () for t in texts]
+        split = [words_of(t) if t and self.model.languages else () for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
             if self.full(new):

@@ -65,3 +65,25 @@ def test_probabilities_equal_the_bags_own(spark):
     for r in docs.collect():
         rows, share = language_id.bag(r.text)
         assert abs(read.read([r.text])[0][1] - model.probabilities(share @ model.table[rows]).max()) < 1e-5
+
+
+def test_texts_without_letters_are_of_no_language(spark):
+    model = language_id.train(["one two three four", "eins zwei drei vier"] * 20, ["en", "de"] * 20)
+    texts = ["½ ²", "Ⅷ ③", "12 _ 34", "٣٤", None, "x²y", "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [found[i] == "und" for i in range(7)] == [True, True, True, True, True, False, False]
+    assert language_id.words_of("x²y ½ Zwei_drei ③a") == ["x", "y", "zwei", "drei", "a"]
+
+
+def test_two_languages_still_reject(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang in ('de', 'fr')")
+    model = language_id.fit(docs)
+    assert 0.5 < model.least <= 0.75
+    assert language_id.recognized(docs, model).count() > 0.99 * docs.count()
+
+
+def test_held_out_is_a_boolean_for_null_ids(spark, tmp_path):
+    rows = [(i, "one two three", "en") for i in range(30)] + [(None, "one two", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.held_out for r in queries.op5(spark, str(tmp_path)).where("doc_id is null").collect()] == [False]
