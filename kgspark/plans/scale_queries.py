@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import brackets, graph, tree
+from ..operators import brackets, graph, think, tree
 from ..operators.fuzzy import terms_with_prefix
 from ..operators.text_index import build_index, tokens
 from ..session import staging_path, stored
@@ -223,3 +223,32 @@ def subgraph_classes(spark: SparkSession, folder: str) -> DataFrame:
     text = classes.groupBy("label").agg(F.array_join(F.array_sort(F.collect_list(shown)), ";").alias("shown"))
     pairs = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.join(text, "label").select("label", "pk", F.array_join(pairs, ",").alias("props"), F.col("shown").alias("classes"))
+
+
+# --- think blocks --------------------------------------------------------------------------------------
+
+_SPOKEN = """CASE (conv_id + turn) % 5 WHEN 0 THEN concat('a<think>  ', text) WHEN 1 THEN concat(text, ' </think>b<thi', 'nk></think><') WHEN 2 THEN concat('<think>', text, '</thin') ELSE text END"""
+_STREAM = "CASE WHEN conv_id % 3 = 0 THEN -1 ELSE conv_id END"
+_SLICE = 6
+
+
+@query(
+    "think_pieces",
+    f"""WITH s AS (SELECT {_STREAM} AS stream, string_agg({_SPOKEN}, '' ORDER BY conv_id, turn) AS text FROM conversations GROUP BY 1),
+       b AS (SELECT stream, text, regexp_extract_all(text, '(?s)<think>(.*?)</think>', 1) AS blocks FROM s)
+     SELECT stream, CAST(0 AS BIGINT) AS block, regexp_replace(text, '(?s)<think>.*?</think>', '', 'g') AS text FROM b
+     UNION ALL SELECT stream, i, blocks[i] FROM (SELECT stream, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM b) WHERE blocks[i] <> ''""",
+)
+def think_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as streams of chunks of a few characters, which cut tags at every place; one stream holds a third.
+
+    The pieces are put together only here, to compare them with the whole texts.
+    """
+    turns = table(spark, folder, "conversations").select(F.expr(_STREAM).alias("stream"), "conv_id", "turn", F.expr(_SPOKEN).alias("text"))
+    sliced = turns.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / _SLICE).cast("int"))))
+    seq = (F.col("conv_id") * 1_000_000 + F.col("turn")) * 10_000 + F.col("i")
+    chunks = sliced.select("stream", seq.alias("seq"), F.substr("text", F.col("i") * _SLICE + 1, F.lit(_SLICE)).alias("text"))
+    pieces = think.think_pieces(chunks, ["stream"], F.floor(F.col("seq") / 200_000_000_000))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "part", "text")))
+    texts = pieces.groupBy("stream", F.coalesce("block", F.lit(0)).alias("block")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    return texts
