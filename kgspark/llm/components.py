@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         round_ += 1
         now = stored(_star(_star(now, large=True), large=False), f"components-{round_}")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
+        if seen == state or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct()
             )

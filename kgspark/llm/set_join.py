@@ -326,9 +326,9 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
 
     def open_(homes: DataFrame, pivots: DataFrame, step: int) -> DataFrame:
         nearest = step < STEPS
-        placed = lists.join(homes, "sid", "left").select("list", "sid", "n", F.coalesce("home", "sid").alias("home"))
+        placed = lists.join(homes, "sid")
         several = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo <> hi").select("list", "total")
-        several = placed.join(several, "list")
+        several = stored(placed.join(several, "list").select("list", "sid", "n", "home", "total"), "set-open-lists")
         short = several.where(F.col("total") <= LIST).select(F.col("list").alias("met"), F.lit(-1).alias("side"), "sid", "n", "home", F.pmod(F.col("list"), F.lit(bins)).alias("task"))
         long = several.where(F.col("total") > LIST)
         long_met = (dealt(long, step) if nearest else against(long)).withColumn("task", F.col("met"))
@@ -341,28 +341,37 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
         found = rest.groupBy("task").applyInArrow(open_pairs(rule, nearest), "a long, b long, far long")
         if nearest:
             found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b").unionByName(firsts(long))
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "set-open-pairs")
 
-    homes = spark.createDataFrame([], "sid long, home long")
+    def joined_homes(homes: DataFrame, fresh: DataFrame) -> DataFrame:
+        """Homes after some links more: the links tie homes to each other, and only these are gone through."""
+        home = lambda name: homes.select(F.col("sid").alias(name), F.col("home").alias(f"home_{name}"))
+        tied = fresh.select("a", "b").join(home("a"), "a").join(home("b"), "b").select("home_a", "home_b")
+        least = components(tied).select(F.col("node").alias("home"), "least")
+        return stored(homes.join(least, "home", "left").select("sid", F.coalesce("least", "home").alias("home")), "set-homes")
+
+    homes = stored(whole.select("sid").distinct().withColumn("home", F.col("sid")), "set-homes")
     pivots = spark.createDataFrame([], "sid long, pivot long, apart long")
     links = None
     for step in range(STEPS + 1):
         compared = measured(open_(homes, pivots, step))
         if not step:
             near = compared.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near"))
-            pivots = near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart")
+            pivots = stored(near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart"), "set-pivots")
         fresh = linked(compared)
         links = fresh if links is None else links.unionByName(fresh)
-        homes = components(links.select("a", "b")).select(F.col("node").alias("sid"), F.col("least").alias("home"))
-    joined = homes.withColumnRenamed("home", "least")
-    grown = held_by.join(joined, "sid", "left").select("sid", "doc_id", F.coalesce("least", "sid").alias("home"))
+        homes = joined_homes(homes, fresh)
+    grown = held_by.join(homes, "sid", "left").select("sid", "doc_id", F.coalesce("home", "sid").alias("home"))
     least = grown.groupBy("home").agg(F.min("doc_id").alias("component"))
     members = stored(grown.join(least, "home").select("sid", "component"), "set-members")
     return Joined(documents, links, members, whole.select("sid", "n", "own"))
 
 
-def block_answers(rule: Rule):
-    """sid, found, linked: of each set of two blocks, the sets of the other (or of the same one) that link with it, and their copies' number."""
+def block_answers(rule: Rule, named: bool = True):
+    """sid, found, linked: of each set of two blocks, the sets of the other (or of the same one) that link with it, and their copies' number.
+
+    Without ``named`` the sets that were found are counted and not passed on.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         side, sid, n, copies = (group.column(c).to_numpy() for c in ("side", "sid", "n", "copies"))
@@ -384,9 +393,12 @@ def block_answers(rule: Rule):
         found = [(left[i], right[link[i]]) for i in np.flatnonzero(link.any(1))]
         if right is not left:
             found += [(right[j], left[link[:, j]]) for j in np.flatnonzero(link.any(0))]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x in found)]), pa.int32()), pa.array(sid[flat(x for _, x in found)]))
         linked = pa.array([int(copies[x].sum()) for _, x in found], pa.int64())
-        return pa.Table.from_arrays([pa.array([int(sid[x]) for x, _ in found], pa.int64()), lists, linked], names=["sid", "found", "linked"])
+        ids = pa.array([int(sid[x]) for x, _ in found], pa.int64())
+        if not named:
+            return pa.Table.from_arrays([ids, linked], names=["sid", "linked"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x in found)]), pa.int32()), pa.array(sid[flat(x for _, x in found)]))
+        return pa.Table.from_arrays([ids, lists, linked], names=["sid", "found", "linked"])
 
     return run
 
@@ -408,9 +420,11 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def answers(joined: Joined, rule: Rule = Rule()) -> DataFrame:
+def answers(joined: Joined, rule: Rule = Rule(), named: bool = True) -> DataFrame:
     """sid, found, linked: every link between different sets, from both ends; a set has one row for each block that it meets links in.
 
+    Without ``named`` only their numbers: a group of k near copies then sends k rows for each block, not k * k ids.
+
     The sets of a component are ordered by size into ranges of about BLOCK; ranges meet that sizes let link.
     """
     sets = joined.whole.select("sid", "n").join(copies_of(joined), "sid").join(joined.members.withColumnRenamed("component", "home"), "sid")
@@ -429,7 +443,7 @@ def answers(joined: Joined, rule: Rule = Rule()) -> DataFrame:
     ends = pairs.select("home", "i", "j", F.explode(F.filter(ends, lambda x: (x["side"] == 0) | (F.col("i") != F.col("j")))).alias("end"))
     sent = ends.select("home", "i", "j", F.col("end.side").alias("side"), F.col("end.block").alias("block")).join(placed, ["home", "block"])
     sent = sent.join(joined.whole.select("sid", "own"), "sid").select("home", "i", "j", "side", "sid", "n", "copies", "own")
-    return sent.groupBy("home", "i", "j").applyInArrow(block_answers(rule), "sid long, found array<long>, linked long")
+    return sent.groupBy("home", "i", "j").applyInArrow(block_answers(rule, named), f"sid long{', found array<long>' * named}, linked long")
 
 
 def copies_of(joined: Joined) -> DataFrame:
@@ -441,7 +455,7 @@ def copies_of(joined: Joined) -> DataFrame:
 def document_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row."""
     joined = join_sets(docs, rule)
-    linked = answers(joined, rule).groupBy("sid").agg(F.sum("linked").alias("linked"))
+    linked = answers(joined, rule, named=False).groupBy("sid").agg(F.sum("linked").alias("linked"))
     counted = copies_of(joined).join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     rows = joined.documents.join(joined.members, "sid", "left").join(counted, "sid", "left")
     known = F.col("doc_id").isNotNull()
