@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from ..sources.graph_store import GraphStore
+from ..sources.graph_store import GraphStore, folder_names
 from .graph import of_type, owner_of_alias
 from .text_index import (
     NAME_SCORE,
@@ -18,6 +20,7 @@ from .text_index import (
     best,
     build_index,
     first_above,
+    load_index,
 )
 
 
@@ -64,7 +67,11 @@ def match_metabolites(
     rest = mentions.join(by_name, "mention_id", "left_anti")
     queries = rest.select(F.col("mention_id").alias("query_id"), F.col("name").alias("text"))
     hits = synonym_hits(queries, synonyms, k).filter(F.col("score") > synonym_threshold)
-    owned = hits.withColumn("alias_lc", F.lower("shown")).join(owner_of_alias(aliases, owners), "alias_lc")
+    hits = stored(hits.withColumn("alias_lc", F.lower("shown")), "alias-hits")
+    # owners of the aliases that were hit, and of no others
+    wanted = hits.select("alias_lc").distinct()
+    few = aliases.join(wanted, F.lower("alias") == F.col("alias_lc"), "left_semi")
+    owned = hits.join(owner_of_alias(few, owners), "alias_lc")
     by_synonym = owned.groupBy(F.col("query_id").alias("mention_id")).agg(
         F.min_by(F.struct("owner_name"), "rank")["owner_name"].alias("matched")
     )
@@ -87,29 +94,44 @@ def dispatched(mentions: DataFrame, matchers: dict) -> DataFrame:
     return result
 
 
+def stored_index(store: GraphStore, name: str, entries: DataFrame) -> TextIndex:
+    """The text index of a graph as it stands, built once for each of its snapshots and kept beside it."""
+    part = f"indexes/{store.snapshot():012d}"
+    for folder in folder_names(store, part):
+        if folder.startswith(f"{name}-") and "_SUCCESS" in folder_names(store, f"{part}/{folder}/made"):
+            return load_index(store.spark, f"{store.root}/{part}/{folder}")
+    return build_index(entries, f"{store.root}/{part}/{name}-{uuid.uuid4().hex[:12]}")
+
+
 def graph_matchers(store: GraphStore) -> dict:
     """Matchers over a loaded graph, for ``dispatched``."""
     metabolites = store.nodes("Metabolite").select(F.col("accession").alias("pk"), "name")
     aliases = of_type(store.edges(), "HAS_SYNONYM", "Metabolite").select(
         F.col("src_key").alias("pk"), F.col("dst_key").alias("alias")
     )
-    synonym = F.col("synonymText")
     fields = ("proteinAcc", "protein_name", "uniprot_id", "uniprot_name", "gene_name", "name")
-    names = build_index(metabolites.select("pk", F.col("name").alias("text"), F.col("name").alias("shown")))
-    synonyms = build_index(
-        store.nodes("Synonym").select(synonym.alias("pk"), synonym.alias("text"), synonym.alias("shown"))
-    )
-    proteins = build_index(
+
+    def own_text(label: str, name: str) -> DataFrame:
+        column = F.col(name)
+        return store.nodes(label).select(column.alias("pk"), column.alias("text"), column.alias("shown"))
+
+    names = stored_index(store, "metabolites", metabolites.select("pk", F.col("name").alias("text"), F.col("name").alias("shown")))
+    synonyms = stored_index(store, "synonyms", own_text("Synonym", "synonymText"))
+    proteins = stored_index(
+        store,
+        "proteins",
         store.nodes("Protein").select(
             F.col("proteinAcc").alias("pk"), F.concat_ws(" ", *fields).alias("text"), F.col("protein_name").alias("shown")
-        )
-    )
-    disease = F.col("diseaseName")
-    diseases = build_index(
-        store.nodes("Disease").select(disease.alias("pk"), disease.alias("text"), disease.alias("shown"))
+        ),
     )
+    diseases = stored_index(store, "diseases", own_text("Disease", "diseaseName"))
     return {
         "Metabolite": lambda m: match_metabolites(m, names, synonyms, aliases, metabolites),
         "Protein": lambda m: match_names(m, proteins),
         "Disease": lambda m: match_names(m, diseases),
     }
+
+
+def resolved(store: GraphStore, mentions: DataFrame) -> DataFrame:
+    """Mentions (mention_id, name, type) with the name that the graph has for each: one call over a loaded graph."""
+    return dispatched(mentions, graph_matchers(store))

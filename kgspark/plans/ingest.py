@@ -10,7 +10,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nonempty
@@ -41,7 +41,27 @@ def parse_file(
     prefix: str | None = None,
     known: DataFrame | None = None,
 ) -> DataFrame:
-    """Records of a file as a nested table, written next to the graph and read back.
+    """Records of a file as a nested table, written next to the graph and read back."""
+    return parsed_and_counted(spark, store, path, tag, shape, ontology, prefix, known)[0]
+
+
+def counting_rejects(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """Parsed records that count, as they are written, those that did not parse."""
+    seen = Observation()
+    return parsed.observe(seen, F.count("_malformed").alias("rejects")), seen
+
+
+def parsed_and_counted(
+    spark: SparkSession,
+    store: GraphStore,
+    path,
+    tag: str,
+    shape: dict,
+    ontology: bool = False,
+    prefix: str | None = None,
+    known: DataFrame | None = None,
+) -> tuple[DataFrame, int]:
+    """The table of ``parse_file``, and how many of its records did not parse.
 
     Records whose accession is among ``known`` (one column, of that name) are left out before
     the table is written, so that this join runs once and not in every statement. Text that is
@@ -50,7 +70,8 @@ def parse_file(
     parsed = parse_records(scan_records(spark, path, tag, prefix), shape, ontology)
     if known is not None:
         parsed = not_loaded(parsed, known, "accession")
-    return stored(parsed, tag, f"{store.root}/records/{tag}-{uuid.uuid4().hex[:12]}")
+    counted, seen = counting_rejects(parsed)
+    return stored(counted, tag, f"{store.root}/records/{tag}-{uuid.uuid4().hex[:12]}"), seen.get["rejects"]
 
 
 def with_key(records: DataFrame) -> DataFrame:
@@ -61,17 +82,15 @@ def malformed(records: DataFrame) -> DataFrame:
     return records.filter(F.col("_malformed").isNotNull()).select(*POSITION, "_malformed")
 
 
-def quarantine(store: GraphStore, records: DataFrame, tag: str, name: str | None = None) -> int:
-    """Keep what did not parse as a table below ``<root>/malformed`` and say how many records that are.
+def quarantine(store: GraphStore, records: DataFrame, tag: str, n: int, name: str | None = None) -> int:
+    """Keep the ``n`` records that did not parse as a table below ``<root>/malformed`` and say so.
 
-    The graph is loaded from the others. Returns their number. A batch that may run twice gives
+    The graph is loaded from the others. Without any nothing is read. A batch that may run twice gives
     the table a ``name`` and replaces it.
     """
-    bad = malformed(records)
-    n = bad.count()
     if n:
         folder = f"{store.root}/malformed/{tag}-{name or uuid.uuid4().hex[:12]}"
-        bad.write.mode("overwrite").parquet(folder)
+        malformed(records).write.mode("overwrite").parquet(folder)
         print(f"{n} {tag} records do not parse; they are kept in {folder}")
     return n
 
@@ -107,8 +126,8 @@ def load_records(store: GraphStore, records: DataFrame, label: str, writers: lis
 
 
 def load_metabolites(spark: SparkSession, store: GraphStore, path, prefix: str | None = None) -> int:
-    records = parse_file(spark, store, path, "metabolite", METABOLITE, ontology=True, prefix=prefix)
-    quarantine(store, records, "metabolite")
+    records, rejects = parsed_and_counted(spark, store, path, "metabolite", METABOLITE, ontology=True, prefix=prefix)
+    quarantine(store, records, "metabolite", rejects)
     return load_records(store, with_key(records), "Metabolite", metabolite_writers(), METABOLITES)
 
 
@@ -117,6 +136,6 @@ def load_proteins(
 ) -> int:
     """Load protein records; by default those whose node exists before the load are skipped."""
     known = store.nodes("Protein").select(F.col("proteinAcc").alias("accession")) if skip_existing else None
-    records = parse_file(spark, store, path, "protein", PROTEIN, prefix=prefix, known=known)
-    quarantine(store, records, "protein")
+    records, rejects = parsed_and_counted(spark, store, path, "protein", PROTEIN, prefix=prefix, known=known)
+    quarantine(store, records, "protein", rejects)
     return load_records(store, with_key(records), "Protein", protein_writers(), PROTEINS)

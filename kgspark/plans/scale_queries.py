@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import brackets, graph, think, tree
 from ..operators.fuzzy import terms_with_prefix
+from ..operators.resolve import resolved
 from ..operators.text_index import build_index, tokens
 from ..session import staging_path, stored
 from ..sources.graph_store import GraphStore
+from ..sources.xml_records import scan_nested_records
 from .ingest import load_metabolites
 from .record_queries import ACC, BIG, METABOLITE_FIELDS, METABOLITE_PROPS, xml_records
 from .record_queries import _last_sql as last_sql
@@ -76,6 +78,30 @@ def xml_structure_any(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(nation.alias("nation"), "parent", "child", "n")
 
 
+@query(
+    "xml_nested_records",
+    """SELECT r_name AS name, 'region' AS kind, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)
+         + (SELECT count(*) FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS n_inside FROM region
+       UNION ALL SELECT n_name, 'nation', (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
+       UNION ALL SELECT s_name, 'supplier', 0 FROM supplier""",
+)
+def xml_nested_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Places inside places, all of one name: every one is a record, with all that is inside it."""
+    place = lambda kind, name, inside: F.concat(F.lit("<place kind='a > b'><kind>"), F.lit(kind), F.lit("</kind><name>"), name, F.lit("</name>"), inside, F.lit("</place>"))
+    joined = lambda rows, key: rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("xml")), "\n").alias("inside"))
+    inside = F.coalesce("inside", F.lit(""))
+    suppliers = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), place("supplier", F.col("s_name"), F.lit("")).alias("xml"))
+    nations = table(spark, folder, "nation").join(joined(suppliers, "n_nationkey"), "n_nationkey", "left")
+    nations = nations.select(F.col("n_regionkey").alias("r_regionkey"), place("nation", F.col("n_name"), inside).alias("xml"))
+    regions = table(spark, folder, "region").join(joined(nations, "r_regionkey"), "r_regionkey", "left")
+    path = staging_path(spark, "places-xml")
+    regions.select(place("region", F.col("r_name"), inside).alias("value")).write.text(path)
+    records = scan_nested_records(spark, path, "place")
+    first = lambda tag: F.regexp_extract("record", f"<{tag}>([^<]*)</{tag}>", 1).alias(tag)
+    opened = F.regexp_count("record", F.lit("<place kind")).cast("long")
+    return records.select(first("name"), first("kind"), (opened - 1).alias("n_inside"))
+
+
 # --- text search -----------------------------------------------------------------------------------
 
 _CUSTOMERS = "SELECT c_custkey AS pk, c_name AS text, c_name AS shown FROM customer"
@@ -252,3 +278,51 @@ def think_pieces(spark: SparkSession, folder: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("seq", "part", "text")))
     texts = pieces.groupBy("stream", F.coalesce("block", F.lit(0)).alias("block")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
     return texts
+
+
+# --- resolution against a graph ----------------------------------------------------------------------------
+
+_NAMED = """CASE WHEN p_size <= 20 THEN p_name WHEN p_size <= 30 THEN concat('supplier ', lpad(CAST(p_size AS STRING), 9, '0'))
+  WHEN p_size <= 40 THEN concat('customer ', lpad(CAST(p_size AS STRING), 9, '0')) ELSE p_type END"""
+_KIND = "CASE WHEN p_size <= 30 THEN 'Metabolite' WHEN p_size <= 40 THEN 'Protein' WHEN p_size <= 45 THEN 'Disease' ELSE 'Other' END"
+_ASKED = f"SELECT p_partkey AS query_id, {_NAMED} AS text, {_KIND} AS type FROM part"
+_METABOLITES = "SELECT concat('M', CAST(p_partkey AS STRING)) AS pk, p_name AS text, p_name AS shown FROM part"
+_SYNONYMS = "SELECT s_name AS pk, s_name AS text, s_name AS shown FROM supplier"
+_PROTEINS = "SELECT CAST(c_custkey AS STRING) AS pk, concat_ws(' ', CAST(c_custkey AS STRING), c_name, c_mktsegment) AS text, c_name AS shown FROM customer"
+_DISEASES = "SELECT DISTINCT p_type AS pk, p_type AS text, p_type AS shown FROM part"
+
+
+def _asked_sql(kind: str, rest: str = "true") -> str:
+    return f"SELECT query_id, text FROM ({_ASKED}) WHERE type = '{kind}' AND {rest}"
+
+
+@query(
+    "graph_resolve",
+    f"""WITH m AS (SELECT query_id, shown FROM ({search_sql(_METABOLITES, _asked_sql('Metabolite'), 'fuzzy', 0.5)}) WHERE rank = 1 AND score > 0.5),
+       z AS ({search_sql(_SYNONYMS, _asked_sql('Metabolite', 'query_id NOT IN (SELECT query_id FROM m)'), 'fuzzy', 0.3)}),
+       x AS ({search_sql(_SYNONYMS, _asked_sql('Metabolite', 'query_id NOT IN (SELECT query_id FROM m) AND query_id NOT IN (SELECT query_id FROM z)'), 'prefix')}),
+       o AS (SELECT lower(s_name) AS alias_lc, arg_min(p_name, concat('M', CAST(p_partkey AS STRING))) AS owner
+         FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1),
+       s AS (SELECT query_id, arg_min(owner, rank) AS shown FROM (SELECT * FROM z UNION ALL SELECT * FROM x) JOIN o ON alias_lc = lower(shown) WHERE score > 2.0 GROUP BY 1),
+       p AS (SELECT query_id, shown FROM ({search_sql(_PROTEINS, _asked_sql('Protein'), 'fuzzy', 0.5)}) WHERE rank = 1 AND score > 0.5),
+       d AS (SELECT query_id, shown FROM ({search_sql(_DISEASES, _asked_sql('Disease'), 'fuzzy', 0.5)}) WHERE rank = 1 AND score > 0.5),
+       hits AS (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT * FROM p UNION ALL SELECT * FROM d)
+     SELECT a.query_id AS mention_id, a.text AS name, a.type, CASE WHEN a.type = 'Other' THEN a.text ELSE h.shown END AS matched
+     FROM ({_ASKED}) a LEFT JOIN hits h ON h.query_id = a.query_id""",
+)
+def graph_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of four types against a stored graph: parts with their suppliers' names as synonyms, customers, part types."""
+    store = GraphStore(spark, staging_path(spark, "graph-resolve"))
+    part, supplier, customer = (table(spark, folder, name) for name in ("part", "supplier", "customer"))
+    load = store.begin()
+    accession = F.concat(F.lit("M"), "p_partkey")
+    store.write_nodes("Metabolite", part.select(accession.alias("accession"), F.col("p_name").alias("name")), load)
+    store.write_nodes("Synonym", supplier.select(F.col("s_name").alias("synonymText")), load)
+    store.write_nodes("Protein", customer.select(F.col("c_custkey").cast("string").alias("proteinAcc"), F.col("c_name").alias("protein_name"), F.col("c_mktsegment").alias("gene_name")), load)
+    store.write_nodes("Disease", part.select(F.col("p_type").alias("diseaseName")).distinct(), load)
+    pairs = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    ends = F.lit("Metabolite").alias("src_label"), F.concat(F.lit("M"), "l_partkey").alias("src_key"), F.lit("HAS_SYNONYM").alias("rel_type"), F.lit("Synonym").alias("dst_label")
+    store.write_edges(pairs.select(*ends, F.col("s_name").alias("dst_key")), load)
+    store.publish(load)
+    mentions = part.select(F.col("p_partkey").alias("mention_id"), F.expr(_NAMED).alias("name"), F.expr(_KIND).alias("type"))
+    return resolved(store, mentions)

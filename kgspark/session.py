@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,3 +72,13 @@ def stored(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or staging_path(frame.sparkSession, name)
     frame.write.parquet(target)
     return frame.sparkSession.read.schema(frame.schema).parquet(target)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now.
+
+    It does so for frames that nobody holds any more, but only once the driver's garbage is collected, which
+    may be half an hour later; call it after a large step whose result is a table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -277,3 +277,15 @@ def run_query(
     if " LIMIT " not in text.upper():
         rows = limited(rows, limit)
     return rows if budget is None else result_within_budget(rows, budget)
+
+
+def fetch(spark: SparkSession, text: str, parameters: dict | None = None, limit: int = 1000, budget: int | None = None) -> list[dict]:
+    """The rows of ``run_query`` themselves, at most ``limit`` of them.
+
+    An error while the query runs is raised like one in its text.
+    """
+    rows = run_query(spark, text, parameters, None, budget).limit(limit)
+    try:
+        return [row.asDict(recursive=True) for row in rows.collect()]
+    except Exception as error:
+        raise RuntimeError(f"query failed: {error}") from error

@@ -8,12 +8,18 @@ record then goes through ``from_xml`` once.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ESCAPED_LT, element_text
 from ..functions.xml_python import ontology_terms
+from ..operators.ordered import running_sum
 from ..schemas import ONTOLOGY_TERMS, TEXT, raw_struct
+from ..session import stored
 
 # Position of a record: file, then split of the file, then place inside the split.
 # The id alone is not document order, as Spark packs splits into tasks by size.
@@ -83,6 +89,49 @@ def scan_records(
     return pieces.filter(has_record(piece, tag)).select(*POSITION, record_text(piece, tag, prefix).alias("record"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _closed_records(texts: pd.Series, tags: pd.Series) -> pd.Series:
+    """For each closing tag of a text the record that it closes, null where nothing is open."""
+
+    def run(text: str, tag: str) -> list[str | None]:
+        found, opened = [], []
+        for met in re.finditer(rf"{_opening(tag)}|{_closing(tag)}", text):
+            if not met[0].startswith("</"):
+                opened.append(met.start())
+            else:
+                found.append(text[opened.pop() : met.end()] if opened else None)
+        return found
+
+    return pd.Series([run(text, tag) for text, tag in zip(texts, tags)])
+
+
+def scan_nested_records(spark: SparkSession, path, tag: str, prefix: str | None = None, glob: str | None = None) -> DataFrame:
+    """``scan_records`` for records of one name inside each other: inner and outer ones, each where it ends.
+
+    A piece opens some records and closes one, so a running count over the file says where no
+    record is open. Pieces between two such places are one outermost record; only those of
+    more than one piece are gathered, and a record is one value anyway.
+    """
+    pieces = read_pieces(spark, path, tag, prefix, glob)
+    balance = F.regexp_count("piece", F.lit(_opening(tag))) - 1
+    counted = stored(pieces.select(*POSITION, balance.alias("_balance")), "xml-balance")
+    deep = running_sum(counted, ["_file"], ["_block", "_row"], F.col("_block"), F.col("_balance"), "_depth")
+    done = F.when(F.col("_depth") <= 0, 1).otherwise(0)
+    deep = stored(deep.withColumn("_done", done), "xml-depth")
+    placed = running_sum(deep, ["_file"], ["_block", "_row"], F.col("_block"), F.col("_done"), "_no").withColumn("_no", F.col("_no") - F.col("_done"))
+    several = placed.groupBy("_file", "_no").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_file", "_no")
+    inside = stored(placed.join(several, ["_file", "_no"]).select(*POSITION, "_no"), "xml-several")
+    close = F.lit(f"</{prefix}:{tag}>" if prefix else f"</{tag}>")
+    gathered = pieces.join(inside, POSITION).groupBy("_file", "_no").agg(F.array_sort(F.collect_list(F.struct("_block", "_row", "piece"))).alias("_p"))
+    whole = F.concat(F.array_join(F.transform("_p", lambda p: p["piece"]), f"</{prefix}:{tag}>" if prefix else f"</{tag}>"), close)
+    closed = gathered.select("_file", "_p", _closed_records(whole, F.lit(tag)).alias("_r"))
+    pairs = closed.select("_file", F.explode(F.arrays_zip(F.transform("_p", lambda p: F.struct(p["_block"], p["_row"])).alias("at"), F.col("_r").alias("record"))).alias("x"))
+    nested = pairs.select("_file", F.col("x.at._block").alias("_block"), F.col("x.at._row").alias("_row"), "x.record").where("record IS NOT NULL")
+    piece = F.col("piece")
+    single = pieces.filter(has_record(piece, tag)).join(inside.select(*POSITION), POSITION, "left_anti")
+    return single.select(*POSITION, record_text(piece, tag, prefix).alias("record")).unionByName(nested)
+
+
 def stream_records(spark: SparkSession, path, tag: str, prefix: str | None = None, files_per_batch: int = 64):
     """The same scan over files as they arrive; positions are added per micro-batch."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)

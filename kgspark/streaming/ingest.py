@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import not_loaded
 from ..operators.shred import metabolite_writers, protein_writers
-from ..plans.ingest import METABOLITES, PROTEINS, load_records, quarantine, with_key
+from ..plans.ingest import METABOLITES, PROTEINS, counting_rejects, load_records, quarantine, with_key
 from ..schemas import METABOLITE, PROTEIN
 from ..session import stored
 from ..sources.graph_store import GraphStore, folder_names
@@ -59,9 +59,10 @@ def ingest_stream(
         # records of later batches come later in the order of writes
         arrival = F.concat(F.lit(f"{number:010d}/"), F.col("_file"))
         placed = batch.select(arrival.alias("_file"), "_block", F.monotonically_increasing_id().alias("_row"), "record")
-        parsed = parse_records(placed, shape, ontology=tag == "metabolite")
+        parsed, seen = counting_rejects(parse_records(placed, shape, ontology=tag == "metabolite"))
         parsed.write.mode("overwrite").parquet(_folder(store, tag, number))
-        quarantine(store, spark.read.schema(parsed.schema).parquet(_folder(store, tag, number)), tag, f"batch-{number:010d}")
+        written = spark.read.schema(parsed.schema).parquet(_folder(store, tag, number))
+        quarantine(store, written, tag, seen.get["rejects"], f"batch-{number:010d}")
         if (number + 1) % merge_every == 0:
             merge_arrived(store, tag, number + 1 - merge_every, number)
 

@@ -8,7 +8,8 @@ import pytest
 from kgspark.operators.catalog import node_properties
 from kgspark.operators.merge import not_loaded
 from kgspark.schemas import EDGE_COLUMNS, LABELS
-from kgspark.sources.graph_store import GraphStore
+from kgspark.operators.resolve import resolved
+from kgspark.sources.graph_store import GraphStore, fetch, folder_names
 
 DISEASE = "diseaseName string, omim_id string"
 
@@ -116,3 +117,23 @@ def test_profiles_equal_a_scan(spark, store):
     load(store, [("t",)], "tissueName string", "Tissue")
     tables = {label: (store.nodes(label), LABELS[label][0]) for label in ("Disease", "Tissue")}
     assert listed(store.node_properties()) == listed(node_properties(tables))
+
+
+def test_resolution_keeps_its_indexes(spark, store):
+    load(store, [(f"disease {i}", None) for i in range(30)] + [("gout", None)])
+    mentions = spark.createDataFrame([(1, "gouty", "Disease"), (2, "none such", "Protein"), (3, "liver", "Tissue")], "mention_id int, name string, type string")
+    wanted = [(1, "gouty", "Disease", "gout"), (2, "none such", "Protein", None), (3, "liver", "Tissue", "liver")]
+    assert listed(resolved(store, mentions)) == wanted
+    made = folder_names(store, f"indexes/{store.snapshot():012d}")
+    assert listed(resolved(store, mentions)) == wanted
+    assert folder_names(store, f"indexes/{store.snapshot():012d}") == made and len(made) == 4
+    load(store, [("gouty", None)])  # another snapshot, other indexes
+    assert listed(resolved(store, mentions))[0][3] == "gouty"
+
+
+def test_errors_while_a_query_runs(spark):
+    assert fetch(spark, "SELECT id FROM range(5) ORDER BY id DESC", limit=2) == [{"id": 4}, {"id": 3}]
+    with pytest.raises(RuntimeError, match="query failed"):
+        fetch(spark, "SELECT raise_error('at run time') FROM range(3)")
+    with pytest.raises(RuntimeError, match="query failed"):
+        fetch(spark, "SELECT nothing FROM nowhere")

@@ -2,13 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.plans.ingest import load_metabolites
+from kgspark.plans.ingest import load_metabolites, quarantined
 from kgspark.sources.graph_store import GraphStore
 from kgspark.operators.conversation import coalesce_sections
-from kgspark.streaming.chunks import Scan, fold_stream
+from kgspark.streaming.chunks import ChunkFold, Scan, fold_stream
 from kgspark.streaming.ingest import ingest_stream, merge_arrived
 from kgspark.streaming.sections import section_pieces, section_texts
 
@@ -103,3 +104,80 @@ def test_file_stream_builds_the_same_graph(spark, tmp_path):
     merge_arrived(live, "metabolite", 0, 1)
     assert sorted(map(str, live.all_nodes().collect())) == batch.answer[0]
     assert live.nodes("Metabolite").filter(F.col("name") == "n1").count() == 6
+
+
+def test_streams_keep_what_does_not_parse(spark, tmp_path, capsys):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.xml").write_text("<r><metabolite><accession>M1</accession></metabolite><metabolite><accession>M2<oops></accession></metabolite></r>")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    run(ingest_stream(spark, store, str(folder), str(tmp_path / "cp")))
+    assert [r.accession for r in store.nodes("Metabolite").collect()] == ["M1"]
+    bad = quarantined(store, "metabolite").collect()
+    assert len(bad) == 1 and "M2" in bad[0]["_malformed"]
+    assert "1 metabolite records do not parse" in capsys.readouterr().out
+
+
+class Lists:
+    """The handle of a stateful operator, with states in memory that count what is written."""
+
+    def __init__(self):
+        self.written = 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return Value(self)
+
+    def getListState(self, *_):  # noqa: N802
+        return Value(self)
+
+
+class Value:
+    def __init__(self, handle):
+        self.handle, self.held = handle, []
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[0] if self.held and isinstance(self.held[0], tuple) and len(self.held[0]) > 1 else iter(self.held)
+
+    def update(self, row):
+        self.held = [row]
+        self.handle.written += len(str(row))
+
+    def appendValue(self, row):  # noqa: N802
+        self.held.append(row)
+        self.handle.written += len(row[0])
+
+    def clear(self):
+        self.held = []
+
+
+def test_open_block_is_written_once():
+    """A block of 10^5 chunks in 1,000 batches: what is written to the state grows with the chunks, not with their square."""
+    fold, handle = ChunkFold(), Lists()
+    fold.init(handle)
+    chunks = ["before<think>"] + [f"thought {i} </" for i in range(100_000)] + ["</think>after"]
+    out = []
+    for at in range(0, len(chunks), 100):
+        part = chunks[at : at + 100]
+        rows = pd.DataFrame({"seq": range(at, at + len(part)), "section": ["S"] * len(part), "text": part})
+        out += [tuple(r) for frame in fold.handleInputRows(("k",), [rows], None) for r in frame.itertuples(index=False)]
+    assert [(r[2], r[4]) for r in out] == [("Thinking", False), ("S", True)]
+    assert out[0][3] == "".join(chunks[1:-1]).strip() and out[1][3] == "beforeafter"
+    assert handle.written < 2 * sum(map(len, chunks))
+
+
+def test_folds_of_any_batches_agree():
+    rng = random.Random(8)
+    for _ in range(60):
+        chunks = [rng.choice(["a", "<think>", "</think>", "</th", "ink>", "b<think>c</think>", "DONE", "x</think>y<think>z"]) for _ in range(14)]
+        fold, got = ChunkFold(), []
+        fold.init(Lists())
+        cuts = sorted(rng.sample(range(1, 14), 4))
+        for a, z in zip([0, *cuts], [*cuts, 14]):
+            rows = pd.DataFrame({"seq": range(a, z), "section": ["S"] * (z - a), "text": chunks[a:z]})
+            got += [tuple(r)[2:] for f in fold.handleInputRows(("k",), [rows], None) for r in f.itertuples(index=False)]
+        last = pd.DataFrame({"seq": [99], "section": ["S"], "text": [None]}, dtype=object)
+        got += [tuple(r)[2:] for f in fold.handleInputRows(("k",), [last], None) for r in f.itertuples(index=False)]
+        assert got == folded(chunks, "S"), chunks

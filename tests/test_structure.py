@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from kgspark.operators.brackets import _RANGE, TEXT, Range, _fold, element_pairs, structure_of_any
+from kgspark.sources.xml_records import scan_nested_records
 
 
 def plain(text):
@@ -106,3 +107,24 @@ def test_deep_and_broken_files(spark, small_splits, tmp_path):
     small_splits(2000)
     rows = {(r.file_path.rsplit("/", 1)[1], r.parent, r.child): r.n for r in element_pairs(spark, str(tmp_path)).collect()}
     assert rows == {("deep.xml", None, "x"): 1, ("deep.xml", "x", "x"): 2999, ("broken.xml", None, "a"): 1, ("broken.xml", "a", "b"): 1, ("broken.xml", None, "d"): 1}
+
+
+def nested(draw, depth=0):
+    inside = "".join(nested(draw, depth + 1) if draw.random() < 0.5 and depth < 4 else draw.choice(["<x>1</x>", "text", "<mm/>", "<m/>"]) for _ in range(draw.randint(0, 4)))
+    return f"<m{draw.choice(['', ' k="1"'])}>{inside}</m{draw.choice(['', ' '])}>"
+
+
+def test_records_inside_records(spark, small_splits, tmp_path):
+    wanted, closed = [], 0
+    for seed in range(4):
+        draw = random.Random(seed)
+        text = f"<all>{' '.join(nested(draw) for _ in range(30))}</all>\n"
+        (tmp_path / f"{seed}.xml").write_text(text)
+        wanted += list(ET.fromstring(text).iter("m"))
+        closed += text.count("<m/>")
+    # self-closing elements have no closing tag and are no records
+    shapes = Counter(len(list(e.iter())) for e in wanted) - Counter({1: closed})
+    for size in (1 << 20, 300):
+        small_splits(size)
+        records = [r.record for r in scan_nested_records(spark, str(tmp_path), "m").collect()]
+        assert Counter(len(list(ET.fromstring(r).iter())) for r in records) == shapes
