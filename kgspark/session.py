@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,4 +82,5 @@ def release_shuffles(spark: SparkSession) -> None:
     may be half an hour later; call it after a large step whose result is a table.
     """
     gc.collect()
+    time.sleep(1.5)  # within a second the bridge to the JVM lets go of what Python has let go of
     spark.sparkContext._jvm.System.gc()
