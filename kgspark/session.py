@@ -82,5 +82,6 @@ def release_shuffles(spark: SparkSession) -> None:
     may be half an hour later; call it after a large step whose result is a table.
     """
     gc.collect()
-    time.sleep(1.5)  # within a second the bridge to the JVM lets go of what Python has let go of
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of the rest
+        time.sleep(1)  # by then the bridge to the JVM has dropped what Python has
+        spark.sparkContext._jvm.System.gc()
