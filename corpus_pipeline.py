@@ -21,9 +21,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return language_id.recognized(docs, language_id.fit(docs))
 
 
+#: sets of five-word shingles with a Jaccard of 0.8 or more are near duplicates
+NEAR = set_join.Rule(80, 100, 5)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of 3-word shingle sets with a Jaccard of 0.9 or more."""
-    return set_join.one_of_each(docs)
+    """Keeps the smallest doc_id of every component of near duplicates."""
+    return set_join.one_of_each(docs, NEAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kgspark.session import bounded_batches, stored
+from kgspark.session import bounded_batches, release_shuffles, stored
 
 from .common import flat, mixed, rows_of
 from .components import components
@@ -308,6 +308,8 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     entries = known.where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
     shared = entries.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
     lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
+    del entries, shared  # the largest shuffles of all
+    release_shuffles(spark)
     bins = max(8 * parts, lists.count() >> 14)  # of short lists; a long one's blocks are groups of their own
     wanted = lists.select("sid").distinct().join(held_by, "sid")
     whole = texts.join(wanted, "doc_id").select("sid", "text")

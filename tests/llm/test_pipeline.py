@@ -54,7 +54,7 @@ def test_unrecognized_languages_go(chain):
 
 def test_one_document_of_each_group_stays(chain):
     docs = chain["language ID"].collect()
-    stays = {d for d, _, c in plain_components([(r.doc_id, r.text) for r in docs]) if d == c}
+    stays = {d for d, _, c in plain_components([(r.doc_id, r.text) for r in docs], 80, 100, 5) if d == c}
     assert rows_of(chain["n-gram Jaccard join"]) == Counter(tuple(r) for r in docs if r.doc_id in stays)
 
 

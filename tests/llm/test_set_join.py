@@ -17,8 +17,8 @@ def plain_set(text, width=3):
     return frozenset(tuple(words[i : i + wide]) for i in range(len(words) - wide + 1))
 
 
-def plain(docs, num=90, den=100):
-    sets = [(d, plain_set(t)) for d, t in docs]
+def plain(docs, num=90, den=100, width=3):
+    sets = [(d, plain_set(t, width)) for d, t in docs]
     home = {d: d for d, _ in sets if d is not None}
 
     def find(x):
