@@ -53,6 +53,20 @@ def chunk_summaries(chunks: DataFrame) -> DataFrame:
     return grouped.withColumn("summary_text", summary).drop("_summary")
 
 
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    """The pieces of ``chunk_summaries`` as rows that are never gathered: (conv_id, chunk, kind, turn, section, text).
+
+    ``kind`` is user, code or summary; code is shown as its block. In order of turn, the rows of a kind
+    are what its list or text is made of.
+    """
+    is_summary = F.col("section").eqNullSafe(SUMMARY)
+    kind = F.when(F.col("role") == "user", "user").when(is_summary, "summary").otherwise("code")
+    text = F.coalesce("text", F.lit(""))
+    shown = F.when(F.col("kind") == "code", code_block(F.coalesce("section", F.lit("")), text)).otherwise(text)
+    rows = chunks.withColumn("kind", kind)
+    return rows.select("conv_id", "chunk", "kind", "turn", "section", shown.alias("text"))
+
+
 def section_rows(
     messages: DataFrame, keys: list[str], order: list[str], block: Column, section: str = "section", text: str = "text", role: str = "role"
 ) -> DataFrame:

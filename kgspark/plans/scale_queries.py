@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import brackets, graph, think, tree
+from ..operators import brackets, conversation, graph, responses, think, tree
 from ..operators.fuzzy import terms_with_prefix
 from ..operators.resolve import resolved
 from ..operators.text_index import build_index, tokens
 from ..session import staging_path, stored
 from ..sources.graph_store import GraphStore
-from ..sources.xml_records import scan_nested_records
+from ..sources.xml_records import parse_records, scan_nested_records, scan_records
 from .ingest import load_metabolites
 from .record_queries import ACC, BIG, METABOLITE_FIELDS, METABOLITE_PROPS, xml_records
 from .record_queries import _last_sql as last_sql
@@ -326,3 +326,67 @@ def graph_resolve(spark: SparkSession, folder: str) -> DataFrame:
     store.publish(load)
     mentions = part.select(F.col("p_partkey").alias("mention_id"), F.expr(_NAMED).alias("name"), F.expr(_KIND).alias("type"))
     return resolved(store, mentions)
+
+
+# --- small rows of operators that had none ---------------------------------------------------------------------
+
+
+@query("graph_reset", "SELECT n_name AS name, CAST(2 AS BIGINT) AS finished FROM nation")
+def graph_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """Two loads with a reset between them: what the first wrote is gone."""
+    store = GraphStore(spark, staging_path(spark, "graph-reset"))
+    for name, column in (("supplier", "s_name"), ("nation", "n_name")):
+        load = store.begin()
+        store.write_nodes("Tissue", table(spark, folder, name).select(F.col(column).alias("tissueName")), load)
+        store.publish(load)
+        if name == "supplier":
+            store.reset()
+    return store.nodes("Tissue").select(F.col("tissueName").alias("name"), F.lit(store.snapshot() - 1).cast("bigint").alias("finished"))
+
+
+_ENTITY_TYPE = "CASE WHEN p_size > 25 THEN 'Metabolite' ELSE p_type END"
+
+
+@query(
+    "entities_of_type",
+    f"""SELECT p_partkey AS question_id, CAST(0 AS INTEGER) AS pos, p_name AS name FROM part WHERE {_ENTITY_TYPE} = 'Metabolite' AND p_size % 9 <> 0
+     UNION ALL SELECT p_partkey, 1, p_brand FROM part WHERE p_size % 9 <> 0""",
+)
+def entities_of_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of one type out of structured responses; responses that lack a field are rejected as a whole."""
+    entity = lambda name, kind, sure: F.struct(name.alias("name"), kind.alias("type"), sure.alias("confidence"))
+    sure = F.when(F.expr("p_size % 9 <> 0"), F.lit(0.5))
+    listed = F.array(entity(F.col("p_name"), F.expr(_ENTITY_TYPE), sure), entity(F.col("p_brand"), F.lit("Metabolite"), F.lit(1.0)))
+    said = table(spark, folder, "part").select(F.col("p_partkey").alias("question_id"), F.to_json(F.struct(listed.alias("entities"))).alias("said"))
+    found = responses.of_type(responses.mentions(responses.parsed_entities(said, "said")))
+    return found.select("question_id", "pos", "name")
+
+
+@query(
+    "nested_markup_text",
+    "SELECT p_partkey AS accession, concat('about ', p_brand, ' <') AS description, CASE WHEN p_size > 25 THEN '' END AS status FROM part",
+)
+def nested_markup_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of an element ends where its first child begins; an escaped sign is text."""
+    xml = F.concat(
+        F.lit("<metabolite><accession>"), "p_partkey", F.lit("</accession><description> about "), "p_brand", F.lit(" &lt; <i>more</i> and "), "p_type",
+        F.lit("</description>"), F.expr("CASE WHEN p_size > 25 THEN '<status> <!-- none --> </status>' ELSE '<status/>' END"), F.lit("</metabolite>"),
+    )
+    path = staging_path(spark, "markup-xml")
+    table(spark, folder, "part").select(xml.alias("value")).write.text(path)
+    parsed = stored(parse_records(scan_records(spark, path, "metabolite"), {"accession": "text", "description": "text", "status": "text"}), "markup-records")
+    return parsed.select(F.col("accession").cast("bigint").alias("accession"), "description", "status")
+
+
+@query(
+    "turn_chunk_rows",
+    """WITH s AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chunk
+         FROM conversations WHERE role IN ('user', 'assistant'))
+     SELECT conv_id, chunk, turn, CASE WHEN role = 'user' THEN 'user' WHEN turn % 3 = 0 THEN 'summary' ELSE 'code' END AS kind,
+       CASE WHEN role = 'user' OR turn % 3 = 0 THEN text ELSE concat('```json', chr(10), text, chr(10), '```') END AS text FROM s""",
+)
+def turn_chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third turn of an assistant is a summary; nothing is gathered."""
+    section = F.when(F.expr("turn % 3 = 0"), conversation.SUMMARY).otherwise("Plan")
+    chunks = conversation.turn_chunks(table(spark, folder, "conversations").withColumn("section", section))
+    return conversation.chunk_rows(chunks).select("conv_id", "chunk", "turn", "kind", "text")
