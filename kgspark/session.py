@@ -75,6 +75,12 @@ def stored(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(target)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that no frame reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now.
 
