@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kgspark.session import bounded_batches, release_shuffles, stored
+from kgspark.session import bounded_batches, discard, release_shuffles, staging_path, stored
 
 from .common import flat, mixed, rows_of
 from .components import components
@@ -301,14 +301,15 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists")
-    documents = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid")
-    known = sets.where("doc_id is not null and sid is not null")
-    held_by = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    entries = known.where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
+    listed_at = staging_path(spark, "set-lists")
+    sets = stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists", listed_at)
+    documents = stored(sets.select("doc_id", F.col("n").alias("n_shingles"), "sid"), "set-documents")
+    held_by = documents.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    entries = sets.where("doc_id is not null and sid is not null").where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
     shared = entries.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
     lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
-    del entries, shared  # the largest shuffles of all
+    del sets, entries, shared  # the largest table and the largest shuffles of all
+    discard(spark, listed_at)
     release_shuffles(spark)
     bins = max(8 * parts, lists.count() >> 14)  # of short lists; a long one's blocks are groups of their own
     wanted = lists.select("sid").distinct().join(held_by, "sid")
