@@ -6,6 +6,7 @@ returns one row per edge with the merged properties of the node the edge points
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from ..sources.xml_records import parse_records
 from .ingest import load_metabolites, load_proteins
 from .registry import query, table
 
+# parts that one task turns into records: a table of all parts may be a single file
+PARTS_PER_TASK = 10_000
+
 # Expressions both Spark and DuckDB read.
 ACC = "concat('A', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING))"
 SIZE = "CAST(p_size AS STRING)"
@@ -210,13 +214,20 @@ _ONTOLOGY = """concat(
   '</term></descendant></descendants></descendant></descendants></root></ontology></metabolite>')"""
 
 
+def dealt(parts: DataFrame) -> DataFrame:
+    """Parts in order of their key, in ranges of so few that their records fit a task; equal keys stay as they lie."""
+    n = max(1, math.ceil(parts.count() / PARTS_PER_TASK))
+    placed = parts.withColumn("_at", F.monotonically_increasing_id())
+    return placed.repartitionByRange(n, "p_partkey", "_at").sortWithinPartitions("p_partkey", "_at").drop("_at")
+
+
 def xml_records(parts: DataFrame, tag: str, fields: dict[str, str], ontology: bool = False) -> DataFrame:
     """One XML record per part, placed by its key: (_file, _block, _row, record)."""
     columns = [F.expr(value).alias(name) for name, value in fields.items()]
     record = F.to_xml(F.struct(*columns), {"rowTag": tag, "indent": ""})
     if ontology:
         record = F.replace(record, F.lit(f"</{tag}>"), F.expr(_ONTOLOGY))
-    return parts.select(
+    return dealt(parts).select(
         F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("_block"), F.col("p_partkey").alias("_row"),
         record.alias("record"),
     )
