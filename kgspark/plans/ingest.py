@@ -126,6 +126,7 @@ def load_records(store: GraphStore, records: DataFrame, label: str, writers: lis
 
 
 def load_metabolites(spark: SparkSession, store: GraphStore, path, prefix: str | None = None) -> int:
+    store.expect(path)
     records, rejects = parsed_and_counted(spark, store, path, "metabolite", METABOLITE, ontology=True, prefix=prefix)
     quarantine(store, records, "metabolite", rejects)
     return load_records(store, with_key(records), "Metabolite", metabolite_writers(), METABOLITES)
@@ -135,6 +136,7 @@ def load_proteins(
     spark: SparkSession, store: GraphStore, path, skip_existing: bool = True, prefix: str | None = None
 ) -> int:
     """Load protein records; by default those whose node exists before the load are skipped."""
+    store.expect(path)
     known = store.nodes("Protein").select(F.col("proteinAcc").alias("accession")) if skip_existing else None
     records, rejects = parsed_and_counted(spark, store, path, "protein", PROTEIN, prefix=prefix, known=known)
     quarantine(store, records, "protein", rejects)

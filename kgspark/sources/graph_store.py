@@ -13,6 +13,7 @@ Each load also leaves a small profile of what it wrote, so the catalog of a grap
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -26,7 +27,8 @@ from ..schemas import EDGE_COLUMNS, EDGE_SCHEMA, LABELS, label_schema
 
 NODE_COLUMNS = ["label", "pk", "props"]
 MENTIONED = "_mentioned"
-BUCKETS = 8
+BUCKETS = 8  # at least
+BYTES_PER_BUCKET = 128 * 1024 * 1024
 _PROFILE = "label string, key string, type string, n long, least string, sample string"
 _MAPPING = "src_label string, rel_type string, dst_label string, n long"
 _EDGE_TABLE = f"{EDGE_SCHEMA}, props map<string,string>"
@@ -48,13 +50,14 @@ def folder_names(store: GraphStore, part: str) -> list[str]:
 
 class GraphStore:
     """``buckets`` is for a graph that is made now: how many files each load writes of a table, and how many
-    tasks read a table. A graph that exists keeps the number it was made with."""
+    tasks read a table. Without it the first load from files decides by their size (``expect``). A graph that exists
+    keeps the number it was made with."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        made = [int(f.getPath().getName().removeprefix("buckets-")) for f in self.files().globStatus(self.path(f"{self.root}/buckets-*")) or []]
-        self.buckets = made[0] if made else buckets
+        self._asked = buckets
+        self.buckets = self._made() or buckets or BUCKETS
         self._known: dict[str, set[str]] = {}
 
     def path(self, text: str):
@@ -63,6 +66,30 @@ class GraphStore:
     def files(self):
         return self.path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _made(self) -> int | None:
+        """The number of buckets the graph was made with; of several that loads tried, the one of a finished load."""
+        found = self.files().globStatus(self.path(f"{self.root}/buckets-*")) or []
+        tried = sorted(int(f.getPath().getName().removeprefix("buckets-")) for f in found)
+        if len(tried) < 2:
+            return tried[0] if tried else None
+        done = {f"load={name}" for name in self._names()}
+        lying = lambda n: {*folder_names(self, f"buckets-{n}/edges"), *folder_names(self, f"buckets-{n}/nodes/*")}
+        return next((n for n in tried if done & lying(n)), tried[0])
+
+    def expect(self, path) -> None:
+        """Before a graph is loaded from files: if it is new, their size decides how many buckets it gets.
+
+        A task that writes or reads a bucket then holds about as much of a large graph as of a small one.
+        """
+        if self._asked is None and self._made() is None:
+            size = 0
+            for place in [path] if isinstance(path, str) else path:
+                files = self.path(place).getFileSystem(self.spark._jsc.hadoopConfiguration())
+                size += sum(files.getContentSummary(f.getPath()).getLength() for f in files.globStatus(self.path(place)) or [])
+            self.buckets = max(BUCKETS, math.ceil(size / BYTES_PER_BUCKET))
+            self.files().mkdirs(self.path(f"{self.root}/buckets-{self.buckets}"))
+        self.buckets = self._made() or self.buckets
+
     # --- loads ---------------------------------------------------------------------------------------
 
     def _names(self) -> list[str]:
@@ -82,6 +109,7 @@ class GraphStore:
     def begin(self) -> Load:
         """A load on top of the newest finished one."""
         number = self.snapshot() + 1
+        self.buckets = self._made() or self.buckets
         return Load(number, f"{number:012d}-{uuid.uuid4().hex[:16]}")
 
     def _finish(self, number: int, name: str) -> None:
@@ -95,6 +123,8 @@ class GraphStore:
         Should two slip through at the same moment both count, in the order of their names: each is
         whole, and neither replaces the other's rows.
         """
+        if self._made() not in (None, self.buckets):
+            raise RuntimeError("another load made this graph with other buckets; run this one again")
         self._finish(load.number, load.name)
 
     def reset(self) -> None:
