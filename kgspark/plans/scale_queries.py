@@ -162,7 +162,7 @@ def tree_intervals(spark: SparkSession, folder: str) -> DataFrame:
     labels = stored(tree.tree_intervals(parents), "part-intervals")
     held = tree.below(labels, labels).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_below"))
     size = (F.col("last") - F.col("first")).alias("size")
-    return labels.join(held, "node", "left").select("node", "root", "depth", size, "cycle", F.coalesce("n_below", F.lit(0)).alias("n_below"))
+    return labels.join(held.hint("merge"), "node", "left").select("node", "root", "depth", size, "cycle", F.coalesce("n_below", F.lit(0)).alias("n_below"))
 
 
 # --- loads that write what they change -------------------------------------------------------------------
