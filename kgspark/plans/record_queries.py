@@ -215,10 +215,10 @@ _ONTOLOGY = """concat(
 
 
 def dealt(parts: DataFrame) -> DataFrame:
-    """Parts in order of their key, in ranges of so few that their records fit a task; equal keys stay as they lie."""
+    """Parts in the order in which they are read, in ranges of so few that their records fit a task."""
     n = max(1, math.ceil(parts.count() / PARTS_PER_TASK))
     placed = parts.withColumn("_at", F.monotonically_increasing_id())
-    return placed.repartitionByRange(n, "p_partkey", "_at").sortWithinPartitions("p_partkey", "_at").drop("_at")
+    return placed.repartitionByRange(n, "_at").sortWithinPartitions("_at").drop("_at")
 
 
 def xml_records(parts: DataFrame, tag: str, fields: dict[str, str], ontology: bool = False) -> DataFrame:
