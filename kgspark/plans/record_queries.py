@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import shred
 from ..operators.merge import distinct_edges, merge_writers, not_loaded
 from ..schemas import CROSS_REFERENCES, LABELS, METABOLITE, PROTEIN, TEXT
-from ..session import staging_path, stored
+from ..session import discard, fixed_tasks, staging_path, stored
 from ..sources.graph_store import GraphStore
 from ..sources.xml_records import parse_records
 from .ingest import load_metabolites, load_proteins
@@ -22,6 +22,8 @@ from .registry import query, table
 
 # parts that one task turns into records: a table of all parts may be a single file
 PARTS_PER_TASK = 10_000
+# node writes, or edges, that one task merges and joins
+WRITES_PER_TASK = 200_000
 
 # Expressions both Spark and DuckDB read.
 ACC = "concat('A', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING))"
@@ -233,8 +235,8 @@ def xml_records(parts: DataFrame, tag: str, fields: dict[str, str], ontology: bo
     )
 
 
-def _parsed(spark: SparkSession, folder: str, kind: str, needed: list[str]) -> DataFrame:
-    """Records holding only what a query needs, through XML and back."""
+def _parsed(spark: SparkSession, folder: str, kind: str, needed: list[str], path: str | None = None) -> DataFrame:
+    """Records holding only what a query needs, through XML and back; stored at the path, if one is named."""
     shape, fields, tag = (
         (METABOLITE, METABOLITE_FIELDS, "metabolite") if kind == "Metabolite" else (PROTEIN, PROTEIN_FIELDS, "protein")
     )
@@ -243,7 +245,7 @@ def _parsed(spark: SparkSession, folder: str, kind: str, needed: list[str]) -> D
     parts = table(spark, folder, "part")
     records = xml_records(parts, tag, {name: fields[name] for name in names}, ontology)
     # stored, as the load job does: filters and generators above would repeat the parse
-    return stored(parse_records(records, {name: shape[name] for name in names}, ontology), f"{tag}-records")
+    return stored(parse_records(records, {name: shape[name] for name in names}, ontology), f"{tag}-records", path)
 
 
 def _edges_with_nodes(records: DataFrame, kind: str, writers: list[shred.Writer]) -> DataFrame:
@@ -254,9 +256,23 @@ def _edges_with_nodes(records: DataFrame, kind: str, writers: list[shred.Writer]
     edges = distinct_edges([shred.edge_writes(records, writer, kind) for writer in writers])
     known = [name for name in props if name in nodes.columns]
     named = nodes.select(F.col(key).alias("dst_key"), *[F.col(name).alias(f"p_{name}") for name in known])
-    return edges.join(named, "dst_key", "left").select(
+    joined = edges.join(named, "dst_key", "left").select(
         "src_label", "src_key", "rel_type", "dst_label", "dst_key", *[f"p_{name}" for name in known]
     )
+    return _stored_edges(joined, records, kind, writers)
+
+
+def _stored_edges(edges: DataFrame, records: DataFrame, kind: str, writers: list[shred.Writer]) -> DataFrame:
+    """Edges made from records, stored: by as many tasks as there are writes for, whatever the session is set to.
+
+    A record has many writes and each is sorted to be merged, so what a task holds is told by them and not by bytes.
+    """
+    spark = records.sparkSession
+    writes = sum(shred.edge_writes(records, writer, kind).count() for writer in writers)
+    slots = spark.sparkContext.defaultParallelism
+    readers, mergers = math.ceil(records.count() / PARTS_PER_TASK), math.ceil(writes / WRITES_PER_TASK)
+    with fixed_tasks(spark, max(slots, readers), max(slots, mergers)):
+        return stored(edges, "edges")
 
 
 def merged_sql(writes: str, rel: str, src_label: str, label: str, props: list[str]) -> str:
@@ -453,9 +469,12 @@ def _statement_query(name: str, kind: str, statement: str, needed: list[str], wr
 
     @query(name, merged_sql(writes, rel, source, label, props))
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        records = _parsed(spark, folder, kind, needed)
+        path = staging_path(spark, f"{kind.lower()}-records")
+        records = _parsed(spark, folder, kind, needed, path)
         writers = shred.metabolite_writers() if kind == "Metabolite" else shred.protein_writers()
-        return _edges_with_nodes(records, kind, [w for w in writers if w.name == statement])
+        edges = _edges_with_nodes(records, kind, [w for w in writers if w.name == statement])
+        discard(spark, path)
+        return edges
 
 
 _TARGETS = {
@@ -509,8 +528,12 @@ for _name, _spec in _STATEMENTS.items():
        UNION ALL SELECT p_brand, p_name FROM part)""",
 )
 def child_terms(spark: SparkSession, folder: str) -> DataFrame:
-    records = _parsed(spark, folder, "Metabolite", ["ontology"])
-    return distinct_edges([shred.edge_writes(records, shred.child_terms(), "Metabolite")]).select("src_key", "dst_key")
+    path = staging_path(spark, "metabolite-records")
+    records = _parsed(spark, folder, "Metabolite", ["ontology"], path)
+    writer = shred.child_terms()
+    edges = _stored_edges(distinct_edges([shred.edge_writes(records, writer, "Metabolite")]), records, "Metabolite", [writer])
+    discard(spark, path)
+    return edges.select("src_key", "dst_key")
 
 
 def _last_sql(key: str, columns: dict[str, str], where: str = "true") -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import tree
 from kgspark.plans import record_queries, registry
 from kgspark.plans.ingest import load_metabolites
+from kgspark.session import fixed_tasks, stored
 from kgspark.sources import graph_store
 from kgspark.sources.graph_store import GraphStore
 
@@ -40,6 +41,29 @@ def test_records_lie_in_many_files(spark, folder, monkeypatch, name, needed):
     assert registry.QUERIES[name](spark, folder).select("src_key").distinct().count() == 48
 
 
+@pytest.mark.parametrize("name, rows", [("shred_cross_references", 1079), ("shred_synonyms", 190), ("shred_protein_pathways", 95), ("shred_child_terms", 190)])
+def test_writes_are_merged_by_as_many_tasks_as_they_need(spark, folder, monkeypatch, name, rows):
+    monkeypatch.setattr(record_queries, "WRITES_PER_TASK", 20)
+    set_to = spark.conf.get("spark.sql.shuffle.partitions")
+    edges = registry.QUERIES[name](spark, folder)
+    assert edges.count() == rows
+    files = spark.read.parquet(*edges.inputFiles())  # a file for each task that joined
+    assert max(r["count"] for r in files.groupBy(F.input_file_name()).count().collect()) <= 50
+    assert spark.conf.get("spark.sql.shuffle.partitions") == set_to
+
+
+def test_tasks_of_a_job(spark, tmp_path):
+    keys = ["spark.sql.files.minPartitionNum", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(key, None) for key in keys]
+    frame = stored(spark.range(1000).repartitionByRange(20, "id"), "numbers", str(tmp_path / "numbers"))
+    with pytest.raises(ZeroDivisionError), fixed_tasks(spark, 20, 7):
+        assert frame.select(F.spark_partition_id()).distinct().count() == 20
+        made = stored(frame.groupBy("id").count(), "counts", str(tmp_path / "counts"))
+        assert len(made.inputFiles()) == 7 and made.count() == 1000
+        1 / 0
+    assert [spark.conf.get(key, None) for key in keys] == before
+
+
 def test_buckets_by_size(spark, folder, tmp_path, monkeypatch):
     monkeypatch.setattr(graph_store, "BYTES_PER_BUCKET", 2000)
     path = str(tmp_path / "xml")
