@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import language_id, mixing, packing, queries, secret_scan, set_join
 from kgspark.llm.common import table
-from kgspark.session import stored
+from kgspark.session import Staging, release_shuffles
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = Staging(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        after = Staging(spark)
+        docs = after.stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before.clear()  # a stage reads what the last one has written, and nothing older
+        release_shuffles(spark)
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)

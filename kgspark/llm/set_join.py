@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kgspark.session import bounded_batches, discard, release_shuffles, staging_path, stored
+from kgspark.session import Staging, bounded_batches, release_shuffles, stored
 
 from .common import flat, mixed, rows_of
 from .components import components
@@ -49,6 +49,9 @@ SKETCH = 256  # bytes; two sets differ in no fewer shingles than their sketches
 STEPS = 2
 LIST = 512  # entries of a list that are compared with each other in one task; longer lists are cut into blocks
 BLOCK = 256  # sets of a component that meet another such block in one task; bounds a task, loses no pair
+PASSES = 4  # over the lists of more than FEW entries: the shuffles of one pass lie on disk at a time
+FEW = 1_000_000
+SENT = 1.0  # pairs for each set that are measured at a time
 WORDS: dict[bytes, int] = {}
 
 
@@ -253,13 +256,14 @@ def open_pairs(rule: Rule, nearest: bool):
 class Joined:
     """``documents``: doc_id, n_shingles, sid; ``links``: a, b (sids), apart: those that components need; ``members``: sid, component.
 
-    ``whole``: sid, n, own of all sets that can link.
+    ``whole``: sid, n, own of all sets that can link; its table is ``kept``, for ``answers``.
     """
 
     documents: DataFrame
     links: DataFrame
     members: DataFrame
     whole: DataFrame
+    kept: Staging
 
 
 def dealt(long: DataFrame, step: int) -> DataFrame:
@@ -275,14 +279,32 @@ def firsts(long: DataFrame) -> DataFrame:
     return least.where("home <> first.home").select(F.col("sid").alias("a"), F.col("first.sid").alias("b"))
 
 
-def against(long: DataFrame) -> DataFrame:
+def shared_lists(sets: DataFrame, passes: int) -> tuple[DataFrame, list[str]]:
+    """list, sid, n: the entries of lists that hold two sets at least, and where they lie.
+
+    Most lists hold one set, and their entries are the largest shuffles of all; hence lists are dealt into passes.
+    """
+    spark = sets.sparkSession
+    known = sets.where("doc_id is not null and sid is not null").where(F.size("lists") > 0)
+    entries, found = known.select(F.explode("lists").alias("list"), "sid", "n"), Staging(spark)
+    for k in range(passes):
+        own = entries.where(F.pmod("list", F.lit(passes)) == k)
+        shared = own.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
+        found.stored(own.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
+        del own, shared
+        if passes > 1:
+            release_shuffles(spark)
+    return spark.read.schema("list long, sid long, n long").parquet(*found.paths), found.paths
+
+
+def against(long: DataFrame, staging: Staging) -> DataFrame:
     """met, side and the set: blocks of a list against its blocks, but for two with one home. A home with many entries has blocks of its own."""
     homes = long.groupBy("list", "home").agg(F.count(F.lit(1)).alias("times"))
     homes = homes.withColumn("own", F.when(F.col("times") > LIST // 2, F.col("home")))
     others = homes.where("own is null").groupBy("list").agg(F.sum("times").alias("rest"))
     cut = long.join(homes, ["list", "home"]).join(others, "list", "left")
     part = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / LIST))).otherwise(F.pmod(F.xxhash64("sid"), F.ceil(F.col("times") / LIST)))
-    cut = stored(cut.select("list", "sid", "n", "home", "own", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), part).alias("block")), "set-list-blocks")
+    cut = staging.stored(cut.select("list", "sid", "n", "home", "own", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), part).alias("block")), "set-list-blocks")
     blocks = cut.groupBy("list", "block").agg(F.min("own").alias("own"))
     l, r = blocks.alias("l"), blocks.alias("r")
     several = F.col("l.own").isNull() | F.col("r.own").isNull() | (F.col("l.own") != F.col("r.own"))
@@ -301,26 +323,40 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    listed_at = staging_path(spark, "set-lists")
-    sets = stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists", listed_at)
+    kept, run, step_ = Staging(spark), Staging(spark), Staging(spark)  # tables of the result, of this run, of a step
+    sets = step_.stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists")
     documents = stored(sets.select("doc_id", F.col("n").alias("n_shingles"), "sid"), "set-documents")
     held_by = documents.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    entries = sets.where("doc_id is not null and sid is not null").where(F.size("lists") > 0).select(F.explode("lists").alias("list"), "sid", "n")
-    shared = entries.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
-    lists = stored(entries.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
-    del sets, entries, shared  # the largest table and the largest shuffles of all
-    discard(spark, listed_at)
-    release_shuffles(spark)
+    few = (sets.agg(F.sum(F.size("lists"))).first()[0] or 0) <= FEW
+    lists, run.paths = shared_lists(sets, 1 if few else PASSES)
+
+    def ended() -> None:
+        """What a step has written and shuffled goes, so that steps do not add up on disk."""
+        step_.clear()
+        if not few:
+            release_shuffles(spark)
+
+    del sets  # the largest table of all
+    ended()
     bins = max(8 * parts, lists.count() >> 14)  # of short lists; a long one's blocks are groups of their own
     wanted = lists.select("sid").distinct().join(held_by, "sid")
     whole = texts.join(wanted, "doc_id").select("sid", "text")
-    whole = stored(whole.mapInArrow(whole_sets(rule), "sid long, n long, own binary, sketch binary"), "set-whole")
+    whole = kept.stored(whole.mapInArrow(whole_sets(rule), "sid long, n long, own binary, sketch binary"), "set-whole")
+    n_sets = max(1, whole.count())
 
     def measured(pairs: DataFrame) -> DataFrame:
         left = whole.select(F.col("sid").alias("a"), F.col("own").alias("x"))
         right = whole.select(F.col("sid").alias("b"), F.col("own").alias("y"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return stored(met.mapInArrow(measure, "a long, b long, apart long"), "set-measured")
+        slices = 1 if few else 1 + int(pairs.count() / (SENT * n_sets))  # what a slice sends does not outgrow the sets
+        made = Staging(spark)
+        for k in range(slices):
+            own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+            met = own.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+            made.stored(met.mapInArrow(measure, "a long, b long, apart long"), "set-measured")
+            del own, met
+            ended()
+        run.paths += made.paths
+        return spark.read.schema("a long, b long, apart long").parquet(*made.paths)
 
     def linked(pairs: DataFrame) -> DataFrame:
         size = lambda name: whole.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"))
@@ -331,10 +367,10 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
         nearest = step < STEPS
         placed = lists.join(homes, "sid")
         several = placed.groupBy("list").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("total")).where("lo <> hi").select("list", "total")
-        several = stored(placed.join(several, "list").select("list", "sid", "n", "home", "total"), "set-open-lists")
+        several = step_.stored(placed.join(several, "list").select("list", "sid", "n", "home", "total"), "set-open-lists")
         short = several.where(F.col("total") <= LIST).select(F.col("list").alias("met"), F.lit(-1).alias("side"), "sid", "n", "home", F.pmod(F.col("list"), F.lit(bins)).alias("task"))
         long = several.where(F.col("total") > LIST)
-        long_met = (dealt(long, step) if nearest else against(long)).withColumn("task", F.col("met"))
+        long_met = (dealt(long, step) if nearest else against(long, step_)).withColumn("task", F.col("met"))
         rest = (
             short.unionByName(long_met)
             .join(pivots, "sid", "left")
@@ -344,30 +380,34 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
         found = rest.groupBy("task").applyInArrow(open_pairs(rule, nearest), "a long, b long, far long")
         if nearest:
             found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("near")).select("a", "near.b").unionByName(firsts(long))
-        return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "set-open-pairs")
+        return run.stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "set-open-pairs")
 
     def joined_homes(homes: DataFrame, fresh: DataFrame) -> DataFrame:
         """Homes after some links more: the links tie homes to each other, and only these are gone through."""
         home = lambda name: homes.select(F.col("sid").alias(name), F.col("home").alias(f"home_{name}"))
         tied = fresh.select("a", "b").join(home("a"), "a").join(home("b"), "b").select("home_a", "home_b")
         least = components(tied).select(F.col("node").alias("home"), "least")
-        return stored(homes.join(least, "home", "left").select("sid", F.coalesce("least", "home").alias("home")), "set-homes")
+        return run.stored(homes.join(least, "home", "left").select("sid", F.coalesce("least", "home").alias("home")), "set-homes")
 
-    homes = stored(whole.select("sid").distinct().withColumn("home", F.col("sid")), "set-homes")
+    homes = run.stored(whole.select("sid").distinct().withColumn("home", F.col("sid")), "set-homes")
+    ended()
     pivots = spark.createDataFrame([], "sid long, pivot long, apart long")
     links = None
     for step in range(STEPS + 1):
-        compared = measured(open_(homes, pivots, step))
+        pairs = open_(homes, pivots, step)
+        ended()
+        compared = measured(pairs)
         if not step:
             near = compared.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near"))
-            pivots = stored(near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart"), "set-pivots")
+            pivots = run.stored(near.select(F.col("a").alias("sid"), F.col("near.b").alias("pivot"), "near.apart"), "set-pivots")
         fresh = linked(compared)
         links = fresh if links is None else links.unionByName(fresh)
         homes = joined_homes(homes, fresh)
     grown = held_by.join(homes, "sid", "left").select("sid", "doc_id", F.coalesce("home", "sid").alias("home"))
     least = grown.groupBy("home").agg(F.min("doc_id").alias("component"))
     members = stored(grown.join(least, "home").select("sid", "component"), "set-members")
-    return Joined(documents, links, members, whole.select("sid", "n", "own"))
+    run.clear()
+    return Joined(documents, links, members, whole.select("sid", "n", "own"), kept)
 
 
 def block_answers(rule: Rule, named: bool = True):
@@ -472,6 +512,7 @@ def _apart(rule: Rule, total: Column) -> Column:
 def document_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     found = join_sets(docs, rule)
+    found.kept.clear()  # the sets themselves are read no more
     rows = found.documents.join(found.members, "sid", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -1,5 +1,6 @@
 """Every stage against a plain version of itself, each on what the stage before has left."""
 
+import os
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from kgspark import session
 from kgspark.llm import mixing
 from kgspark.session import stored
 
@@ -99,3 +101,14 @@ def test_packing_holds_every_id_once(chain):
 def test_run_is_the_chain(spark):
     frame = corpus_pipeline.run(spark, FOLDER)
     assert frame.count() > 0 and {"doc_id", "start", "length", "ids", "sequence_id"} <= set(frame.columns)
+
+
+def test_run_keeps_one_table_of_a_stage(spark, monkeypatch):
+    """A stage's table goes once the next one is written; the last one stays for the packing."""
+    step = lambda k: lambda spark, docs, folder: docs.where(f"doc_id % {k} = 0")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", step(2)), ("b", step(3)), ("c", step(5)), ("d", step(1))])
+    before = {x for x in os.listdir(f"{session.shared_dir(spark)}/kgspark") if x.startswith("pipeline-")}
+    frame = corpus_pipeline.run(spark, FOLDER)
+    after = {x for x in os.listdir(f"{session.shared_dir(spark)}/kgspark") if x.startswith("pipeline-")} - before
+    assert [x.rsplit("-", 1)[0] for x in after] == ["pipeline-c"]
+    assert sorted(r.doc_id for r in frame.collect()) == [0, 30, 60, 90, 120, 150, 180]

@@ -1,8 +1,10 @@
+import os
 import random
 from collections import Counter
 
 import pytest
 
+from kgspark import session
 from kgspark.llm import queries, set_join
 from kgspark.llm.components import components
 
@@ -89,6 +91,23 @@ def test_copy_without_an_id_hides_no_links(spark):
     assert set_join.document_components(frame).where("doc_id = 2").first().component_id == 1
 
 
+def test_tables_go_when_a_step_ends(spark, monkeypatch):
+    """Lists in several passes and pairs in slices give the same; what is left is the result alone."""
+    monkeypatch.setattr(set_join, "FEW", 0)
+    monkeypatch.setattr(set_join, "PASSES", 3)
+    monkeypatch.setattr(set_join, "SENT", 0.2)
+    monkeypatch.setattr(set_join, "release_shuffles", lambda spark: None)
+    written = []
+    monkeypatch.setattr(session, "staging_path", lambda spark, name, make=session.staging_path: written.append(make(spark, name)) or written[-1])
+    docs = list(enumerate(near_copies(7, 90)))
+    frame = set_join.document_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    names = [os.path.basename(x).rsplit("-", 1)[0] for x in written]
+    assert names.count("set-shared-lists") == 3 and names.count("set-measured") > 3
+    left = {name for name, x in zip(names, written) if os.path.isdir(x)}
+    assert left <= {"set-documents", "set-members", "set-links", *(x for x in names if x.startswith("components"))}
+    assert found(frame) == plain(docs)
+
+
 def test_shingles_of_five_words(spark):
     """Two words replaced far apart: 86 of 106 five-word shingles are shared, but 92 of 104 three-word ones."""
     words = [f"w{i}" for i in range(100)]
