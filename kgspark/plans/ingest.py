@@ -23,12 +23,13 @@ from ..operators.shred import (
     writes_by_label,
 )
 from ..schemas import LABELS, METABOLITE, PROTEIN
-from ..session import stored
+from ..session import release_shuffles, stored
 from ..sources.graph_store import MENTIONED, GraphStore, folder_names
 from ..sources.xml_records import POSITION, parse_records, scan_records
 
 # passes in the order they are written
 METABOLITES, PROTEINS = 0, 1
+LARGE = 10_000  # records of a load whose shuffles are deleted as it goes
 
 
 def parse_file(
@@ -118,9 +119,15 @@ def load_records(store: GraphStore, records: DataFrame, label: str, writers: lis
         key, props = LABELS[name]
         store.write_nodes(name, merge_writers(writes[name], key, mentioned=MENTIONED, all_names=props), load)
 
-    # the tables do not depend on each other: small ones fill the cores large ones leave free
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(inheritable_thread_target(records.sparkSession)(write), [None, *writes]))
+    large = records.count() >= LARGE
+    spark = records.sparkSession
+    # the tables do not depend on each other: small ones fill the cores large ones leave free. Of a large load the
+    # edges, whose shuffles are as large as those of all nodes, are written before them
+    for names in ([None], [*writes]) if large else ([None, *writes],):
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(inheritable_thread_target(spark)(write), names))
+        if large:
+            release_shuffles(spark)
     store.publish(load)
     return load.number
 

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import shred
 from ..operators.merge import distinct_edges, merge_writers, not_loaded
 from ..schemas import CROSS_REFERENCES, LABELS, METABOLITE, PROTEIN, TEXT
 from ..session import discard, fixed_tasks, staging_path, stored
-from ..sources.graph_store import GraphStore
+from ..sources.graph_store import GraphStore, buckets_for
 from ..sources.xml_records import parse_records
 from .ingest import load_metabolites, load_proteins
 from .registry import query, table
 
 # parts that one task turns into records: a table of all parts may be a single file
 PARTS_PER_TASK = 10_000
+# records of a packed file, which one task reads
+PER_FILE = 2_000
 # node writes, or edges, that one task merges and joins
 WRITES_PER_TASK = 200_000
 
@@ -235,6 +237,17 @@ def xml_records(parts: DataFrame, tag: str, fields: dict[str, str], ontology: bo
     )
 
 
+def write_packed(records: DataFrame, path: str) -> int:
+    """Records as gzipped text, which takes a small part of the disk; returns the bytes of the text.
+
+    A packed file is read by one task, so files are short.
+    """
+    seen = Observation()
+    counted = records.observe(seen, F.sum(F.octet_length("record") + 1).alias("size"))
+    counted.write.option("maxRecordsPerFile", PER_FILE).text(path, compression="gzip")
+    return seen.get["size"] or 0
+
+
 def _parsed(spark: SparkSession, folder: str, kind: str, needed: list[str], path: str | None = None) -> DataFrame:
     """Records holding only what a query needs, through XML and back; stored at the path, if one is named."""
     shape, fields, tag = (
@@ -612,14 +625,16 @@ def _graph_sql() -> str:
 def graph_load(spark: SparkSession, folder: str) -> DataFrame:
     """Both load jobs on XML files, then all edges and the keys of all nodes."""
     parts = table(spark, folder, "part")
-    store = GraphStore(spark, staging_path(spark, "graph"))
+    store = None
     for tag, fields, load in (
         ("metabolite", METABOLITE_FIELDS, load_metabolites),
         ("protein", PROTEIN_FIELDS, load_proteins),
     ):
         path = staging_path(spark, f"{tag}-xml")
-        xml_records(parts, tag, fields, tag == "metabolite").select("record").write.text(path)
+        size = write_packed(xml_records(parts, tag, fields, tag == "metabolite").select("record"), path)
+        store = store or GraphStore(spark, staging_path(spark, "graph"), buckets_for(size))
         load(spark, store, path)
+        discard(spark, path)
     none = F.lit(None).cast("string")
     nodes = store.all_nodes().select("label", "pk", F.lit("NODE"), none, none)
     return store.edges().union(nodes)

@@ -42,6 +42,11 @@ class Load:
     name: str
 
 
+def buckets_for(size: int) -> int:
+    """The buckets of a graph whose first load reads so many bytes of text."""
+    return max(BUCKETS, math.ceil(size / BYTES_PER_BUCKET))
+
+
 def folder_names(store: GraphStore, part: str) -> list[str]:
     """Names of what lies in a folder below the store's root."""
     found = store.files().globStatus(store.path(f"{store.root}/{part}/*")) or []
@@ -86,7 +91,7 @@ class GraphStore:
             for place in [path] if isinstance(path, str) else path:
                 files = self.path(place).getFileSystem(self.spark._jsc.hadoopConfiguration())
                 size += sum(files.getContentSummary(f.getPath()).getLength() for f in files.globStatus(self.path(place)) or [])
-            self.buckets = max(BUCKETS, math.ceil(size / BYTES_PER_BUCKET))
+            self.buckets = buckets_for(size)
             self.files().mkdirs(self.path(f"{self.root}/buckets-{self.buckets}"))
         self.buckets = self._made() or self.buckets
 

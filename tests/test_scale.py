@@ -1,11 +1,13 @@
 """Tasks that hold about as much of a large input as of a small one."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import tree
-from kgspark.plans import record_queries, registry
-from kgspark.plans.ingest import load_metabolites
+from kgspark.plans import ingest, record_queries, registry
+from kgspark.plans.ingest import load_metabolites, load_proteins
 from kgspark.session import fixed_tasks, stored
 from kgspark.sources import graph_store
 from kgspark.sources.graph_store import GraphStore
@@ -108,3 +110,43 @@ def test_rounds_do_not_pass_through_the_driver(spark, monkeypatch):
     assert len(rounds) > 5 and not any("BroadcastHashJoin" in plan for plan in rounds)
     assert "BroadcastHashJoin" not in tree.below(labels, labels)._jdf.queryExecution().executedPlan().toString()
     assert tree.below(labels, labels).count() == 50 * 49 // 2
+
+
+def test_packed_files_go_after_their_load(spark, folder, monkeypatch):
+    """Records lie on disk as short gzipped files in their order, until they are loaded; the graph is bucketed by the text's size."""
+    monkeypatch.setattr(record_queries, "PER_FILE", 30)
+    monkeypatch.setattr(graph_store, "BYTES_PER_BUCKET", 20_000)
+    seen = {}
+
+    def watched(name, load):
+        def run(spark, store, path):
+            files = sorted(x for x in os.listdir(path) if x.startswith("part-"))
+            text = [r.value for x in files for r in spark.read.text(f"{path}/{x}").collect()]
+            seen[name] = path, files, text, store.buckets
+            return load(spark, store, path)
+
+        monkeypatch.setattr(record_queries, name, run)
+
+    watched("load_metabolites", load_metabolites)
+    watched("load_proteins", load_proteins)
+    frame = record_queries.graph_load(spark, folder)
+    for path, files, text, _ in seen.values():
+        assert not os.path.exists(path)
+        assert len(files) == 4 and all(x.endswith(".gz") for x in files) and sum(x != "" for x in text) == 95
+    size = sum(len(x.encode()) + 1 for x in seen["load_metabolites"][2])
+    assert seen["load_metabolites"][3] == -(-size // 20_000) > graph_store.BUCKETS
+    assert frame.count() > 95
+
+
+def test_large_loads_delete_their_shuffles(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "xml")
+    record_queries.xml_records(parts(spark, 95), "metabolite", {"accession": "p_name", "description": "p_type"}).select("record").write.text(path)
+    done = []
+    monkeypatch.setattr(ingest, "LARGE", 10)
+    monkeypatch.setattr(ingest, "release_shuffles", lambda spark: done.append("release"))
+    for name in ("write_edges", "write_nodes"):
+        monkeypatch.setattr(GraphStore, name, lambda *a, name=name, f=getattr(GraphStore, name): done.append(name) or f(*a))
+    store = GraphStore(spark, str(tmp_path / "g"))
+    load_metabolites(spark, store, path)
+    assert done[:2] == ["write_edges", "release"] and done[-1] == "release" and set(done[2:-1]) == {"write_nodes"}
+    assert store.nodes("Metabolite").count() == 95
