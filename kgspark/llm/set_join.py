@@ -49,7 +49,7 @@ SKETCH = 256  # bytes; two sets differ in no fewer shingles than their sketches
 STEPS = 2
 LIST = 512  # entries of a list that are compared with each other in one task; longer lists are cut into blocks
 BLOCK = 256  # sets of a component that meet another such block in one task; bounds a task, loses no pair
-PASSES = 4  # over the lists of more than FEW entries: the shuffles of one pass lie on disk at a time
+PASSES = 2  # over the lists of more than FEW entries: the shuffles of one pass lie on disk at a time
 FEW = 1_000_000
 SENT = 1.0  # pairs for each set that are measured at a time
 WORDS: dict[bytes, int] = {}
@@ -144,8 +144,12 @@ def listed(own: np.ndarray, rule: Rule) -> list[np.ndarray]:
     return found
 
 
-def index(rule: Rule):
-    """doc_id, n, sid (null without shingles), lists: of a slice's copies the first names the lists."""
+def list_columns(passes: int) -> list[str]:
+    return [f"lists{k}" for k in range(passes)]
+
+
+def index(rule: Rule, passes: int):
+    """doc_id, n, sid (null without shingles), lists of each pass: of a slice's copies the first names the lists."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -159,9 +163,12 @@ def index(rule: Rule):
                         seen.add(sid)
                     key = flat(fresh, np.uint64).view(np.int64)
                     docs.append(doc), sizes.append(len(own)), ids.append(sid), keys.append(key)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat(keys)))
+                lists = []
+                for k in range(passes):
+                    own = [key[key % passes == k] for key in keys]
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(flat(own))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists], names=["doc_id", "n", "sid", "lists"]
+                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *lists], names=["doc_id", "n", "sid", *list_columns(passes)]
                 )
 
     return run
@@ -279,20 +286,20 @@ def firsts(long: DataFrame) -> DataFrame:
     return least.where("home <> first.home").select(F.col("sid").alias("a"), F.col("first.sid").alias("b"))
 
 
-def shared_lists(sets: DataFrame, passes: int) -> tuple[DataFrame, list[str]]:
+def shared_lists(sets: DataFrame, passes: list[list[str]]) -> tuple[DataFrame, list[str]]:
     """list, sid, n: the entries of lists that hold two sets at least, and where they lie.
 
-    Most lists hold one set, and their entries are the largest shuffles of all; hence lists are dealt into passes.
+    Most lists hold one set, and their entries are the largest shuffles of all; hence lists are dealt into passes,
+    each over columns of its own.
     """
     spark = sets.sparkSession
-    known = sets.where("doc_id is not null and sid is not null").where(F.size("lists") > 0)
-    entries, found = known.select(F.explode("lists").alias("list"), "sid", "n"), Staging(spark)
-    for k in range(passes):
-        own = entries.where(F.pmod("list", F.lit(passes)) == k)
+    known, found = sets.where("doc_id is not null and sid is not null"), Staging(spark)
+    for names in passes:
+        own = known.select(F.explode(F.concat(*names)).alias("list"), "sid", "n")
         shared = own.groupBy("list").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last").select("list")
         found.stored(own.join(shared, "list").select("list", "sid", "n"), "set-shared-lists")
         del own, shared
-        if passes > 1:
+        if len(passes) > 1:
             release_shuffles(spark)
     return spark.read.schema("list long, sid long, n long").parquet(*found.paths), found.paths
 
@@ -324,11 +331,12 @@ def join_sets(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept, run, step_ = Staging(spark), Staging(spark), Staging(spark)  # tables of the result, of this run, of a step
-    sets = step_.stored(texts.mapInArrow(index(rule), "doc_id long, n long, sid long, lists array<long>"), "set-lists")
+    names = list_columns(PASSES)
+    sets = step_.stored(texts.mapInArrow(index(rule, PASSES), ", ".join(["doc_id long, n long, sid long", *(f"{x} array<long>" for x in names)])), "set-lists")
     documents = stored(sets.select("doc_id", F.col("n").alias("n_shingles"), "sid"), "set-documents")
     held_by = documents.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    few = (sets.agg(F.sum(F.size("lists"))).first()[0] or 0) <= FEW
-    lists, run.paths = shared_lists(sets, 1 if few else PASSES)
+    few = (sets.agg(F.sum(sum(F.size(x) for x in names))).first()[0] or 0) <= FEW
+    lists, run.paths = shared_lists(sets, [names] if few else [[x] for x in names])
 
     def ended() -> None:
         """What a step has written and shuffled goes, so that steps do not add up on disk."""
