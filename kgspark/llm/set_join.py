@@ -304,8 +304,9 @@ def shared_lists(sets: DataFrame, passes: list[list[str]]) -> tuple[DataFrame, l
     return spark.read.schema("list long, sid long, n long").parquet(*found.paths), found.paths
 
 
-def against(long: DataFrame, staging: Staging) -> DataFrame:
+def against(long: DataFrame, staging: Staging | None = None) -> DataFrame:
     """met, side and the set: blocks of a list against its blocks, but for two with one home. A home with many entries has blocks of its own."""
+    staging = staging or Staging(long.sparkSession)
     homes = long.groupBy("list", "home").agg(F.count(F.lit(1)).alias("times"))
     homes = homes.withColumn("own", F.when(F.col("times") > LIST // 2, F.col("home")))
     others = homes.where("own is null").groupBy("list").agg(F.sum("times").alias("rest"))
